@@ -21,10 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{shared_dir(spark)}/sparkloom/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom/{uuid.uuid4().hex}/{tag}"
+    path = f"{fresh(spark)}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .huffman_ids import op2_huffman_ids
 from .minmax_dedup import op5_minmax_near_dedup
 
 QUERIES = {
+    "op2_huffman_ids": op2_huffman_ids,
     "op5_minmax_near_dedup": op5_minmax_near_dedup,
 }
 ORACLE: dict[str, str] = {}
