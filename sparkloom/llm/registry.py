@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .hilbert_packing import op10_hilbert_packing
 from .huffman_ids import op2_huffman_ids
 from .minmax_dedup import op5_minmax_near_dedup
 
 QUERIES = {
     "op2_huffman_ids": op2_huffman_ids,
     "op5_minmax_near_dedup": op5_minmax_near_dedup,
+    "op10_hilbert_packing": op10_hilbert_packing,
 }
 ORACLE: dict[str, str] = {}
