@@ -5,10 +5,12 @@ from __future__ import annotations
 from .hilbert_packing import op10_hilbert_packing
 from .huffman_ids import op2_huffman_ids
 from .minmax_dedup import op5_minmax_near_dedup
+from .wu_manber import op7_wu_manber_decontaminate
 
 QUERIES = {
     "op2_huffman_ids": op2_huffman_ids,
     "op5_minmax_near_dedup": op5_minmax_near_dedup,
+    "op7_wu_manber_decontaminate": op7_wu_manber_decontaminate,
     "op10_hilbert_packing": op10_hilbert_packing,
 }
 ORACLE: dict[str, str] = {}
