@@ -73,15 +73,12 @@ def place(ids: np.ndarray, sizes: np.ndarray, proj: np.ndarray) -> np.ndarray:
 
 
 def keyed(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    enc, end, proj = tokens.encoder(path, "byte"), np.array([end_id], "<u2").tobytes(), projection()
+    enc, proj = tokens.encoder(path, "byte"), projection()
     for batch in batches:
         for part in textvec.slices(batch, "text"):
-            ids = [x + end for x in enc.encode(part.column("text").to_pylist())]
-            sizes = np.array([len(x) // 2 for x in ids])
-            key = place(np.frombuffer(b"".join(ids), "<u2"), sizes, proj)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(key), pa.array(ids, pa.binary())], names=["doc_id", "key", "ids"]
-            )
+            ids, sizes = enc.encode(part.column("text"), end_id)
+            key = place(ids, sizes, proj)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key), tokens.binary(ids, sizes)], names=["doc_id", "key", "ids"])
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

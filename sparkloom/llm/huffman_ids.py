@@ -137,11 +137,11 @@ def unpack(block: bytes, decode: np.ndarray, top: int) -> tuple[np.ndarray, np.n
 
 
 def tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    enc, end = tokens.encoder(path, "word"), np.array([end_id], "<u2").tobytes()
+    enc = tokens.encoder(path, "word")
     for batch in batches:
         for part in textvec.slices(batch, "text"):
-            ids = [x + end for x in enc.encode(part.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            column = tokens.binary(*enc.encode(part.column("text"), end_id))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), column], names=["doc_id", "ids"])
 
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

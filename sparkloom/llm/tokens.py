@@ -1,9 +1,9 @@
 """Whole texts to token ids with the tokenizers library, encoding each distinct space-delimited chunk once.
 
 Tokens of both vocabularies never cross a single space between two non-space characters, so a
-text's ids are its chunks' ids in turn. Chunks not met before are encoded by the library together, in one call
-a slice; a text where this cut is not safe goes to the library whole. The memory of
-chunks is bounded and per worker; it changes speed, never results.
+text's ids are its chunks' ids in turn. Chunks are recognised by 64-bit hashes; those not met before are encoded by the
+library, a thousand a call, and all ids are put together by array gathers. A text where this cut is not safe goes to the
+library whole. The memory of chunks is bounded and per worker; it changes speed, never results.
 """
 
 from __future__ import annotations
@@ -12,8 +12,12 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-CHUNKS = 300_000
+from . import textvec
+
+CHUNKS = 400_000
+_FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
 class Encoder:
@@ -25,83 +29,117 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.kind = kind
-        self.known: dict[str, bytes | None] = {}
+        self.inside = np.ones(256, bool)
+        self.inside[[32] if kind == "byte" else [10, 32]] = False
         if kind == "byte":
             size = self.lib.get_vocab_size()
             self.opens = np.array([self.lib.id_to_token(k).startswith("Ġ") for k in range(size)])
         else:
             (self.mark,) = self.lib.encode("0", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def together(self, texts: list[str]) -> np.ndarray:
-        return np.concatenate([np.array(e.ids, "<u2") for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)])
+        return np.concatenate([np.array(e.ids, np.uint16) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def learn(self, chunks: set[str]) -> None:
-        known = self.known
+    def several(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of chunks without a special case in them."""
         if self.kind == "byte":
-            plain = []
-            for c in chunks:
-                if not c or c[0].isspace() or c[-1].isspace():
-                    known[c] = None
-                elif "<" in c or not c.isprintable():
-                    known[c] = self.whole(" " + c)
-                else:
-                    plain.append(c)
-            if plain:
-                ids = self.together([" " + " ".join(plain[k : k + 1000]) for k in range(0, len(plain), 1000)])
-                at = np.flatnonzero(self.opens[ids])
-                if len(at) != len(plain):
-                    known.update((c, self.whole(" " + c)) for c in plain)
-                    return
-                raw, cuts = ids.tobytes(), [*(at * 2).tolist(), 2 * len(ids)]
-                known.update(zip(plain, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            ids = self.together([" " + " ".join(chunks[k : k + 1000]) for k in range(0, len(chunks), 1000)])
+            begin = np.flatnonzero(self.opens[ids])
+            end = np.append(begin[1:], len(ids))
         else:
-            plain = []
-            for c in chunks:
-                if "0" in c or "<" in c or not c.isprintable():
-                    known[c] = self.whole(c)
-                else:
-                    plain.append(c)
-            if plain:
-                ids = self.together([" 0 ".join(plain[k : k + 1000]) + " 0" for k in range(0, len(plain), 1000)])
-                at = np.flatnonzero(ids == self.mark)
-                if len(at) != len(plain):
-                    known.update((c, self.whole(c)) for c in plain)
-                    return
-                raw = ids.tobytes()
-                begin = [0, *(2 * at + 2).tolist()]
-                known.update(zip(plain, [raw[a:b] for a, b in zip(begin, (2 * at).tolist(), strict=False)], strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text; null is empty."""
+            ids = self.together([" 0 ".join(chunks[k : k + 1000]) + " 0" for k in range(0, len(chunks), 1000)])
+            end = np.flatnonzero(ids == self.mark)
+            begin = np.append(0, end[:-1] + 1)
+        if len(end) != len(chunks):
+            return [self.whole(" " + c if self.kind == "byte" else c) for c in chunks]
+        return [ids[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+    def learn(self, keys: np.ndarray, chunks: list[str], opening: list[bool]) -> None:
+        """``opening``: the chunk begins a text, so no space stands before it."""
+        byte = self.kind == "byte"
+        got: list = [None] * len(chunks)
+        bad = np.zeros(len(chunks), bool)
+        plain = []
+        for k, (c, first) in enumerate(zip(chunks, opening, strict=True)):
+            if byte and (c[0].isspace() or c[-1].isspace()):
+                bad[k] = True
+                got[k] = np.zeros(0, np.uint16)
+            elif "<" in c or not c.isprintable() or (first if byte else "0" in c):
+                got[k] = self.whole(c if first or not byte else " " + c)
+            else:
+                plain.append(k)
+        if plain:
+            for k, ids in zip(plain, self.several([chunks[k] for k in plain]), strict=True):
+                got[k] = ids
+        size = np.array([len(g) for g in got])
+        need = self.used + int(size.sum())
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need, len(self.pool)), np.uint16)])
+        self.pool[self.used : need] = np.concatenate(got)
+        at = self.used + np.cumsum(size) - size
+        self.used = need
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.at, self.size, self.bad = np.insert(self.at, where, at), np.insert(self.size, where, size), np.insert(self.bad, where, bad)
+
+    def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a column, one text after another, and each text's number of ids; null is empty.
+
+        With ``end_id`` every text is followed by it.
+        """
+        data, offsets = textvec.buffers(column)
+        starts, ends, first = textvec.spans(data, offsets, self.inside)
+        h = textvec.word_hashes(data, starts, ends)
+        n_rows, chunks = len(offsets) - 1, np.diff(first)
+        alone = np.zeros(n_rows, bool)
         if self.kind == "byte":
-            parts = [(t or "").split(" ") for t in texts]
+            spaces = np.searchsorted(np.flatnonzero(data == 32), offsets)
+            alone = np.diff(spaces) != np.maximum(chunks - 1, 0)
+            opening = first[:-1][chunks > 0]
+            h[opening] = textvec.mix(h[opening] ^ _FIRST)
         else:
-            parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CHUNKS:
-            self.known.clear()
-        known = self.known
-        seen: set[str] = set()
-        for p in parts:
-            seen.update(p)
-        self.learn(seen.difference(known))
-        if self.kind == "word":
-            get = known.__getitem__
-            return [b"".join(map(get, p)) for p in parts]
-        out = []
-        for t, p in zip(texts, parts, strict=True):
-            if not t:
-                out.append(b"")
-                continue
-            got = [known[c] for c in p]
-            if None in got:
-                out.append(self.whole(t))
-            else:
-                got[0] = self.whole(p[0])
-                out.append(b"".join(got))
-        return out
+            opening = np.zeros(0, np.int64)
+        unique, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) > CHUNKS:
+            self.forget()
+        where = np.searchsorted(self.keys, unique)
+        new = np.ones(len(unique), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(where, len(self.keys) - 1)] != unique
+        if new.any():
+            raw = data.tobytes()
+            at = index[new]
+            texts = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self.learn(unique[new], texts, np.isin(at, opening).tolist())
+            where = np.searchsorted(self.keys, unique)
+        a, n, bad = self.at[where][inverse], self.size[where][inverse], self.bad[where][inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(a - upto[:-1], n) + np.arange(upto[-1])]
+        sizes = upto[first[1:]] - upto[first[:-1]]
+        if bad.any():
+            alone[np.searchsorted(first, np.flatnonzero(bad), "right") - 1] = True
+        if alone.any():
+            cut = np.concatenate([[0], np.cumsum(sizes)])
+            parts = [self.whole(column[k].as_py()) if alone[k] else ids[cut[k] : cut[k + 1]] for k in range(n_rows)]
+            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+        if end_id is not None:
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+        return ids, sizes
+
+
+def binary(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary column of 16-bit little-endian ids, a row for each text."""
+    offsets = np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
 
 
 @lru_cache(2)
