@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .hilbert_packing import op10_hilbert_packing
 from .huffman_ids import op2_huffman_ids
+from .language_id import op4_language_id
 from .minmax_dedup import op5_minmax_near_dedup
 from .wu_manber import op7_wu_manber_decontaminate
 
 QUERIES = {
     "op2_huffman_ids": op2_huffman_ids,
+    "op4_language_id": op4_language_id,
     "op5_minmax_near_dedup": op5_minmax_near_dedup,
     "op7_wu_manber_decontaminate": op7_wu_manber_decontaminate,
     "op10_hilbert_packing": op10_hilbert_packing,
