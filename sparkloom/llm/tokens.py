@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from . import textvec
 
-CHUNKS = 400_000
+CHUNKS = 1_500_000
 _FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
