@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ball_tree import op9_ball_tree_top_k
 from .hilbert_packing import op10_hilbert_packing
 from .huffman_ids import op2_huffman_ids
 from .language_id import op4_language_id
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_minmax_near_dedup": op5_minmax_near_dedup,
     "op7_wu_manber_decontaminate": op7_wu_manber_decontaminate,
+    "op9_ball_tree_top_k": op9_ball_tree_top_k,
     "op10_hilbert_packing": op10_hilbert_packing,
 }
 ORACLE: dict[str, str] = {}
