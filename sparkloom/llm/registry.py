@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .ball_tree import op9_ball_tree_top_k
 from .hilbert_packing import op10_hilbert_packing
+from .html_extract import op1_consensus_html
 from .huffman_ids import op2_huffman_ids
 from .language_id import op4_language_id
 from .minmax_dedup import op5_minmax_near_dedup
 from .wu_manber import op7_wu_manber_decontaminate
 
 QUERIES = {
+    "op1_consensus_html": op1_consensus_html,
     "op2_huffman_ids": op2_huffman_ids,
     "op4_language_id": op4_language_id,
     "op5_minmax_near_dedup": op5_minmax_near_dedup,
