@@ -196,14 +196,14 @@ def host_of(url) -> F.Column:
 
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, score): the best paths of each page, summed over the batch."""
+    """(host, path, score): the best paths of each page, the second for half and the third for a quarter, summed over the batch."""
     for batch in batches:
         total: dict[tuple[str, str], float] = {}
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
             text = html.as_py()
             score = Page(text).scores() if text else {}
-            for path, s in sorted(score.items(), key=lambda x: (-x[1], x[0]))[:TOP]:
-                total[host, path] = total.get((host, path), 0.0) + s
+            for rank, (path, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:TOP]):
+                total[host, path] = total.get((host, path), 0.0) + s / 2**rank
         yield pa.RecordBatch.from_arrays(
             [pa.array([h for h, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()), pa.array(list(total.values()), pa.float64())],
             names=["host", "path", "score"],
