@@ -173,11 +173,11 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return train([(r.text, r.lang) for r in rows])
 
 
-PREDICTED = "lang_pred string, score double, rejected boolean"
+NAMES = ("lang_pred", "score", "rejected")
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Columns ``keep`` of every row, with lang_pred, score and rejected.
+def identify(docs: DataFrame, model: Model, keep: list[str], min_confidence: float = MIN_CONFIDENCE, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """Columns ``keep`` of every row, with lang_pred, score and rejected (or other ``names``, where ``keep`` has these).
 
     Null texts and texts without letters give ``und``, score 0, rejected. Only the text is an input. Nulls elsewhere, repeated
     rows and further columns pass through.
@@ -191,10 +191,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str], min_confidence: flo
                 low = [x == "und" or s < min_confidence for x, s in zip(lang, score.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())],
-                    names=[*keep, "lang_pred", "score", "rejected"],
+                    names=[*keep, *names],
                 )
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, {PREDICTED}")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from .hilbert_packing import op10_hilbert_packing
 from .html_extract import op1_consensus_html
 from .huffman_ids import op2_huffman_ids
 from .language_id import op4_language_id
+from .line_dedup import op8_line_set_join
 from .minmax_dedup import op5_minmax_near_dedup
 from .wu_manber import op7_wu_manber_decontaminate
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_minmax_near_dedup": op5_minmax_near_dedup,
     "op7_wu_manber_decontaminate": op7_wu_manber_decontaminate,
+    "op8_line_set_join": op8_line_set_join,
     "op9_ball_tree_top_k": op9_ball_tree_top_k,
     "op10_hilbert_packing": op10_hilbert_packing,
 }
