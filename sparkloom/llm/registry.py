@@ -9,11 +9,13 @@ from .huffman_ids import op2_huffman_ids
 from .language_id import op4_language_id
 from .line_dedup import op8_line_set_join
 from .minmax_dedup import op5_minmax_near_dedup
+from .token_trees import op3_token_trees
 from .wu_manber import op7_wu_manber_decontaminate
 
 QUERIES = {
     "op1_consensus_html": op1_consensus_html,
     "op2_huffman_ids": op2_huffman_ids,
+    "op3_token_trees": op3_token_trees,
     "op4_language_id": op4_language_id,
     "op5_minmax_near_dedup": op5_minmax_near_dedup,
     "op7_wu_manber_decontaminate": op7_wu_manber_decontaminate,

@@ -91,11 +91,9 @@ class Encoder:
         self.keys = np.insert(self.keys, where, keys)
         self.at, self.size, self.bad = np.insert(self.at, where, at), np.insert(self.size, where, size), np.insert(self.bad, where, bad)
 
-    def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts of a column, one text after another, and each text's number of ids; null is empty.
-
-        With ``end_id`` every text is followed by it.
-        """
+    def look_up(self, column: pa.Array):
+        """Chunks of a text column: bytes, starts, each row's first chunk, each chunk's place in the pool and number of ids, and
+        the rows where chunks can't be encoded by themselves."""
         data, offsets = textvec.buffers(column)
         starts, ends, first = textvec.spans(data, offsets, self.inside)
         h = textvec.word_hashes(data, starts, ends)
@@ -121,15 +119,23 @@ class Encoder:
             texts = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             self.learn(unique[new], texts, np.isin(at, opening).tolist())
             where = np.searchsorted(self.keys, unique)
-        a, n, bad = self.at[where][inverse], self.size[where][inverse], self.bad[where][inverse]
+        bad = self.bad[where][inverse]
+        if bad.any():
+            alone[np.searchsorted(first, np.flatnonzero(bad), "right") - 1] = True
+        return data, offsets, starts, first, self.at[where][inverse], self.size[where][inverse], alone
+
+    def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts of a column, one text after another, and each text's number of ids; null is empty.
+
+        With ``end_id`` every text is followed by it.
+        """
+        _, _, _, first, a, n, alone = self.look_up(column)
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(a - upto[:-1], n) + np.arange(upto[-1])]
         sizes = upto[first[1:]] - upto[first[:-1]]
-        if bad.any():
-            alone[np.searchsorted(first, np.flatnonzero(bad), "right") - 1] = True
         if alone.any():
             cut = np.concatenate([[0], np.cumsum(sizes)])
-            parts = [self.whole(column[k].as_py()) if alone[k] else ids[cut[k] : cut[k + 1]] for k in range(n_rows)]
+            parts = [self.whole(column[k].as_py()) if alone[k] else ids[cut[k] : cut[k + 1]] for k in range(len(alone))]
             ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
         if end_id is not None:
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
