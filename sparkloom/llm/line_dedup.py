@@ -3,8 +3,8 @@
 A line is the set of its words. Words are ordered by rarity; two sets with Jaccard similarity t or more share a word among
 their first ``n - ceil(t n) + 1``, their second common word lies within one place more, and so on. So lines meet
 under their rare prefix words; a frequent word does not make a bucket by itself but only together
-with the next common word, or the next two, as long as the expected bucket is large. Length and positional filters cut candidates;
-intersections of the full sets decide. Of two similar lines the later one (by doc_id, then line number) is
+with the next common word, or the next two, as long as the expected bucket is large. Length, order and parity filters cut
+candidates; intersections of the full sets decide. Of two similar lines the later one (by doc_id, then line number) is
 removed; what counts is the input, not what other removals leave.
 
 Scale: rarity comes from hashed counts of all words, in one table of fixed size; hashes that occur once
@@ -27,7 +27,7 @@ from . import common, textvec
 TABLE_BITS = 22
 PIECE_BITS = 16
 #: Expected lines under a key beyond which another word joins the key.
-HOT = 200
+HOT = 3000
 #: Line numbers (4 bytes each) in lists that may be broadcast, and their documents.
 LIST_LINES, LIST_DOCS = 4_000_000, 300_000
 
@@ -43,7 +43,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Words:
-    """Distinct words of each line of a slice: ``line`` and ``h``, sorted by line and then by ``rank``."""
+    """Distinct words of each line of a slice: ``line`` and ``h``, sorted by line and then by (count, hash), or by hash."""
 
     def __init__(self, column, table: np.ndarray | None = None):
         data, offsets = textvec.buffers(column)
@@ -56,15 +56,14 @@ class Words:
         # a row's words follow its lines' beginnings; empty rows share offsets, so lines are found within rows
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(upto))
         line = np.searchsorted(begin + self.rows, starts + owner, "right") - 1
-        order = np.lexsort((h, line))
+        count = table[slot(h)] if table is not None else None
+        order = np.lexsort((h, line) if count is None else (h, count, line))
         line, h = line[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
         self.line, self.h = line[new], h[new]
-        if table is not None:
-            self.count = table[slot(self.h)]
-            order = np.lexsort((self.h, self.count, self.line))
-            self.line, self.h, self.count = self.line[order], self.h[order], self.count[order]
+        if count is not None:
+            self.count = count[order][new]
         self.begin = np.searchsorted(self.line, np.arange(len(self.rows)))
         self.n = np.diff(np.append(self.begin, len(self.line)))
 
@@ -74,14 +73,16 @@ def slot(h: np.ndarray) -> np.ndarray:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed counts of lines with each word, as compressed pieces of the table."""
+    """Hashed counts of all words, as compressed pieces of the table; piece -1 holds the number of lines."""
     total, lines = np.zeros(1 << TABLE_BITS, np.uint32), 0
     for batch in batches:
         for part in textvec.slices(batch, "text"):
-            w = Words(part.column("text"))
-            at, n = np.unique(slot(w.h), return_counts=True)
+            data, offsets = textvec.buffers(part.column("text"))
+            lines += len(offsets) - 1 + int((data == 10).sum())
+            data = textvec.LOWER[data]
+            starts, ends, _ = textvec.spans(data, offsets, textvec.SPACED)
+            at, n = np.unique(slot(textvec.word_hashes(data, starts, ends)), return_counts=True)
             total[at] += n.astype(np.uint32)
-            lines += len(w.rows)
     pieces = total.reshape(-1, 1 << PIECE_BITS)
     used = np.flatnonzero(pieces.any(1))
     yield pa.RecordBatch.from_arrays(
@@ -117,8 +118,8 @@ def word_counts(source: DataFrame) -> tuple[np.ndarray, int]:
     return table, lines
 
 
-def hot_keys(h: np.ndarray, count: np.ndarray, need: int, lines: int) -> list[tuple[int, int, int]]:
-    """(key, level, last place) of one line's keys that begin with a frequent word. ``need``: least overlap."""
+def hot_keys(h: np.ndarray, count: np.ndarray, need: int, lines: int) -> list[int]:
+    """One line's keys that begin with a frequent word. ``need``: least overlap."""
     n, out = len(h), []
     odd = np.uint64(0x9FB21C651E98DF25)
     c = count.astype(np.float64)
@@ -128,71 +129,68 @@ def hot_keys(h: np.ndarray, count: np.ndarray, need: int, lines: int) -> list[tu
         for j in range(i + 1, n - need + 2):
             two = textvec.mix(h[i : i + 1] * odd + h[j])
             if c[i] * c[j] / lines <= HOT:
-                out.append((int(two.view(np.int64)[0]), 2, j))
-                continue
-            last = np.arange(j + 1, n - need + 3)
-            three = textvec.mix(two * odd + h[last])
-            out += [(int(k), 3, int(m)) for k, m in zip(three.view(np.int64), last, strict=True)]
+                out.append(int(two.view(np.int64)[0]))
+            else:
+                out += textvec.mix(two * odd + h[j + 1 : n - need + 3]).view(np.int64).tolist()
     return out
 
 
-LINES = "doc_id long, line int, n int, d1 long, d2 long, keys array<long>, levels array<int>, rest array<int>"
+LINES = "doc_id long, line int, n int, d long, x long, m array<long>, keys array<long>"
+#: Min-hashes by which lines find a first partner.
+FIRST = 3
 
 
 def keyed(batches: Iterator[pa.RecordBatch], table: np.ndarray, lines: int, pct: int) -> Iterator[pa.RecordBatch]:
-    """One row per line with words: its set's digest and size, and the keys under which it meets others."""
-    lists = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    """One row per line with words: size, digest and parity bits of its set, min-hashes, and the keys under which it meets others.
+
+    ``x`` has a bit for each of 64 classes of words, set if the line has an odd number of them: sets whose bits differ in k
+    places differ in k words at least.
+    """
     for batch in batches:
         for part in textvec.slices(batch, "text"):
             w = Words(part.column("text"), table)
             full = np.flatnonzero(w.n)
-            total = np.zeros((2, len(full)), np.uint64)
+            at = w.begin[full]
+            digest, parity, least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, FIRST), np.uint64)
             if len(full):
-                total[0] = np.add.reduceat(textvec.mix(w.h), w.begin[full])
-                total[1] = np.add.reduceat(textvec.mix(w.h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), w.begin[full])
+                digest = np.add.reduceat(textvec.mix(w.h), at)
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (w.h & np.uint64(63)), at)
+                least = np.stack([np.minimum.reduceat(textvec.mix(w.h + np.uint64(k + 1)), at) + np.uint64(k) for k in range(FIRST)], 1)
             need = -(-pct * w.n // 100)
             place = np.arange(len(w.h)) - w.begin[w.line] if len(w.h) else np.zeros(0, np.int64)
             able = (w.n >= 3)[w.line] & (place <= (w.n - need)[w.line])
             cold = np.flatnonzero(able & (w.count > 1) & (w.count <= HOT))
-            line = [w.line[cold]]
-            key, level, rest = [w.h[cold].view(np.int64)], [np.ones(len(cold), np.int32)], [(w.n[w.line[cold]] - place[cold] - 1).astype(np.int32)]
-            hot: list[tuple[int, int, int, int]] = []
-            for at in np.unique(w.line[able & (w.count > HOT)]).tolist():
-                a, n = int(w.begin[at]), int(w.n[at])
-                hot += [(at, k, lv, n - m - 1) for k, lv, m in hot_keys(w.h[a : a + n], w.count[a : a + n], int(need[at]), lines)]
-            if hot:
-                x = np.array(hot, np.int64)
-                line.append(x[:, 0])
-                key.append(x[:, 1])
-                level.append(x[:, 2].astype(np.int32))
-                rest.append(x[:, 3].astype(np.int32))
-            line_, key_, level_, rest_ = (np.concatenate(x) for x in (line, key, level, rest))
+            line, key = [w.line[cold]], [w.h[cold].view(np.int64)]
+            for k in np.unique(w.line[able & (w.count > HOT)]).tolist():
+                a, n = int(w.begin[k]), int(w.n[k])
+                more = hot_keys(w.h[a : a + n], w.count[a : a + n], int(need[k]), lines)
+                line.append(np.full(len(more), k, np.int64))
+                key.append(np.array(more, np.int64))
+            line_, key_ = np.concatenate(line), np.concatenate(key)
             order = np.argsort(line_, kind="stable")
             ends = pa.array(np.searchsorted(line_[order], np.append(full, len(w.n))).astype(np.int32))
-            cols = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (key_, level_, rest_)]
-            ids = part.column("doc_id").take(pa.array(w.rows[full]))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(w.number[full].astype(np.int32)), pa.array(w.n[full].astype(np.int32)), *(pa.array(t.view(np.int64)) for t in total), *cols],
-                schema=pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())] + list(zip(("keys", "levels", "rest"), lists, strict=True))),
+                [
+                    part.column("doc_id").take(pa.array(w.rows[full])),
+                    pa.array(w.number[full].astype(np.int32)),
+                    pa.array(w.n[full].astype(np.int32)),
+                    pa.array(digest.view(np.int64)),
+                    pa.array(parity.view(np.int64)),
+                    pa.array(list(least.view(np.int64)), pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(ends, pa.array(key_[order])),
+                ],
+                names=["doc_id", "line", "n", "d", "x", "m", "keys"],
             )
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, s) of the lines listed in ``wanted``."""
+    """(doc_id, line, s): the sets of single lines."""
     for batch in batches:
         for part in textvec.slices(batch, "text"):
             w = Words(part.column("text"))
-            first = np.searchsorted(w.rows, np.arange(part.num_rows))
-            docs, numbers, sets = [], [], []
-            for k, (doc, wanted) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("wanted").to_pylist(), strict=True)):
-                for m in wanted:
-                    at = first[k] + m
-                    docs.append(doc)
-                    numbers.append(m)
-                    sets.append(w.h[w.begin[at] : w.begin[at] + w.n[at]].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "line", "s"]
-            )
+            ends = pa.array(np.append(w.begin, len(w.h)).astype(np.int32))
+            sets = pa.ListArray.from_arrays(ends, pa.array(w.h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("line"), sets], names=["doc_id", "line", "s"])
 
 
 def small_lists(df: DataFrame, column: str) -> DataFrame:
@@ -209,39 +207,50 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
     table, n_lines = word_counts(source)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     lines = common.stage(source.mapInArrow(lambda it: keyed(it, shared.value, max(1, n_lines), pct), LINES), "lines")
-    classes = common.stage(
-        lines.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "line", "keys", "levels", "rest")).alias("f")).select(
-            "d1", "d2", "n", F.struct("f.doc_id", "f.line").alias("id"), "f.keys", "f.levels", "f.rest"
-        ),
-        "classes",
-    )
-    posted = classes.select("id", "n", F.explode(F.arrays_zip("keys", "levels", "rest")).alias("p")).select("id", "n", "p.*")
-    a = posted.select("keys", "levels", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "rest")))
-    b = posted.select("keys", "levels", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "rest")))
-    least = F.ceil((pct * (F.col("a_n") + F.col("b_n"))) / F.lit(100 + pct) - 1e-9)
-    pairs = (
-        a.join(b, ["keys", "levels"])
-        .filter((F.col("a_id") < F.col("b_id")) & (100 * F.col("a_n") >= pct * F.col("b_n")) & (100 * F.col("b_n") >= pct * F.col("a_n")))
-        .filter(F.col("levels") + F.least("a_rest", "b_rest") >= least)
-        .select("a_id", "b_id")
-        .distinct()
-    )
-    pairs = common.stage(pairs, "pairs")
-    wanted = pairs.select(F.col("a_id").alias("id")).union(pairs.select(F.col("b_id").alias("id"))).distinct()
-    wanted = common.stage(wanted.groupBy("id.doc_id").agg(F.collect_list("id.line").alias("wanted")), "wanted")
-    sets = source.join(small_lists(wanted, "wanted"), "doc_id").mapInArrow(sets_of, "doc_id long, line int, s array<long>")
-    sets = common.stage(sets.select(F.struct("doc_id", "line").alias("id"), "s"), "sets")
-    inter = F.size(F.array_intersect("s", "t"))
-    later = (
-        pairs.join(sets.withColumnRenamed("id", "a_id"), "a_id")
-        .join(sets.select(F.col("id").alias("b_id"), F.col("s").alias("t")), "b_id")
-        .filter(100 * inter >= pct * (F.size("s") + F.size("t") - inter))
-        .select("b_id")
-        .distinct()
+    first = F.min(F.struct("doc_id", "line", "m", "keys")).alias("f")
+    classes = common.stage(lines.groupBy("d", "x", "n").agg(first).select("n", "x", "f.*"), "classes")
+
+    def alike(a: str, b: str) -> F.Column:
+        """What two sets of similar lines must satisfy: order, sizes, and few differing parity bits."""
+        na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
+        differ = F.bit_count(F.col(f"{a}_x").bitwiseXOR(F.col(f"{b}_x")))
+        earlier = F.struct(f"{a}_doc", f"{a}_line") < F.struct(f"{b}_doc", f"{b}_line")
+        return earlier & (100 * na >= pct * nb) & (100 * nb >= pct * na) & (differ * (100 + pct) <= (100 - pct) * (na + nb))
+
+    def posted(column: str, side: str, frame: DataFrame, *more: str) -> DataFrame:
+        names = {"doc_id": "doc", "line": "line", "n": "n", "x": "x"}
+        return frame.select(*(F.col(c).alias(f"{side}_{k}") for c, k in names.items()), *more, F.explode(column).alias("key"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The later lines (doc_id, line) of pairs whose full sets are similar."""
+        ids = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line")).union(pairs.select("b_doc", "b_line")).distinct()
+        wanted = common.stage(ids.groupBy("doc_id").agg(F.collect_list("line").alias("wanted")), "wanted")
+        parts = F.transform("wanted", lambda k: F.struct(k.alias("line"), F.element_at(F.split("text", "\n", -1), k + 1).alias("text")))
+        single = source.join(small_lists(wanted, "wanted"), "doc_id").select("doc_id", F.inline(parts))
+        sets = common.stage(single.mapInArrow(sets_of, "doc_id long, line int, s array<long>"), "sets")
+        inter = F.size(F.array_intersect("s", "t"))
+        both = pairs.join(sets.select(F.col("doc_id").alias("a_doc"), F.col("line").alias("a_line"), "s"), ["a_doc", "a_line"]).join(
+            sets.select(F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"), F.col("s").alias("t")), ["b_doc", "b_line"]
+        )
+        good = both.filter(100 * inter >= pct * (F.size("s") + F.size("t") - inter))
+        return common.stage(good.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct(), "later")
+
+    # Most later lines of a family share a min-hash with its earliest line: one partner each settles them.
+    heads = posted("m", "b", classes)
+    hub = heads.groupBy("key").agg(F.min(F.struct("b_doc", "b_line", "b_n", "b_x")).alias("h"), F.count("*").alias("size")).filter("size > 1")
+    hub = hub.select("key", *(F.col(f"h.b_{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "x")))
+    best = heads.join(hub, "key").filter(alike("a", "b")).groupBy("b_doc", "b_line").agg(
+        F.min(F.struct(F.bit_count(F.col("a_x").bitwiseXOR(F.col("b_x"))).alias("far"), "a_doc", "a_line")).alias("p")
     )
-    later = common.stage(later, "later")
-    kept = classes.select("id").join(common.small(later.select(F.col("b_id").alias("id"))), "id", "left_anti")
-    removed = lines.select("doc_id", "line").join(kept.select("id.doc_id", "id.line"), ["doc_id", "line"], "left_anti")
+    settled = similar(common.stage(best.select("b_doc", "b_line", "p.a_doc", "p.a_line"), "pairs"))
+    # The others meet every earlier line with which they share a key.
+    open_ = classes.join(common.small(settled.withColumn("done", F.lit(True))), ["doc_id", "line"], "left")
+    shared_keys = posted("keys", "a", open_.drop("m"), F.col("done").isNull().alias("open"))
+    other = shared_keys.select("key", "open", *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("doc", "line", "n", "x")))
+    met = shared_keys.drop("open").join(other, "key").filter(F.col("open") & alike("a", "b"))
+    later = similar(common.stage(met.select("a_doc", "a_line", "b_doc", "b_line").distinct(), "pairs")).union(settled)
+    kept = classes.select("doc_id", "line").join(common.small(later), ["doc_id", "line"], "left_anti")
+    removed = lines.select("doc_id", "line").join(kept, ["doc_id", "line"], "left_anti")
     return common.stage(removed.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed")), "removed")
 
 

@@ -21,7 +21,7 @@ def brute(docs, pct):
     return out
 
 
-@pytest.mark.parametrize("hot", [200, 2])
+@pytest.mark.parametrize("hot", [3000, 2])
 @pytest.mark.parametrize("pct", [80, 75])
 def test_against_all_pairs(spark, hot, pct, monkeypatch):
     rng = random.Random(hot + pct)
