@@ -21,6 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def texts(df: DataFrame, *columns) -> DataFrame:
+    """``columns`` of a table of whole texts, on their way to Python workers.
+
+    Arrow batches of the default 10,000 rows would hold tens of megabytes of text on both sides; batches of
+    1,000 rows bound that. A session that set its own number keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df.select(*columns)
+
+
 def fresh(spark: SparkSession) -> str:
     """A new folder's path in the shared folder."""
     return f"{shared_dir(spark)}/sparkloom/{uuid.uuid4().hex}"

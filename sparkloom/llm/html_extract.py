@@ -238,7 +238,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Null or empty html gives an empty text; a null url or one without a host shares the host ''. Repeated rows
     each give a row and a vote. Further columns are ignored. Containers nested deeper than ``DEPTH`` count for the one at that depth.
     """
-    source = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    source = common.texts(pages, "page_id", "url", host_of(F.col("url")).alias("host"), "html")
     best = common.stage(winners(source), "winners")
     joined = source.join(common.small(best), "host", "left").select("page_id", "url", "path", "html")
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textvec
+from . import common, textvec
 
 #: Labelled rows of each language that the classifier is fitted on, about; the bound of the sample.
 SAMPLE = 1200
@@ -194,7 +194,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], min_confidence: flo
                     names=[*keep, *names],
                 )
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    return common.texts(docs, *keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -203,7 +203,7 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
     """(doc_id, removed array<int>): the numbers, from 0, of lines that repeat an earlier line; only documents with such lines."""
     if not 75 <= pct <= 100:
         raise ValueError("pct must be 75 to 100")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = common.texts(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
     table, n_lines = word_counts(source)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     lines = common.stage(source.mapInArrow(lambda it: keyed(it, shared.value, max(1, n_lines), pct), LINES), "lines")

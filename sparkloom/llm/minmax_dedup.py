@@ -140,7 +140,7 @@ def near_duplicates(
     their id: give unique ids. Other columns are ignored; an empty table gives an empty result.
     """
     bands = bands_for(threshold_pct)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = common.texts(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = common.stage(
         source.mapInArrow(lambda it: sign(it, shingle_words, bands), "id long, n_shingles long, digest binary, bands array<long>"), "signed"
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textvec, tokens
+from . import common, textvec, tokens
 
 #: Bytes of a leaf, about; a leaf that edits grow beyond 8 times that makes its document's tree be built anew.
 LEAF = 128
@@ -159,7 +159,7 @@ def build_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
                     names=["doc_id", "n_tokens", "leaves", "counts"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TREES)
+    return common.texts(docs, F.col("doc_id").cast("long"), "text").mapInArrow(run, TREES)
 
 
 def apply_edits(trees: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
@@ -212,7 +212,7 @@ def revise(docs: DataFrame, tokenizer: str) -> DataFrame:
                     [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names=["doc_id", "n_tokens", "n_edited", "n_encoded"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_edited long, n_encoded long")
+    return common.texts(docs, F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_edited long, n_encoded long")
 
 
 def op3_token_trees(spark, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at, self.size, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.at, self.size, self.bad = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, bool)
         self.pool, self.used = np.zeros(1 << 20, np.uint16), 0
 
     def whole(self, text: str) -> np.ndarray:
@@ -83,13 +83,13 @@ class Encoder:
         size = np.array([len(g) for g in got])
         need = self.used + int(size.sum())
         if need > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(need, len(self.pool)), np.uint16)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(need - self.used + (1 << 21), np.uint16)])
         self.pool[self.used : need] = np.concatenate(got)
         at = self.used + np.cumsum(size) - size
         self.used = need
         where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.at, self.size, self.bad = np.insert(self.at, where, at), np.insert(self.size, where, size), np.insert(self.bad, where, bad)
+        self.keys, self.at = np.insert(self.keys, where, keys), np.insert(self.at, where, at.astype(np.uint32))
+        self.size, self.bad = np.insert(self.size, where, size.astype(np.int32)), np.insert(self.bad, where, bad)
 
     def look_up(self, column: pa.Array):
         """Chunks of a text column: bytes, starts, each row's first chunk, each chunk's place in the pool and number of ids, and
@@ -122,7 +122,7 @@ class Encoder:
         bad = self.bad[where][inverse]
         if bad.any():
             alone[np.searchsorted(first, np.flatnonzero(bad), "right") - 1] = True
-        return data, offsets, starts, first, self.at[where][inverse], self.size[where][inverse], alone
+        return data, offsets, starts, first, self.at[where][inverse].astype(np.int64), self.size[where][inverse].astype(np.int64), alone
 
     def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a column, one text after another, and each text's number of ids; null is empty.

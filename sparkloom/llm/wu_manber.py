@@ -182,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     that several items share count for each. An empty benchmark leaves all documents clean. With several blocks
     of patterns doc_ids must be unique.
     """
-    source = docs.select(F.col("doc_id").cast("long"), "text")
+    source = common.texts(docs, F.col("doc_id").cast("long"), "text")
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
     size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.count("*").alias("k")).first()
     n_blocks = max(1, -(-int(size.n) // (2 * pattern_words)))
