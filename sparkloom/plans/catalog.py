@@ -1,6 +1,570 @@
-"""All queries over the driver tables, with their SQL."""
+"""All queries over the driver's tables, each with the SQL that says the same in DuckDB where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scoring as S
+from ..functions import text as T
+from ..operators import bm25, candidates, chunking, claims, diff, fusion, ranking, replies, store, structure, tfidf
+from ..sources import replies as sources
+from ..streaming import deltas
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_KSTOP = ", ".join(f"'{w}'" for w in T.KEYWORD_STOP_WORDS)
+
+
+def tok(c: str) -> str:
+    clean = f"trim(regexp_replace(regexp_replace(lower({c}), '[.,;:!?()\\[\\]{{}}\"''`]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"list_filter(string_split({clean}, ' '), lambda x: length(x) >= 2 AND x NOT IN ({_STOP}))"
+
+
+def query(name: str, sql: str | None = None):
+    def put(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE[name] = sql
+        return function
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def item(spark: SparkSession, sf_dir: str, k: int) -> str:
+    """Text of one benchmark item: a query."""
+    row = read(spark, sf_dir, "benchmark").filter(F.col("item_id") == k).select("text").first()
+    return row.text if row else ""
+
+
+# ---- retrieval -------------------------------------------------------------------------------------------------------
+
+_POST = f"""d AS (SELECT doc_id, {tok('text')} AS t FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d)"""
+
+
+def _q(k: int, name: str = "q") -> str:
+    return f"{name} AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({tok('text')}) AS term FROM benchmark WHERE item_id = {k}) GROUP BY term)"
+
+
+def _bm(name: str = "b", q: str = "q") -> str:
+    return f"""{name} AS (SELECT d.doc_id, round(coalesce(x.score, 0), 6) AS score FROM d LEFT JOIN (
+SELECT p.doc_id, sum(qtf * ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len(d.t) / avgdl))) AS score
+FROM p JOIN {q} USING (term) JOIN df USING (term) JOIN d ON d.doc_id = p.doc_id, s GROUP BY p.doc_id) x ON x.doc_id = d.doc_id)"""
+
+
+_TF = """w AS (SELECT doc_id, term, tf * (ln((n + 1) / (df + 1)::DOUBLE) + 1) AS w FROM p JOIN df USING (term), s),
+wq AS (SELECT term, qtf * (ln((n + 1) / (df + 1)::DOUBLE) + 1) AS w FROM q JOIN df USING (term), s),
+v AS (SELECT d.doc_id, round(coalesce(x.dot / nullif(x.nd * (SELECT sqrt(sum(w * w)) FROM wq), 0), 0), 6) AS score FROM d LEFT JOIN (
+SELECT w.doc_id, sum(w.w * coalesce(wq.w, 0)) AS dot, sqrt(sum(w.w * w.w)) AS nd FROM w LEFT JOIN wq USING (term) GROUP BY w.doc_id) x ON x.doc_id = d.doc_id)"""
+
+_RANK = "row_number() OVER (ORDER BY score DESC, doc_id)"
+
+
+@query("tokenize", f"SELECT doc_id, len({tok('text')})::BIGINT AS n_terms, md5(array_to_string({tok('text')}, ' ')) AS terms_md5 FROM documents")
+def _(spark, d):
+    t = read(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("terms_md5"))
+
+
+@query("term_stats", f"WITH {_POST} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term")
+def _(spark, d):
+    return bm25.term_stats(read(spark, d, "documents"))
+
+
+@query("bm25_scores", f"WITH {_POST}, {_q(0)}, {_bm()} SELECT doc_id, score FROM b")
+def _(spark, d):
+    return bm25.scores(read(spark, d, "documents"), item(spark, d, 0)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_topk", f"WITH {_POST}, {_q(0)}, {_bm()} SELECT doc_id, score, {_RANK}::BIGINT AS rank FROM b ORDER BY rank LIMIT 20")
+def _(spark, d):
+    scored = bm25.scores(read(spark, d, "documents"), item(spark, d, 0)).select("doc_id", F.round("score", 6).alias("score"))
+    return ranking.top(scored, "score", "doc_id", 20)
+
+
+@query("bm25_rank_all", f"WITH {_POST}, {_q(1)}, {_bm()} SELECT doc_id, score, {_RANK}::BIGINT AS rank FROM b")
+def _(spark, d):
+    scored = bm25.scores(read(spark, d, "documents"), item(spark, d, 1)).select("doc_id", F.round("score", 6).alias("score"))
+    return ranking.rank_all(scored, "score", "doc_id")
+
+
+@query("tfidf_topk", f"WITH {_POST}, {_q(0)}, {_TF} SELECT doc_id, score, {_RANK}::BIGINT AS rank FROM v ORDER BY rank LIMIT 20")
+def _(spark, d):
+    scored = tfidf.similarities(read(spark, d, "documents"), item(spark, d, 0)).select("doc_id", F.round("score", 6).alias("score"))
+    return ranking.top(scored, "score", "doc_id", 20)
+
+
+@query(
+    "hybrid_rrf",
+    f"""WITH {_POST}, {_q(0)}, {_bm()}, {_TF},
+rb AS (SELECT doc_id, score, {_RANK} AS rank FROM b), rv AS (SELECT doc_id, score, {_RANK} AS rank FROM v)
+SELECT doc_id, rb.score AS bm25_score, rv.score AS vector_score, rb.rank::BIGINT AS bm25_rank, rv.rank::BIGINT AS vector_rank,
+round(1e0 / (60 + rb.rank) + 1e0 / (60 + rv.rank), 9) AS rrf_score FROM rb JOIN rv USING (doc_id)""",
+)
+def _(spark, d):
+    return fusion.hybrid(read(spark, d, "documents"), item(spark, d, 0))
+
+
+@query(
+    "multi_query_rrf",
+    f"""WITH {_POST}, {_q(0, 'q0')}, {_q(1, 'q1')}, {_q(2, 'q2')}, {_bm('b0', 'q0')}, {_bm('b1', 'q1')}, {_bm('b2', 'q2')},
+r AS (SELECT doc_id, {_RANK} AS rank FROM b0 UNION ALL SELECT doc_id, {_RANK} FROM b1 UNION ALL SELECT doc_id, {_RANK} FROM b2)
+SELECT doc_id, round(sum(1e0 / (60 + rank)), 9) AS score FROM r GROUP BY doc_id""",
+)
+def _(spark, d):
+    return fusion.multi_query(read(spark, d, "documents"), [item(spark, d, k) for k in range(3)] + [" "], "")
+
+
+@query(
+    "bm25_many_queries",
+    f"""WITH {_POST}, q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({tok('text')}) AS term FROM benchmark) GROUP BY ALL)
+SELECT query_id, p.doc_id AS id, round(sum(qtf * ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len(d.t) / avgdl))), 5) AS score
+FROM p JOIN q USING (term) JOIN df USING (term) JOIN d ON d.doc_id = p.doc_id, s GROUP BY query_id, p.doc_id""",
+)
+def _(spark, d):
+    qs = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return bm25.scores_of_queries(read(spark, d, "documents"), qs).withColumn("score", F.round("score", 5))
+
+
+@query("multi_query_chunks")
+def _(spark, d):
+    chunks = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    qs = read(spark, d, "benchmark").filter("item_id < 4").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return fusion.multi_query_chunks(chunks, qs)
+
+
+@query(
+    "dense_cosine_topk",
+    """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+s AS (SELECT vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.v::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.v::DOUBLE[], q.v::DOUBLE[])), 6) AS score FROM embeddings e, q)
+SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id)::BIGINT AS rank FROM s ORDER BY rank LIMIT 10""",
+)
+def _(spark, d):
+    e = read(spark, d, "embeddings")
+    first = e.filter("vec_id = 0").select("embedding").first()
+    q = F.array(*map(F.lit, first.embedding if first else [])).cast("array<double>")
+    return ranking.top(e.select("vec_id", F.round(tfidf.cosine(F.col("embedding"), q), 6).alias("score")), "score", "vec_id", 10)
+
+
+# ---- candidates ------------------------------------------------------------------------------------------------------
+
+
+@query("dedup_first", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY upper(regexp_replace(text, '\\s', '', 'g'))")
+def _(spark, d):
+    return candidates.dedup(read(spark, d, "documents"), "text", "doc_id").select("doc_id")
+
+
+@query(
+    "cutoff_filter",
+    """WITH o AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'n/a' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS pub,
+CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') END AS filed FROM orders)
+SELECT o_orderkey FROM o WHERE coalesce(pub, filed) IS NULL OR coalesce(pub, filed) = '' OR try_cast(coalesce(pub, filed) AS DATE) <= DATE '1996-06-30'""",
+)
+def _(spark, d):
+    o = read(spark, d, "orders")
+    r = F.pmod("o_orderkey", F.lit(5))
+    pub = F.when(r == 0, None).when(r == 1, "").when(r == 2, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    filed = F.when(F.pmod("o_orderkey", F.lit(2)) == 0, F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd"))
+    return candidates.before_cutoff(o.select("o_orderkey", pub.alias("publicationDate"), filed.alias("filingDate")), "1996-06-30").select("o_orderkey")
+
+
+@query(
+    "document_text",
+    """SELECT p_partkey, concat_ws(' ', nullif(p_name, ''), nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END, ''), nullif(p_type, '')) AS text,
+substr(concat(coalesce(p_name, ''), ' ', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END, ' ', coalesce(p_type, '')), 1, 20) AS excerpt FROM part""",
+)
+def _(spark, d):
+    brand = F.when(F.pmod("p_partkey", F.lit(3)) == 0, "").otherwise(F.col("p_brand"))
+    parts = (F.col("p_name"), brand, F.col("p_type"))
+    return read(spark, d, "part").select("p_partkey", candidates.document_text(*parts).alias("text"), candidates.excerpt(20, *parts).alias("excerpt"))
+
+
+@query("url_validity", "SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') AS valid, page_id % 4 <> 1 AND regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') AS reachable FROM pages")
+def _(spark, d):
+    p = read(spark, d, "pages")
+    status = F.element_at(F.array(F.lit(200), F.lit(404), F.lit(405), F.lit(302)), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
+    return p.select("page_id", candidates.url_valid(F.col("url")).alias("valid"), candidates.url_valid(F.col("url"), status).alias("reachable"))
+
+
+@query("url_batch", "SELECT page_id, coalesce(page_id % 3 = 0 OR EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id % 3 = 0), false) AS urlValid FROM pages p")
+def _(spark, d):
+    p = read(spark, d, "pages").select("page_id", "url")
+    checked = p.filter("page_id % 3 = 0").select("url", F.lit(True).alias("valid"))
+    return candidates.with_url_validity(p, checked).select("page_id", "urlValid")
+
+
+@query(
+    "labelled_candidates",
+    "SELECT d.doc_id, coalesce(l.quality, floor(n_chars / 1000.0 + 0.5)::INT) AS score FROM documents d LEFT JOIN labels l USING (doc_id)",
+)
+def _(spark, d):
+    joined = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("quality", S.round_half_up(F.col("n_chars") / 1000).cast("int")).alias("score"))
+
+
+# ---- text ------------------------------------------------------------------------------------------------------------
+
+_SENT = """n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\\n', ' ', 'g'), '\\s{2,}', ' ', 'g')) AS whole,
+regexp_replace(regexp_replace(text, '\\n', ' ', 'g'), '\\s{2,}', ' ', 'g') AS x FROM documents),
+g AS (SELECT doc_id, whole, list_filter(list_transform(string_split(regexp_replace(x, '([.?!]) ', '\\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: length(y) >= 10) AS l FROM n),
+f AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [whole] END AS l FROM g)"""
+
+
+@query("sentences", f"WITH {_SENT} SELECT doc_id, len(l)::BIGINT AS n, md5(array_to_string(l, '|')) AS h FROM f")
+def _(spark, d):
+    s = read(spark, d, "documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("h"))
+
+
+@query(
+    "chunks",
+    f"""WITH RECURSIVE {_SENT},
+r AS (SELECT f.doc_id, l, 1 AS i, length(l[1]) + 1 AS used, 0 AS c FROM f JOIN documents USING (doc_id) WHERE length(trim(text)) >= 50
+UNION ALL SELECT doc_id, l, i + 1, CASE WHEN used + length(l[i + 1]) > 1200 AND used >= 700 THEN length(l[i + 1]) + 1 ELSE used + length(l[i + 1]) + 1 END,
+CASE WHEN used + length(l[i + 1]) > 1200 AND used >= 700 THEN c + 1 ELSE c END FROM r WHERE i < len(l)),
+k AS (SELECT doc_id, c, string_agg(l[i], ' ' ORDER BY i) AS text FROM r GROUP BY doc_id, c),
+p AS (SELECT doc_id, c, text, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY c) AS upto FROM k)
+SELECT doc_id, upto::BIGINT - length(text) - 1 AS charStart, upto::BIGINT AS charEnd, md5(text) AS h FROM p WHERE length(text) >= 50""",
+)
+def _(spark, d):
+    c = read(spark, d, "documents").select("doc_id", F.explode(chunking.chunk_array(F.col("text"), F.lit(0))).alias("c"))
+    return c.select("doc_id", "c.charStart", "c.charEnd", F.md5("c.text").alias("h"))
+
+
+@query("section_chunks")
+def _(spark, d):
+    docs = read(spark, d, "documents")
+    return chunking.chunks(structure.sections(docs)).select("doc_id", "chunk_id", "sectionType", "charStart", "charEnd", F.length("overlapBefore").alias("n_before"), F.length("overlapAfter").alias("n_after"))
+
+
+@query(
+    "keywords",
+    f"""SELECT item_id, array_to_string(list_transform(list_filter(list_zip(k, range(1, len(k) + 1)), lambda x: list_position(k, x[1]) = x[2]), lambda x: x[1]), ' ') AS words FROM (
+SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^A-Za-z0-9_가-힣\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2 AND x NOT IN ({_KSTOP})) AS k FROM benchmark)""",
+)
+def _(spark, d):
+    return read(spark, d, "benchmark").select("item_id", F.array_join(T.keywords(F.col("text")), " ").alias("words"))
+
+
+@query(
+    "claim_elements",
+    """WITH p AS (SELECT doc_id, trim(text) AS t, list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(text), '(?i),\\s*(그리고|및|또는|wherein|and|comprising)', chr(1) || '\\1', 'g'), '[;；]', chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: length(y) > 10) AS l
+FROM documents WHERE NOT regexp_matches(text, '(\\n|[;；])\\s*([（(][가-힣a-zA-Z0-9][)）]|[0-9]+\\.\\s|[A-Z]\\.\\s|[-•·]\\s)')),
+e AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [t] END AS l FROM p)
+SELECT doc_id, len(l)::BIGINT AS n, md5(array_to_string(l, '|')) AS h, CASE WHEN len(l) > 26 THEN len(l)::VARCHAR ELSE chr(64 + len(l)::INT) END AS last_id FROM e""",
+)
+def _(spark, d):
+    docs = read(spark, d, "documents").filter(~F.col("text").rlike(rf"(\n|[;；])\s*({claims.LIST_MARK})"))
+    e = docs.select("doc_id", claims.elements(F.col("text")).alias("e"))
+    return e.select("doc_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join(F.transform("e", lambda x: x["text"]), "|")).alias("h"), F.element_at("e", -1)["id"].alias("last_id"))
+
+
+_BROAD_SQL = " || ".join(
+    f"CASE WHEN regexp_matches(text, '(?i){chr(92)}b({w}){chr(92)}b') THEN '{label}|' ELSE '' END" for w, label in claims.BROAD[:3]
+)
+
+
+@query("broad_terms", f"SELECT doc_id, {_BROAD_SQL} AS labels FROM documents")
+def _(spark, d):
+    known = [label for _, label in claims.BROAD[:3]]
+    found = F.transform(claims.broad_terms(F.col("text")), lambda x: F.regexp_extract(x, "— (.*)$", 1))
+    found = F.filter(found, lambda x: x.isin(known))
+    return read(spark, d, "documents").select("doc_id", F.array_join(F.transform(found, lambda x: F.concat(x, F.lit("|"))), "").alias("labels"))
+
+
+_FIELD_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){w}') THEN '{n}'" for w, n in claims.FIELDS) + f" ELSE '{claims.NO_FIELD}' END"
+
+
+@query("technical_field", f"SELECT doc_id, {_FIELD_SQL} AS field FROM documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", claims.technical_field(F.col("text")).alias("field"))
+
+
+@query("relevant_passages")
+def _(spark, d):
+    claim = item(spark, d, 0)
+    text = F.regexp_replace("text", "\n", "\n\n")
+    return read(spark, d, "documents").select("doc_id", F.md5(chunking.relevant_passages(text, F.lit(claim), 1500)).alias("h"))
+
+
+@query("word_diff")
+def _(spark, d):
+    b = read(spark, d, "benchmark")
+    pairs = b.alias("a").join(b.alias("b"), F.col("a.item_id") + 1 == F.col("b.item_id")).select(F.col("a.item_id").alias("item_id"), F.col("a.text").alias("l"), F.col("b.text").alias("r"))
+    return diff.with_diff(pairs, "l", "r").select("item_id", "equal", "deleted", "inserted", "similarity")
+
+
+@query(
+    "evidence_validation",
+    """WITH w AS (SELECT doc_id, d.text, b.text AS ev, list_filter(string_split_regex(lower(trim(b.text)), '\\s+'), lambda x: length(x) > 2) AS l FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
+SELECT doc_id, CASE WHEN len(l) = 0 OR 2 * len(list_filter(l, lambda x: contains(lower(text), x))) >= len(l) THEN 'kept' ELSE 'replaced' END AS outcome FROM w""",
+)
+def _(spark, d):
+    docs = read(spark, d, "documents").withColumn("item_id", F.pmod("doc_id", F.lit(40)))
+    j = docs.join(F.broadcast(read(spark, d, "benchmark").filter("item_id < 40").select("item_id", F.col("text").alias("ev"))), "item_id")
+    return j.select("doc_id", F.when(S.valid_evidence(F.col("ev"), F.col("text")) == S.UNCONFIRMED, "replaced").otherwise("kept").alias("outcome"))
+
+
+# ---- inline documents ------------------------------------------------------------------------------------------------
+
+_DEPS = [(1, "The device of claim 1, wherein x"), (2, "according to claim 2 comprising y"), (3, "제1항에 있어서"), (4, "A device with a frame"), (5, "청구항 3에 따른 장치"), (6, "method of claim 12 of steel"), (7, "제2항 내지 제4항 중 어느 한 항에 있어서")]
+_DEPS_V = ", ".join(f"({k}, '{t}')" for k, t in _DEPS)
+
+
+@query(
+    "claim_dependency",
+    f"""SELECT num, try_cast(coalesce(nullif(regexp_extract(t, '(?i)제\\s*([0-9]+)\\s*항(\\s*내지\\s*제\\s*[0-9]+\\s*항)?\\s*(중\\s*어느\\s*한\\s*항)?\\s*(에\\s*있어서|에\\s*따른|의\\s*방법)', 1), ''),
+nullif(regexp_extract(t, '(?i)청구항\\s*([0-9]+)\\s*(에\\s*있어서|에\\s*따른)', 1), ''), nullif(regexp_extract(t, '(?i)claim\\s*([0-9]+)\\s*(,\\s*wherein|of\\b)', 1), '')) AS INT) AS parent,
+try_cast(nullif(regexp_extract(t, '(?i)(청구항|claim)\\s*([0-9]+)(에\\s*있어서|,)', 2), '') AS INT) AS graph_parent FROM (VALUES {_DEPS_V}) v(num, t)""",
+)
+def _(spark, d):
+    df = spark.createDataFrame(_DEPS, "num int, t string")
+    return df.select("num", claims.parent(F.col("t")).alias("parent"), claims.parent(F.col("t"), "graph").alias("graph_parent"))
+
+
+_HEADS = [(1, "SUMMARY OF THE INVENTION"), (2, "ABSTRACT"), (3, "Claim 1. x"), (4, "발명의"), (5, "[Background Art]"), (6, "plain sentence"), (7, "me"), (8, "x")]
+_HEAD_SQL = "CASE " + " ".join(
+    "WHEN " + " OR ".join(f"starts_with(n, '{k}') OR starts_with('{k}', n)" for k in keys.split()) + f" THEN '{kind}'" for kind, keys in structure.HEADINGS.items()
+) + " END"
+
+
+@query(
+    "section_headings",
+    f"""SELECT k, CASE WHEN length(n) BETWEEN 2 AND 60 AND NOT regexp_matches(t, '(?i)^(청구항|claim)\\s*[0-9]') THEN {_HEAD_SQL} END AS kind FROM (
+SELECT k, t, lower(regexp_replace(regexp_replace(t, '[【】\\[\\]「」『』〔〕()（）]', '', 'g'), '\\s+', '', 'g')) AS n FROM (VALUES {', '.join(f"({k}, '{t}')" for k, t in _HEADS)}) v(k, t))""",
+)
+def _(spark, d):
+    return spark.createDataFrame(_HEADS, "k int, t string").select("k", structure.section_type(F.col("t")).alias("kind"))
+
+
+_DATES = [(1, "20240105"), (2, "2024-01-05"), (3, "2024"), (4, "")]
+
+
+@query("kr_dates", f"SELECT k, CASE WHEN length(d) = 8 THEN substr(d, 1, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7, 2) ELSE nullif(t, '') END AS date FROM (SELECT k, t, regexp_replace(t, '[^0-9]', '', 'g') AS d FROM (VALUES {', '.join(f"({k}, '{t}')" for k, t in _DATES)}) v(k, t))")
+def _(spark, d):
+    return spark.createDataFrame(_DATES, "k int, t string").select("k", sources.kr_date(F.col("t")).alias("date"))
+
+
+@query("inverted_text", "SELECT 1 AS k, string_agg(w, ' ' ORDER BY p) AS text FROM (VALUES ('b', 1), ('a', 0), ('a', 3)) v(w, p)")
+def _(spark, d):
+    return spark.createDataFrame([(1, {"b": [1], "a": [0, 3]})], "k int, m map<string,array<int>>").select("k", sources.inverted_text(F.col("m")).alias("text"))
+
+
+_BIB = [(1, "(22) 2019.3.7 and 공개일 2020-01-02"), (2, "Filing Date: 2011/12/31"), (3, "(30) 1970.01.01 (22) 2001-2-3"), (4, "no date"), (5, "seen 1999-09-09")]
+
+
+@query(
+    "document_dates",
+    f"""SELECT k, (SELECT strftime(make_date(y, m, dd), '%Y-%m-%d') FROM (SELECT regexp_extract(x, '([0-9]{{4}})[.\\-/]([0-9]{{1,2}})[.\\-/]([0-9]{{1,2}})', 1)::INT y, regexp_extract(x, '([0-9]{{4}})[.\\-/]([0-9]{{1,2}})[.\\-/]([0-9]{{1,2}})', 2)::INT m,
+regexp_extract(x, '([0-9]{{4}})[.\\-/]([0-9]{{1,2}})[.\\-/]([0-9]{{1,2}})', 3)::INT dd FROM (SELECT CASE WHEN contains(t, '(22)') THEN substr(t, strpos(t, '(22)'), 120) ELSE t END AS x) WHERE regexp_matches(x, '[0-9]{{4}}[.\\-/][0-9]{{1,2}}[.\\-/][0-9]{{1,2}}')) WHERE y BETWEEN 1981 AND 2027) AS date
+FROM (VALUES {', '.join(f"({k}, '{t}')" for k, t in _BIB)}) v(k, t)""",
+)
+def _(spark, d):
+    return spark.createDataFrame(_BIB, "k int, t string").select("k", structure.document_date(F.col("t"), 2026).alias("date"))
+
+
+@query("split_claims", "SELECT * FROM (VALUES (1, 1, 'A frame.'), (1, 2, 'The frame of claim 1, wherein it is red.'), (2, 1, 'one'), (2, 2, 'two'), (3, 1, 'no marks')) v(k, num, text)")
+def _(spark, d):
+    rows = [(1, "Claim 1. A frame.\nClaim 2. The frame of claim 1, wherein it is red."), (2, "1. one\n2) two"), (3, " no marks ")]
+    df = spark.createDataFrame(rows, "k int, t string").select("k", F.posexplode(structure.split_claims(F.col("t"))).alias("p", "text"))
+    return df.select("k", (F.col("p") + 1).alias("num"), "text")
+
+
+@query("figure_links", "SELECT * FROM (VALUES ('FIG. 2a', 'a view', 'c1'), ('도 1', '', 'c1'), ('FIG. 2', '', 'c2'), ('FIG. 9', 'unused', '')) v(number, description, chunk_ids)")
+def _(spark, d):
+    chunks = spark.createDataFrame([(1, "c1", "FIG.2a and 도1"), (1, "c2", "config 2 is"), (1, "c3", "Figure 1")], "doc_id int, chunk_id string, text string")
+    refs = spark.createDataFrame([(1, "FIG. 2a shows a view\nFIG. 9 is unused")], "doc_id int, t string").select("doc_id", F.explode(structure.figures(F.col("t"))).alias("f")).select("doc_id", "f.*")
+    return structure.link_figures(chunks, refs).select("number", "description", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+# ---- scores ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "weighted_charts",
+    """WITH a AS (SELECT l_orderkey, sum(l_discount * 10 * l_linenumber) / sum(l_linenumber) AS sim, floor(sum(l_discount * 1000 * l_linenumber) / sum(l_linenumber) + 0.5)::INT AS weighted FROM lineitem GROUP BY l_orderkey),
+b AS (SELECT l_orderkey, round(sim, 6) AS similarity, weighted FROM a)
+SELECT *, CASE WHEN similarity >= 0.75 THEN 'COVERED' WHEN similarity >= 0.4 THEN 'PARTIAL' ELSE 'NOT_COVERED' END AS verdict,
+CASE WHEN similarity >= 0.75 THEN 'HIGH' WHEN similarity >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS novelty_risk,
+CASE WHEN similarity >= 0.55 THEN 'HIGH' WHEN similarity >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS inventiveness_risk, weighted >= 70 AS novelty_threat, weighted >= 50 AS inventiveness_threat FROM b""",
+)
+def _(spark, d):
+    li = read(spark, d, "lineitem")
+    w, sim = F.col("l_linenumber"), F.col("l_discount") * 10
+    a = li.groupBy("l_orderkey").agg(
+        F.round(F.sum(sim * w) / F.sum(w), 6).alias("similarity"), S.round_half_up(F.sum(F.col("l_discount") * 1000 * w) / F.sum(w)).cast("int").alias("weighted")
+    )
+    s, n = F.col("similarity"), F.lit(None).cast("boolean")
+    return a.select(
+        "*",
+        S.verdict(s).alias("verdict"),
+        S.novelty_risk(s).alias("novelty_risk"),
+        S.inventiveness_risk(s).alias("inventiveness_risk"),
+        S.novelty_threat(n, F.col("weighted")).alias("novelty_threat"),
+        S.inventiveness_threat(n, F.col("weighted")).alias("inventiveness_threat"),
+    )
+
+
+@query(
+    "fallback_scores",
+    """SELECT o_orderkey, least(100, greatest(0, floor(r / (2e0 / 61) * 100 + 0.5)))::INT AS fallback, floor(r * 10000 + 0.5)::INT AS plain FROM (
+SELECT o_orderkey, 1e0 / (60 + o_orderkey % 97 + 1) + 1e0 / (60 + o_orderkey % 89 + 1) AS r FROM orders)""",
+)
+def _(spark, d):
+    r = 1 / (F.lit(60.0) + F.pmod("o_orderkey", F.lit(97)) + 1) + 1 / (F.lit(60.0) + F.pmod("o_orderkey", F.lit(89)) + 1)
+    return read(spark, d, "orders").select("o_orderkey", S.fallback_score(r).cast("int").alias("fallback"), S.plain_score(r).cast("int").alias("plain"))
+
+
+@query("rerank_replies", "SELECT * FROM (VALUES ('d1', 70, true, true, 'ok'), ('d2', 0, false, false, ''), ('d3', 100, false, false, '(no readable reply; score from rank fusion)')) v(id, weighted_score, novelty_threat, inventiveness_threat, reasoning)")
+def _(spark, d):
+    reply = 'Here: ```json\n[{"id":"d1","elements":[{"id":"A","score":80,"evidence":"red sensor wheel"},{"id":"B","score":40,"evidence":""}],"importanceWeights":{"A":3},"reasoning":"ok"},{"id":"d2","elements":[]}]\n``` end'
+    batches = spark.createDataFrame([(0, reply, ["d1", "d2"]), (1, "not json", ["d3"])], "batch int, reply string, ids array<string>")
+    docs = spark.createDataFrame([("d1", "red", "sensor frame", None, 0.01), ("d2", "", "", "", 0.02), ("d3", "", "", "", 2 / 61)], "id string, title string, abstract string, claims string, rrf_score double")
+    return replies.rerank(batches, docs).select("id", "weighted_score", "novelty_threat", "inventiveness_threat", "reasoning")
+
+
+# ---- store -----------------------------------------------------------------------------------------------------------
+
+
+@query("token_totals", "SELECT coalesce(sum(event_id % 1000), 0)::BIGINT AS total_input, coalesce(sum(event_id % 77), 0)::BIGINT AS total_output, count(*)::BIGINT AS count FROM events")
+def _(spark, d):
+    e = read(spark, d, "events").select((F.col("event_id") % 1000).alias("input_tokens"), (F.col("event_id") % 77).alias("output_tokens"))
+    return store.token_totals(e)
+
+
+@query(
+    "running_usage",
+    """SELECT event_id, sum(event_id % 1000) OVER w::BIGINT AS tokens, round(sum(event_id % 1000) OVER w / 1e6 * 3 + sum(event_id % 77) OVER w / 1e6 * 15, 6) AS dollars
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def _(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    a, b = F.sum(F.col("event_id") % 1000).over(w), F.sum(F.col("event_id") % 77).over(w)
+    return read(spark, d, "events").select("event_id", a.alias("tokens"), F.round(a / 1e6 * 3 + b / 1e6 * 15, 6).alias("dollars"))
+
+
+@query("recent_events", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def _(spark, d):
+    return store.recent(read(spark, d, "events"), 200, "ts", "event_id").select("event_id", "event_type")
+
+
+@query("project_searches", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 10 = 0")
+def _(spark, d):
+    c = read(spark, d, "customer").filter("c_custkey % 10 = 0")
+    return read(spark, d, "orders").join(c, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_name")
+
+
+@query("analyses_of_searches", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def _(spark, d):
+    o = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return read(spark, d, "lineitem").join(o, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("delete_cascade", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def _(spark, d):
+    gone = read(spark, d, "orders").filter("o_orderstatus = 'F'")
+    return store.delete(read(spark, d, "lineitem"), gone, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "upsert_latest",
+    """WITH o AS (SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1),
+n AS (SELECT user_id, event_type, event_id, value FROM events WHERE event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
+SELECT user_id, event_type, coalesce(n.event_id, o.event_id) AS event_id FROM o LEFT JOIN n USING (user_id, event_type)""",
+)
+def _(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_type", "event_id")
+    old = candidates.first_per_key(e, F.struct("user_id", "event_type"), "event_id")
+    return store.upsert(old, e.filter("event_id % 3 = 0"), ["user_id", "event_type"], "event_id")
+
+
+@query(
+    "insert_or_ignore",
+    """WITH o AS (SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id), n AS (SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id)
+SELECT * FROM o UNION ALL SELECT * FROM n WHERE user_id NOT IN (SELECT user_id FROM o)""",
+)
+def _(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_id", "event_type")
+    old = e.filter("event_type = 'click'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return store.insert_or_ignore(old, e.select("user_id", "event_id"), ["user_id"], "event_id")
+
+
+@query("activate_one", "SELECT p_partkey, CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_partkey IN (1, 7)) THEN p_partkey IN (1, 7) AND (p_partkey = (SELECT max(p_partkey) FROM part q WHERE q.p_brand = part.p_brand AND q.p_partkey IN (1, 7))) ELSE p_partkey % 2 = 0 END AS is_active FROM part")
+def _(spark, d):
+    p = read(spark, d, "part").select("p_partkey", "p_brand", (F.col("p_partkey") % 2 == 0).alias("is_active"))
+    chosen = p.filter("p_partkey in (1, 7)").groupBy("p_brand").agg(F.max("p_partkey").alias("p_partkey"))
+    return store.activate(p, "p_brand", "p_partkey", chosen).select("p_partkey", "is_active")
+
+
+@query("next_ids", "SELECT n_nationkey, 100 + row_number() OVER (ORDER BY n_name)::BIGINT AS id FROM nation")
+def _(spark, d):
+    return store.with_ids(read(spark, d, "nation"), ["n_name"], 100).select("n_nationkey", "id")
+
+
+@query("patch_columns", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE s_name END AS s_name, s_nationkey FROM supplier")
+def _(spark, d):
+    s = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    changes = s.select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, "new").alias("s_name"), F.lit(None).cast("int").alias("s_nationkey"))
+    return store.patch(s, changes, "s_suppkey")
+
+
+@query(
+    "claim_roots",
+    """WITH RECURSIVE c AS (SELECT c_custkey AS num, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey < 3 THEN c_custkey + 1000000 ELSE c_custkey // 2 END AS parent FROM customer),
+r AS (SELECT num, num AS cur, 0 AS depth FROM c UNION ALL SELECT r.num, c.parent, depth + 1 FROM r JOIN c ON c.num = r.cur WHERE c.parent IS NOT NULL AND depth < 64)
+SELECT num, max_by(cur, depth) AS root FROM r GROUP BY num""",
+)
+def _(spark, d):
+    k = F.col("c_custkey")
+    c = read(spark, d, "customer").select(k.alias("num"), F.when(k % 7 == 0, None).when(k < 3, k + 1000000).otherwise(F.floor(k / 2)).cast("long").alias("parent"))
+    return claims.roots(c)
+
+
+@query(
+    "claim_orphans",
+    """WITH RECURSIVE c AS (SELECT c_custkey AS num, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey < 3 THEN c_custkey + 1000000 ELSE c_custkey // 2 END AS parent FROM customer),
+r AS (SELECT num, num AS cur, 0 AS depth FROM c UNION ALL SELECT r.num, c.parent, depth + 1 FROM r JOIN c ON c.num = r.cur WHERE c.parent IS NOT NULL AND depth < 64),
+e AS (SELECT num, max_by(cur, depth) AS root FROM r GROUP BY num)
+SELECT num FROM e JOIN c USING (num) WHERE c.parent IS NOT NULL AND root NOT IN (SELECT num FROM c WHERE parent IS NULL)""",
+)
+def _(spark, d):
+    k = F.col("c_custkey")
+    c = read(spark, d, "customer").select(k.alias("num"), F.when(k % 7 == 0, None).when(k < 3, k + 1000000).otherwise(F.floor(k / 2)).cast("long").alias("parent"))
+    return claims.orphans(c)
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------------
+
+
+@query("delta_assembly", "SELECT conv_id AS requestId, count(*)::BIGINT AS n, md5(string_agg(coalesce(text, ''), '' ORDER BY turn, text)) AS h FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("requestId"), F.col("turn").alias("seq"), F.col("text").alias("delta"))
+    return deltas.assembled(c).select("requestId", "n", F.md5("text").alias("h"))
+
+
+@query("delta_lines", "SELECT conv_id AS requestId, len(list_filter(string_split(string_agg(coalesce(text, ''), '' ORDER BY turn, text), chr(10)), lambda x: x <> ''))::BIGINT AS n_lines FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("requestId"), F.col("turn").alias("seq"), F.col("text").alias("delta"))
+    return deltas.assembled(c).select("requestId", F.size(deltas.lines(F.col("text"))).cast("long").alias("n_lines"))
+
+
+@query("streamed_counts", "SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+def _(spark, d):
+    schema = read(spark, d, "events").schema.simpleString()[7:-1]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in read(spark, d, "events").schema.fields)
+    assert schema
+    made = deltas.run_available(
+        spark, f"{d}/events.parquet*", fields, lambda s: s.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), deltas.work_folder(spark), "complete"
+    )
+    return made
