@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textvec
@@ -135,26 +135,27 @@ def hot_keys(h: np.ndarray, count: np.ndarray, need: int, lines: int) -> list[in
     return out
 
 
-LINES = "doc_id long, line int, n int, d long, x long, m array<long>, keys array<long>"
+LINES = "doc_id long, line int, n int, d long, x long, y long, m array<long>, keys array<long>"
 #: Min-hashes by which lines find a first partner.
-FIRST = 3
+FIRST = 2
 
 
 def keyed(batches: Iterator[pa.RecordBatch], table: np.ndarray, lines: int, pct: int) -> Iterator[pa.RecordBatch]:
     """One row per line with words: size, digest and parity bits of its set, min-hashes, and the keys under which it meets others.
 
-    ``x`` has a bit for each of 64 classes of words, set if the line has an odd number of them: sets whose bits differ in k
-    places differ in k words at least.
+    ``x`` and ``y`` have a bit for each of 128 classes of words, set if the line has an odd number of them: sets whose bits differ
+    in k places differ in k words at least.
     """
     for batch in batches:
         for part in textvec.slices(batch, "text"):
             w = Words(part.column("text"), table)
             full = np.flatnonzero(w.n)
             at = w.begin[full]
-            digest, parity, least = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, FIRST), np.uint64)
+            digest, odd, least = np.zeros(0, np.uint64), np.zeros((2, 0), np.uint64), np.zeros((0, FIRST), np.uint64)
             if len(full):
                 digest = np.add.reduceat(textvec.mix(w.h), at)
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (w.h & np.uint64(63)), at)
+                bit, half = np.uint64(1) << (w.h & np.uint64(63)), (w.h >> np.uint64(6)) & np.uint64(1)
+                odd = np.stack([np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), at) for k in (0, 1)])
                 least = np.stack([np.minimum.reduceat(textvec.mix(w.h + np.uint64(k + 1)), at) + np.uint64(k) for k in range(FIRST)], 1)
             need = -(-pct * w.n // 100)
             place = np.arange(len(w.h)) - w.begin[w.line] if len(w.h) else np.zeros(0, np.int64)
@@ -175,11 +176,11 @@ def keyed(batches: Iterator[pa.RecordBatch], table: np.ndarray, lines: int, pct:
                     pa.array(w.number[full].astype(np.int32)),
                     pa.array(w.n[full].astype(np.int32)),
                     pa.array(digest.view(np.int64)),
-                    pa.array(parity.view(np.int64)),
+                    *(pa.array(k.view(np.int64)) for k in odd),
                     pa.array(list(least.view(np.int64)), pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(ends, pa.array(key_[order])),
                 ],
-                names=["doc_id", "line", "n", "d", "x", "m", "keys"],
+                names=["doc_id", "line", "n", "d", "x", "y", "m", "keys"],
             )
 
 
@@ -208,18 +209,18 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
     lines = common.stage(source.mapInArrow(lambda it: keyed(it, shared.value, max(1, n_lines), pct), LINES), "lines")
     first = F.min(F.struct("doc_id", "line", "m", "keys")).alias("f")
-    classes = common.stage(lines.groupBy("d", "x", "n").agg(first).select("n", "x", "f.*"), "classes")
+    classes = common.stage(lines.groupBy("d", "x", "y", "n").agg(first).select("n", "x", "y", "f.*"), "classes")
+    fields = {"doc_id": "doc", "line": "line", "n": "n", "x": "x", "y": "y"}
 
     def alike(a: str, b: str) -> F.Column:
         """What two sets of similar lines must satisfy: order, sizes, and few differing parity bits."""
         na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
-        differ = F.bit_count(F.col(f"{a}_x").bitwiseXOR(F.col(f"{b}_x")))
+        differ = F.bit_count(F.col(f"{a}_x").bitwiseXOR(F.col(f"{b}_x"))) + F.bit_count(F.col(f"{a}_y").bitwiseXOR(F.col(f"{b}_y")))
         earlier = F.struct(f"{a}_doc", f"{a}_line") < F.struct(f"{b}_doc", f"{b}_line")
         return earlier & (100 * na >= pct * nb) & (100 * nb >= pct * na) & (differ * (100 + pct) <= (100 - pct) * (na + nb))
 
     def posted(column: str, side: str, frame: DataFrame, *more: str) -> DataFrame:
-        names = {"doc_id": "doc", "line": "line", "n": "n", "x": "x"}
-        return frame.select(*(F.col(c).alias(f"{side}_{k}") for c, k in names.items()), *more, F.explode(column).alias("key"))
+        return frame.select(*(F.col(c).alias(f"{side}_{k}") for c, k in fields.items()), *more, F.explode(column).alias("key"))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The later lines (doc_id, line) of pairs whose full sets are similar."""
@@ -237,17 +238,17 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
 
     # Most later lines of a family share a min-hash with its earliest line: one partner each settles them.
     heads = posted("m", "b", classes)
-    hub = heads.groupBy("key").agg(F.min(F.struct("b_doc", "b_line", "b_n", "b_x")).alias("h"), F.count("*").alias("size")).filter("size > 1")
-    hub = hub.select("key", *(F.col(f"h.b_{c}").alias(f"a_{c}") for c in ("doc", "line", "n", "x")))
-    best = heads.join(hub, "key").filter(alike("a", "b")).groupBy("b_doc", "b_line").agg(
+    hub = F.first(F.struct(*(F.col(f"b_{k}").alias(f"a_{k}") for k in fields.values()))).over(Window.partitionBy("key").orderBy("b_doc", "b_line"))
+    best = heads.withColumn("h", hub).select("*", "h.*").filter(alike("a", "b")).groupBy("b_doc", "b_line").agg(
         F.min(F.struct(F.bit_count(F.col("a_x").bitwiseXOR(F.col("b_x"))).alias("far"), "a_doc", "a_line")).alias("p")
     )
     settled = similar(common.stage(best.select("b_doc", "b_line", "p.a_doc", "p.a_line"), "pairs"))
-    # The others meet every earlier line with which they share a key.
-    open_ = classes.join(common.small(settled.withColumn("done", F.lit(True))), ["doc_id", "line"], "left")
-    shared_keys = posted("keys", "a", open_.drop("m"), F.col("done").isNull().alias("open"))
-    other = shared_keys.select("key", "open", *(F.col(f"a_{c}").alias(f"b_{c}") for c in ("doc", "line", "n", "x")))
-    met = shared_keys.drop("open").join(other, "key").filter(F.col("open") & alike("a", "b"))
+    # The others meet every earlier line with which they share a key. Both sides of the join are one exchange: that is why the
+    # flag of the settled is asked for by an expression of both sides, which can't be pushed below it.
+    open_ = classes.join(common.small(settled.withColumn("done", F.lit(1))), ["doc_id", "line"], "left")
+    flagged = posted("keys", "a", open_.drop("m"), F.coalesce("done", F.lit(0)).alias("a_done"))
+    other = flagged.select("key", *(F.col(f"a_{k}").alias(f"b_{k}") for k in [*fields.values(), "done"]))
+    met = flagged.join(other, "key").filter((F.col("a_done") * 0 + F.col("b_done") == 0) & alike("a", "b"))
     later = similar(common.stage(met.select("a_doc", "a_line", "b_doc", "b_line").distinct(), "pairs")).union(settled)
     kept = classes.select("doc_id", "line").join(common.small(later), ["doc_id", "line"], "left_anti")
     removed = lines.select("doc_id", "line").join(kept, ["doc_id", "line"], "left_anti")
