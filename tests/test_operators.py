@@ -175,7 +175,7 @@ def test_structure(spark):
     for line, want in [("SUMMARY OF THE INVENTION", "abstract"), ("ABSTRACT", "abstract"), ("Claim 1. x", None), ("발명의", "technical_field"), ("x", None)]:
         assert one(spark, structure.section_type(F.col("t")), t=line) == want
     assert one(spark, structure.section_type(F.col("t"), "longest"), t="Summary of the invention") == "technical_problem"
-    text = "A Very Fine Device\nfiled 2019.03.07\n[Abstract]\nIt works. See FIG. 1 and more of it, at some length that makes a whole chunk of text.\n\nClaims\nClaim 1. A frame.\nClaim 2. The frame of claim 1, wherein red.\nBrief Description of Drawings\nFIG. 1 shows a frame\nFIG. 3\n"
+    text = "A Very Fine Device\nfiled 2019.03.07\n[Abstract]\nIt works as FIG 1 tells, and there is more of it at some length.\n\nClaims\nClaim 1. A frame.\nClaim 2. The frame of claim 1, wherein red.\nBrief Description of Drawings\nFIG. 1 shows a frame\nFIG. 3\n"
     out = search.analyse(spark.createDataFrame([(1, text)], "doc_id int, text string"), 2026)
     assert [(r.type, r.title) for r in out["sections"].orderBy("ord").collect()] == [("unknown", ""), ("abstract", "[Abstract]"), ("claims", "Claims"), ("figures_description", "Brief Description of Drawings")]
     assert [(r.num, r.parent) for r in out["claims"].orderBy("num").collect()] == [(1, None), (2, 1)]
