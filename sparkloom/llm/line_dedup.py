@@ -208,8 +208,13 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
     table, n_lines = word_counts(source)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     lines = common.stage(source.mapInArrow(lambda it: keyed(it, shared.value, max(1, n_lines), pct), LINES), "lines")
-    first = F.min(F.struct("doc_id", "line", "m", "keys")).alias("f")
-    classes = common.stage(lines.groupBy("d", "x", "y", "n").agg(first).select("n", "x", "y", "f.*"), "classes")
+    # Sets that occur more than once, with their first lines: all other lines are the only ones of their classes.
+    same = ["d", "x", "y", "n"]
+    groups = lines.groupBy(*same).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("k")).filter("k > 1")
+    groups = common.stage(groups.select(*same, "first"), "groups")
+    judged = lines.join(common.small(groups), same, "left")
+    place = F.struct("doc_id", "line")
+    classes = judged.filter(F.col("first").isNull() | (F.col("first") == place)).drop("d", "first")
     fields = {"doc_id": "doc", "line": "line", "n": "n", "x": "x", "y": "y"}
 
     def alike(a: str, b: str) -> F.Column:
@@ -247,11 +252,11 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
     # flag of the settled is asked for by an expression of both sides, which can't be pushed below it.
     open_ = classes.join(common.small(settled.withColumn("done", F.lit(1))), ["doc_id", "line"], "left")
     flagged = posted("keys", "a", open_.drop("m"), F.coalesce("done", F.lit(0)).alias("a_done"))
-    other = flagged.select("key", *(F.col(f"a_{k}").alias(f"b_{k}") for k in [*fields.values(), "done"]))
+    other = flagged.select(*(F.col(f"a_{k}").alias(f"b_{k}") for k in [*fields.values(), "done"]), "key")
     met = flagged.join(other, "key").filter((F.col("a_done") * 0 + F.col("b_done") == 0) & alike("a", "b"))
     later = similar(common.stage(met.select("a_doc", "a_line", "b_doc", "b_line").distinct(), "pairs")).union(settled)
-    kept = classes.select("doc_id", "line").join(common.small(later), ["doc_id", "line"], "left_anti")
-    removed = lines.select("doc_id", "line").join(kept, ["doc_id", "line"], "left_anti")
+    repeats = judged.filter(F.col("first") != place).select("doc_id", "line")
+    removed = repeats.union(later.select("doc_id", "line"))
     return common.stage(removed.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed")), "removed")
 
 
