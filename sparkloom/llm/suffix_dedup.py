@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textvec
@@ -34,7 +34,7 @@ WINDOW, GRAM, BLOCK = 50, 16, 8
 SPAN = WINDOW - GRAM + 1
 RUN = (WINDOW - BLOCK + 1) // BLOCK
 PLACE_BITS = 26
-MAP_BITS = 27
+MAP_BITS = 28
 PIECE_WORDS = 1 << 14
 #: Symbols of a suffix array, about; keys are never split between arrays.
 SYMBOLS = 200_000
@@ -365,21 +365,21 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     for r in marks.collect():
         twice[r.part * PIECE_WORDS : (r.part + 1) * PIECE_WORDS] = np.frombuffer(zlib.decompress(bytes(r.twice)), np.uint64)
     shared = spark.sparkContext.broadcast(twice)
-    found = common.stage(source.mapInArrow(lambda it: pieces(it, shared.value), PIECES), "pieces")
-    classes = found.groupBy("key", "digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "start", "n", "lead")).alias("at"))
-    classes = common.stage(classes, "classes")
-    per_key = classes.groupBy("key").agg(F.count("*").alias("k"), F.min("lo").alias("a"), F.max("hi").alias("b")).filter("k > 1 and a < b")
-    mixed = classes.join(per_key.select("key"), "key")
-    places = mixed.groupBy("at.doc_id").agg(F.collect_list(F.struct("key", "digest", "at.start", "at.n", "at.lead")).alias("wanted"))
+    found = source.mapInArrow(lambda it: pieces(it, shared.value), PIECES)
+    # one exchange by key serves all of these: what a key's documents, its classes and each class's documents are
+    by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "digest")
+    found = found.select("*", F.min("doc_id").over(by_key).alias("a"), F.max("doc_id").over(by_key).alias("b"), (F.min("digest").over(by_key) < F.max("digest").over(by_key)).alias("mixed")).filter("a < b")
+    found = found.select("doc_id", "start", "n", "lead", "key", "digest", "mixed", F.min("doc_id").over(by_class).alias("lo"), F.row_number().over(by_class.orderBy("doc_id", "start")).alias("k"))
+    found = common.stage(found, "pieces")
+    places = found.filter("mixed and k = 1").groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "start", "n", "lead")).alias("wanted"))
     raw = table.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(contents, CONTENT)
     solved = common.stage(
         raw.repartition(n, "key").sortWithinPartitions("key").mapInArrow(resolve, "key long, digest long, flags binary"), "solved"
     )
-    many = classes.filter("lo < hi").select("key", "digest", "lo")
-    later = found.join(many, ["key", "digest"]).filter("doc_id > lo").select("doc_id", "start", "n")
-    own = found.join(solved.join(classes.select("key", "digest", "lo"), ["key", "digest"]), ["key", "digest"]).filter("doc_id = lo")
-    one = own.select("doc_id", "start", F.posexplode(F.split(F.hex("flags"), "(?<=\\G..)")).alias("k", "f")).filter("f = '01'")
-    hits = later.unionByName(one.select("doc_id", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n")))
+    later = found.filter("doc_id > lo").select("doc_id", "start", "n")
+    own = found.filter("mixed and doc_id = lo").join(solved, ["key", "digest"])
+    one = own.select("doc_id", "start", F.posexplode(F.split(F.hex("flags"), "(?<=\\G..)")).alias("j", "f")).filter("f = '01'")
+    hits = later.unionByName(one.select("doc_id", (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("n")))
     per_doc = common.stage(hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("hits")), "hits")
     out = table.join(per_doc, "doc_id", "left").select("doc_id", "text", "hits")
     return out.mapInArrow(lambda it: cut(it, with_text), RESULT + ", kept binary" * with_text)
