@@ -10,8 +10,8 @@ Scale: texts with equal sets are one row from the first group-by on; buckets of
 dropped at once; a bucket never emits all its pairs. Two rounds pair each row with one hub only
 (linear in rows) and merge components; then only pairs in different components remain, and of
 those the rows of a bucket's largest component are never paired with each other, so the work is
-(rows outside the largest component) x (bucket), and no link is lost. Shingle sets are gathered only for
-rows that share a bucket.
+(rows outside the largest component) x (bucket), and no link is lost. Of these pairs only those whose sizes and parity
+bits allow the threshold come out of the join. Shingle sets are gathered only for rows that share a bucket.
 """
 
 from __future__ import annotations
@@ -75,7 +75,31 @@ def signatures(sets: list[np.ndarray], n_hash: int) -> np.ndarray:
     return out
 
 
-SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+SIGNED_SQL = "id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
+
+
+def parity(s: np.ndarray) -> np.ndarray | None:
+    """For each of 128 to 8192 classes of shingles (by set size, a power of two) a bit: has the set an odd number of them?"""
+    if not len(s):
+        return None
+    size = min(8192, max(128, 1 << (len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def differing(p: str, q: str):
+    """Places in which the parity bits of two sets differ: so many shingles at least are in one of the sets alone.
+
+    The longer of two bit strings is folded once, which adds its halves; sets whose sizes are further apart are no candidates.
+    """
+    k = F.least(F.size(p), F.size(q))
+
+    def folded(c: str):
+        halves = F.zip_with(F.slice(c, F.lit(1), k), F.slice(c, k + 1, k), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) == 2 * k, halves).otherwise(F.col(c))
+
+    return F.aggregate(F.zip_with(folded(p), folded(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
 def sign(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterator[pa.RecordBatch]:
@@ -97,6 +121,7 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterator[
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
+                    pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
                 ],
                 schema=SIGNED,
             )
@@ -142,7 +167,7 @@ def near_duplicates(
     bands = bands_for(threshold_pct)
     source = common.texts(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = common.stage(
-        source.mapInArrow(lambda it: sign(it, shingle_words, bands), "id long, n_shingles long, digest binary, bands array<long>"), "signed"
+        source.mapInArrow(lambda it: sign(it, shingle_words, bands), SIGNED_SQL), "signed"
     )
     reps = common.stage(signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "reps")
     only = signed.join(common.small(reps.select(F.col("rep").alias("id"))), "id", "left_semi")
@@ -179,10 +204,14 @@ def near_duplicates(
     tagged = members.select("key", "rep").join(common.small(labels), "rep")
     counts = tagged.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+    facts = signed.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "bits")
     open_ = common.stage(tagged.join(mixed.select("key", "most"), "key"), "open")
-    left = open_.filter("comp <> most").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), "most")
-    right = open_.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "key").filter("ca <> cb and (cb = most or a > b)").select("a", "b").distinct()
+    open_ = open_.join(common.stage(facts.join(common.small(open_.select("rep").distinct()), "rep", "left_semi"), "facts"), "rep")
+    left = open_.filter("comp <> most").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), "most", F.col("n").alias("na"), F.col("bits").alias("p"))
+    right = open_.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("q"))
+    sizes = (100 * F.col("na") >= threshold_pct * F.col("nb")) & (100 * F.col("nb") >= threshold_pct * F.col("na"))
+    near = differing("p", "q") * (100 + threshold_pct) <= (100 - threshold_pct) * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, "key").filter("ca <> cb and (cb = most or a > b)").filter(sizes).filter(near).select("a", "b").distinct()
     last = common.stage(confirmed(common.stage(pairs, "pairs"), sets, threshold_pct), "links")
     labels = relabel(labels, edges.union(last), ids)
     named = reps.join(labels, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))

@@ -60,3 +60,21 @@ def test_against_all_pairs(spark, width, pct):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).count() == 0
+
+
+def test_parity_never_exceeds_the_difference(spark):
+    import numpy as np
+
+    from sparkloom.llm.minmax_dedup import differing, parity
+
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for k in range(60):
+        n = int(rng.integers(100, 300))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - int(rng.integers(0, 30))], rng.integers(0, 2**63, int(rng.integers(0, 30))).astype(np.uint64)])
+        rows.append((k, parity(a).tolist(), parity(b).tolist()))
+        want.append(len(np.setxor1d(a, b)))
+    df = spark.createDataFrame(rows, "k int, p array<long>, q array<long>")
+    got = {r.k: r.d for r in df.select("k", differing("p", "q").alias("d")).collect()}
+    assert all(got[k] <= w and got[k] >= w * 0.6 and (w - got[k]) % 2 == 0 for k, w in enumerate(want))
