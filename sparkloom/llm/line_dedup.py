@@ -136,8 +136,9 @@ def hot_keys(h: np.ndarray, count: np.ndarray, need: int, lines: int) -> list[in
 
 
 LINES = "doc_id long, line int, n int, d long, x long, y long, m array<long>, keys array<long>"
-#: Min-hashes by which lines find a first partner.
+#: Min-hashes by which lines find a first partner, and how many lines before are looked at.
 FIRST = 2
+NEAR = 8
 
 
 def keyed(batches: Iterator[pa.RecordBatch], table: np.ndarray, lines: int, pct: int) -> Iterator[pa.RecordBatch]:
@@ -217,12 +218,17 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
     classes = judged.filter(F.col("first").isNull() | (F.col("first") == place)).drop("d", "first")
     fields = {"doc_id": "doc", "line": "line", "n": "n", "x": "x", "y": "y"}
 
-    def alike(a: str, b: str) -> F.Column:
+    def differing(a, b) -> F.Column:
+        return F.bit_count(a["x"].bitwiseXOR(b["x"])) + F.bit_count(a["y"].bitwiseXOR(b["y"]))
+
+    def alike(a, b) -> F.Column:
         """What two sets of similar lines must satisfy: order, sizes, and few differing parity bits."""
-        na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
-        differ = F.bit_count(F.col(f"{a}_x").bitwiseXOR(F.col(f"{b}_x"))) + F.bit_count(F.col(f"{a}_y").bitwiseXOR(F.col(f"{b}_y")))
-        earlier = F.struct(f"{a}_doc", f"{a}_line") < F.struct(f"{b}_doc", f"{b}_line")
-        return earlier & (100 * na >= pct * nb) & (100 * nb >= pct * na) & (differ * (100 + pct) <= (100 - pct) * (na + nb))
+        earlier = (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & (a["line"] < b["line"]))
+        sizes = (100 * a["n"] >= pct * b["n"]) & (100 * b["n"] >= pct * a["n"])
+        return earlier & sizes & (differing(a, b) * (100 + pct) <= (100 - pct) * (a["n"] + b["n"]))
+
+    def side(name: str) -> dict[str, F.Column]:
+        return {k: F.col(f"{name}_{k}") for k in fields.values()}
 
     def posted(column: str, side: str, frame: DataFrame, *more: str) -> DataFrame:
         return frame.select(*(F.col(c).alias(f"{side}_{k}") for c, k in fields.items()), *more, F.explode(column).alias("key"))
@@ -241,20 +247,30 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
         good = both.filter(100 * inter >= pct * (F.size("s") + F.size("t") - inter))
         return common.stage(good.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct(), "later")
 
-    # Most later lines of a family share a min-hash with its earliest line: one partner each settles them.
+    # Most later lines of a family are similar to the first or to one of the last few lines before them that share a min-hash: one
+    # partner each, of those the one whose parity bits differ least, settles them.
     heads = posted("m", "b", classes)
-    hub = F.first(F.struct(*(F.col(f"b_{k}").alias(f"a_{k}") for k in fields.values()))).over(Window.partitionBy("key").orderBy("b_doc", "b_line"))
-    best = heads.withColumn("h", hub).select("*", "h.*").filter(alike("a", "b")).groupBy("b_doc", "b_line").agg(
-        F.min(F.struct(F.bit_count(F.col("a_x").bitwiseXOR(F.col("b_x"))).alias("far"), "a_doc", "a_line")).alias("p")
-    )
+    row = F.struct(*(F.col(f"b_{k}").alias(k) for k in fields.values()))
+    inorder = Window.partitionBy("key").orderBy("b_doc", "b_line")
+    known = F.array_append(F.collect_list(row).over(inorder.rowsBetween(-NEAR, -1)), F.first(row).over(inorder))
+    fit = F.filter(F.col("known"), lambda x: alike(x, side("b")))
+    near = F.array_min(F.transform(fit, lambda x: F.struct(differing(x, side("b")).alias("far"), x["doc"].alias("a_doc"), x["line"].alias("a_line"))))
+    best = heads.withColumn("known", known).select("b_doc", "b_line", near.alias("p")).filter("p is not null").groupBy("b_doc", "b_line").agg(F.min("p").alias("p"))
     settled = similar(common.stage(best.select("b_doc", "b_line", "p.a_doc", "p.a_line"), "pairs"))
     # The others meet every earlier line with which they share a key. Both sides of the join are one exchange: that is why the
     # flag of the settled is asked for by an expression of both sides, which can't be pushed below it.
     open_ = classes.join(common.small(settled.withColumn("done", F.lit(1))), ["doc_id", "line"], "left")
     flagged = posted("keys", "a", open_.drop("m"), F.coalesce("done", F.lit(0)).alias("a_done"))
     other = flagged.select(*(F.col(f"a_{k}").alias(f"b_{k}") for k in [*fields.values(), "done"]), "key")
-    met = flagged.join(other, "key").filter((F.col("a_done") * 0 + F.col("b_done") == 0) & alike("a", "b"))
-    later = similar(common.stage(met.select("a_doc", "a_line", "b_doc", "b_line").distinct(), "pairs")).union(settled)
+    met = flagged.join(other, "key").filter((F.col("a_done") * 0 + F.col("b_done") == 0) & alike(side("a"), side("b")))
+    far = differing(side("a"), side("b")).alias("far")
+    met = common.stage(met.select("b_doc", "b_line", far, "a_doc", "a_line").distinct(), "pairs")
+    nearest = met.groupBy("b_doc", "b_line").agg(F.min(F.struct("far", "a_doc", "a_line")).alias("p")).select("b_doc", "b_line", "p.*")
+    nearest = common.stage(nearest, "pairs")
+    second = similar(nearest)
+    done = second.select(F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"))
+    left = met.join(common.small(done), ["b_doc", "b_line"], "left_anti").join(nearest, ["b_doc", "b_line", "a_doc", "a_line"], "left_anti")
+    later = similar(common.stage(left.select("b_doc", "b_line", "a_doc", "a_line"), "pairs")).union(second).union(settled)
     repeats = judged.filter(F.col("first") != place).select("doc_id", "line")
     removed = repeats.union(later.select("doc_id", "line"))
     return common.stage(removed.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("removed")), "removed")
