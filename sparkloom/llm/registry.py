@@ -9,6 +9,7 @@ from .huffman_ids import op2_huffman_ids
 from .language_id import op4_language_id
 from .line_dedup import op8_line_set_join
 from .minmax_dedup import op5_minmax_near_dedup
+from .oracle import ORACLE
 from .suffix_dedup import op6_suffix_dedup
 from .token_trees import op3_token_trees
 from .wu_manber import op7_wu_manber_decontaminate
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_ball_tree_top_k": op9_ball_tree_top_k,
     "op10_hilbert_packing": op10_hilbert_packing,
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
