@@ -76,7 +76,7 @@ def suffix_array(text: list[int]) -> list[int]:
         if count:
             new: dict[tuple[int, int], int] = {}
             # higher counts first: what comes later is put closer above the group it leaves
-            for p, k in sorted(count.items(), key=lambda x: -x[1]):
+            for p, k in sorted(count.items(), key=lambda x: -x[1]) if len(count) > 1 else count.items():
                 old = group[p]
                 at = new.get((old, k))
                 if at is None:
@@ -382,7 +382,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     hits = later.unionByName(one.select("doc_id", (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("n")))
     per_doc = common.stage(hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("hits")), "hits")
     out = table.join(per_doc, "doc_id", "left").select("doc_id", "text", "hits")
-    return out.mapInArrow(lambda it: cut(it, with_text), RESULT + ", kept binary" * with_text)
+    done = common.stage(out.mapInArrow(lambda it: cut(it, with_text), RESULT + ", kept binary" * with_text), "cut")
+    spark.sql(f"DROP TABLE {name}")
+    return done
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
