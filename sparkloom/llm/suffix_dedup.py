@@ -21,10 +21,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,7 +208,8 @@ def merge_marks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["part", "twice"])
 
 
-PIECES = "doc_id long, start int, n int, lead int, key long, digest long"
+#: ``at`` holds start, n and lead (both below 64) in one number, which keeps the rows of the large exchange small.
+PIECES = "doc_id long, at long, key long, digest long"
 
 
 def pieces(batches: Iterator[pa.RecordBatch], twice: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -216,9 +219,9 @@ def pieces(batches: Iterator[pa.RecordBatch], twice: np.ndarray) -> Iterator[pa.
             at = slot(a.key)
             keep = np.flatnonzero(((twice[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
             ids = part.column("doc_id").take(pa.array(a.row[keep]))
-            ints = [pa.array(x[keep].astype(np.int32)) for x in (a.start, a.count, a.lead)]
-            longs = [pa.array(x[keep].view(np.int64)) for x in (a.key, a.digest)]
-            yield pa.RecordBatch.from_arrays([ids, *ints, *longs], names=["doc_id", "start", "n", "lead", "key", "digest"])
+            at = (a.start << 12) | (a.count << 6) | a.lead
+            longs = [pa.array(x[keep].view(np.int64)) for x in (at, a.key, a.digest)]
+            yield pa.RecordBatch.from_arrays([ids, *longs], names=["doc_id", "at", "key", "digest"])
 
 
 CONTENT = "key long, digest long, lo long, lead int, bytes binary"
@@ -295,13 +298,24 @@ def earlier_strings(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[
     return [(r[0], r[1], f.tobytes()) for r, f in zip(rows, flags, strict=True)]
 
 
+def may_share(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int, bytes]]:
+    """Classes that have the 16 bytes before or after the anchor's 16 in common with another of their key: 50 equal bytes hold one of these."""
+    sides = []
+    for key, _, _, lead, raw in rows:
+        after, before = raw[lead + GRAM : lead + 2 * GRAM], raw[max(0, lead - GRAM) : lead]
+        sides.append(((key, 0, after) if len(after) == GRAM else None, (key, 1, before) if len(before) == GRAM else None))
+    count = Counter(s for pair in sides for s in pair if s)
+    return [r for r, pair in zip(rows, sides, strict=True) if any(s and count[s] > 1 for s in pair)]
+
+
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes sorted by key, a batch of whole keys at a time, through suffix arrays."""
     held: list = []
     symbols = 0
 
     def made():
-        out = [x for x in earlier_strings(held) if any(x[2])]
+        rows = may_share(held)
+        out = [x for x in earlier_strings(rows) if any(x[2])] if rows else []
         cols = list(zip(*out, strict=True)) if out else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["key", "digest", "flags"])
 
@@ -325,12 +339,12 @@ def cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Recor
         for part in textvec.slices(batch, "text"):
             data, offsets = textvec.buffers(part.column("text"))
             edge = np.zeros(len(data) + 1, np.int64)
-            hits = part.column("hits").to_pylist()
-            flat = [(b + h["start"], b + h["start"] + h["n"] + WINDOW - 1) for b, hs in zip(offsets[:-1].tolist(), hits, strict=True) for h in hs or []]
-            if flat:
-                span = np.array(flat)
-                np.add.at(edge, span[:, 0], 1)
-                np.add.at(edge, span[:, 1], -1)
+            hits = part.column("hits")
+            if len(hits) > hits.null_count:
+                owner = np.repeat(np.arange(len(hits)), pc.fill_null(pc.list_value_length(hits), 0).to_numpy())
+                start, count = (hits.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                begin = offsets[owner] + start
+                edge += np.bincount(begin, minlength=len(edge)) - np.bincount(begin + count + WINDOW - 1, minlength=len(edge))
             gone = np.cumsum(edge[:-1]) > 0
             out = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -369,8 +383,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # one exchange by key serves all of these: what a key's documents, its classes and each class's documents are
     by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "digest")
     found = found.select("*", F.min("doc_id").over(by_key).alias("a"), F.max("doc_id").over(by_key).alias("b"), (F.min("digest").over(by_key) < F.max("digest").over(by_key)).alias("mixed")).filter("a < b")
-    found = found.select("doc_id", "start", "n", "lead", "key", "digest", "mixed", F.min("doc_id").over(by_class).alias("lo"), F.row_number().over(by_class.orderBy("doc_id", "start")).alias("k"))
-    found = common.stage(found, "pieces")
+    found = found.select("doc_id", "at", "key", "digest", "mixed", F.min("doc_id").over(by_class).alias("lo"), F.row_number().over(by_class.orderBy("doc_id", "at")).alias("k"))
+    at = F.col("at")
+    place = F.shiftright(at, 12).cast("int").alias("start"), F.shiftright(at, 6).bitwiseAND(63).cast("int").alias("n"), at.bitwiseAND(63).cast("int").alias("lead")
+    found = common.stage(found.select("*", *place).drop("at"), "pieces")
     places = found.filter("mixed and k = 1").groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "start", "n", "lead")).alias("wanted"))
     raw = table.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(contents, CONTENT)
     solved = common.stage(
