@@ -259,23 +259,32 @@ def earlier_strings(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[
     j = np.arange(n_blocks.sum()) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks) + first[q]
     at = begin[q] + lead[q] + BLOCK * j
     name = textvec.mix((total[at + BLOCK] - total[at]) * down[at] + keys[q]) + (j + 64).astype(np.uint64)
-    symbol = np.unique(name, return_inverse=True)[1] + 2
-    # one text: pieces with 1 between them and 0 at the end
-    place = np.arange(len(q)) + q
-    text = np.ones(len(q) + len(rows) + RUN + 1, np.int64)
-    text[place] = symbol
-    length = len(q) + len(rows)
+    symbol, times = np.unique(name, return_inverse=True, return_counts=True)[1:]
+    # a block that occurs once ends what can repeat; stretches of fewer blocks than a run are left out
+    repeats = times[symbol] > 1
+    head = np.ones(len(q), bool)
+    head[1:] = (q[1:] != q[:-1]) | (repeats[1:] != repeats[:-1])
+    stretch = np.cumsum(head) - 1
+    kept = np.flatnonzero(repeats & (np.bincount(stretch)[stretch] >= RUN)) if len(q) else np.zeros(0, np.int64)
+    flags = [np.zeros(s - WINDOW + 1, np.uint8) for s in size]
+    if not len(kept):
+        return [(r[0], r[1], f.tobytes()) for r, f in zip(rows, flags, strict=True)]
+    # one text: stretches with 1 between them and 0 at the end
+    gap = np.cumsum(np.append(0, stretch[kept][1:] != stretch[kept][:-1]))
+    place = np.arange(len(kept)) + gap
+    length = int(place[-1]) + 2
+    text = np.ones(length + 1, np.int64)
+    text[place] = symbol[kept] + 2
     text[length] = 0
     owner = np.full(len(text), -1)
-    owner[place] = np.arange(len(q))
-    sa = np.array(suffix_array(text[: length + 1].tolist()))
+    owner[place] = kept
+    sa = np.array(suffix_array(text.tolist()))
     run = text[np.minimum(sa[:, None] + np.arange(RUN), length)]
     same = np.zeros(len(sa), bool)
     same[1:] = (run[1:] == run[:-1]).all(1) & (run[1:] > 1).all(1)
     group = np.cumsum(~same)
     many = np.bincount(group)[group] > 1
     block, group = owner[sa[many]], group[many]
-    flags = [np.zeros(s - WINDOW + 1, np.uint8) for s in size]
     if len(block):
         # the strings whose first full block is this one
         w = np.repeat(np.arange(len(block)), BLOCK)
