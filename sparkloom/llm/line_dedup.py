@@ -186,13 +186,16 @@ def keyed(batches: Iterator[pa.RecordBatch], table: np.ndarray, lines: int, pct:
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, s): the sets of single lines."""
+    """(doc_id, line, c, s): the sets of single lines, as distinct 16-bit and as 64-bit hashes."""
     for batch in batches:
         for part in textvec.slices(batch, "text"):
             w = Words(part.column("text"))
             ends = pa.array(np.append(w.begin, len(w.h)).astype(np.int32))
             sets = pa.ListArray.from_arrays(ends, pa.array(w.h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("line"), sets], names=["doc_id", "line", "s"])
+            short = np.unique((w.line << 16) | (w.h >> np.uint64(48)).astype(np.int64))
+            upto = pa.array(np.searchsorted(short >> 16, np.arange(len(w.n) + 1)).astype(np.int32))
+            shorts = pa.ListArray.from_arrays(upto, pa.array((short & 0xFFFF).astype(np.uint16).view(np.int16)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("line"), shorts, sets], names=["doc_id", "line", "c", "s"])
 
 
 def small_lists(df: DataFrame, column: str) -> DataFrame:
@@ -239,12 +242,19 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
         wanted = common.stage(ids.groupBy("doc_id").agg(F.collect_list("line").alias("wanted")), "wanted")
         parts = F.transform("wanted", lambda k: F.struct(k.alias("line"), F.element_at(F.split("text", "\n", -1), k + 1).alias("text")))
         single = source.join(small_lists(wanted, "wanted"), "doc_id").select("doc_id", F.inline(parts))
-        sets = common.stage(single.mapInArrow(sets_of, "doc_id long, line int, s array<long>"), "sets")
+        sets = common.stage(single.mapInArrow(sets_of, "doc_id long, line int, c array<smallint>, s array<long>"), "sets")
+        on_a, on_b = (sets.select(F.col("doc_id").alias(f"{k}_doc"), F.col("line").alias(f"{k}_line"), "c", "s") for k in "ab")
+        # 16-bit hashes bound the overlap from above and make short rows; only what they leave is decided on full sets
+        a = on_a.select("a_doc", "a_line", F.col("c").alias("ca"), F.size("s").alias("na"))
+        b = on_b.select("b_doc", "b_line", F.col("c").alias("cb"), F.size("s").alias("nb"))
+        most = F.size(F.array_intersect("ca", "cb")) + F.least(F.col("na") - F.size("ca"), F.col("nb") - F.size("cb"))
+        rough = pairs.join(a, ["a_doc", "a_line"]).join(b, ["b_doc", "b_line"]).filter(most * (100 + pct) >= pct * (F.col("na") + F.col("nb")))
+        rough = common.stage(rough.select("a_doc", "a_line", "b_doc", "b_line"), "pairs")
+        ids = common.stage(rough.select("b_doc", "b_line").distinct(), "ids")
+        left = on_a.select("a_doc", "a_line", "s").join(common.small(rough), ["a_doc", "a_line"])
+        right = on_b.select("b_doc", "b_line", F.col("s").alias("t")).join(common.small(ids), ["b_doc", "b_line"], "left_semi")
         inter = F.size(F.array_intersect("s", "t"))
-        both = pairs.join(sets.select(F.col("doc_id").alias("a_doc"), F.col("line").alias("a_line"), "s"), ["a_doc", "a_line"]).join(
-            sets.select(F.col("doc_id").alias("b_doc"), F.col("line").alias("b_line"), F.col("s").alias("t")), ["b_doc", "b_line"]
-        )
-        good = both.filter(100 * inter >= pct * (F.size("s") + F.size("t") - inter))
+        good = left.join(right, ["b_doc", "b_line"]).filter(100 * inter >= pct * (F.size("s") + F.size("t") - inter))
         return common.stage(good.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line")).distinct(), "later")
 
     # Most later lines of a family are similar to the first or to one of the last few lines before them that share a min-hash: one
