@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import bm25, candidates, chunking, claims, diff, fusion, ranking, replies, store, structure, tfidf
 from ..sources import replies as sources
 from ..streaming import deltas
+from . import workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -568,3 +569,52 @@ def _(spark, d):
         spark, f"{d}/events.parquet*", fields, lambda s: s.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), deltas.work_folder(spark), "complete"
     )
     return made
+
+
+# ---- workspace -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "dependents_by_root",
+    """WITH RECURSIVE c AS (SELECT s_suppkey AS num, CASE WHEN s_suppkey % 9 = 1 THEN NULL ELSE s_suppkey - 1 END AS parent FROM supplier),
+r AS (SELECT num, num AS cur, 0 AS depth FROM c UNION ALL SELECT r.num, c.parent, depth + 1 FROM r JOIN c ON c.num = r.cur WHERE c.parent IS NOT NULL),
+e AS (SELECT num, max_by(cur, depth) AS root FROM r GROUP BY num)
+SELECT root, string_agg(num::VARCHAR, ',' ORDER BY num) AS dependents FROM e JOIN c USING (num) WHERE parent IS NOT NULL GROUP BY root""",
+)
+def _(spark, d):
+    k = F.col("s_suppkey")
+    c = read(spark, d, "supplier").select(k.alias("num"), F.when(k % 9 != 1, k - 1).alias("parent"))
+    return workspace.dependents_by_root(c).select("root", F.array_join("dependents", ",").alias("dependents"))
+
+
+@query(
+    "claim_counts",
+    "SELECT count(*) FILTER (p_size IS NULL OR p_size % 3 = 0) AS independent, count(*) FILTER (p_size % 3 <> 0) AS dependent, (SELECT string_agg(b, '|' ORDER BY b) FROM (SELECT DISTINCT p_brand AS b FROM part)) AS domains FROM part",
+)
+def _(spark, d):
+    p = read(spark, d, "part").select(F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("parent"), F.col("p_brand").alias("technicalDomain"))
+    return workspace.claim_counts(p).withColumn("domains", F.array_join("domains", "|"))
+
+
+@query(
+    "usage_by_type",
+    """SELECT event_id, sum(event_id % 100) OVER w::BIGINT AS total_in, sum(event_id % 10) OVER w::BIGINT AS total_out,
+round(sum(event_id % 100) OVER w * 0.000003e0 + sum(event_id % 10) OVER w * 0.000015e0, 6) AS dollars FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
+)
+def _(spark, d):
+    e = read(spark, d, "events").select("event_id", "event_type", (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 10).alias("output_tokens"))
+    return workspace.usage(e, ["event_type"], ["event_id"]).select("event_id", "total_in", "total_out", "dollars")
+
+
+@query("query_elements", "SELECT item_id, text || ' ' || text AS q FROM benchmark WHERE NOT regexp_matches(text, '(?i);|；|,\\s*(그리고|및|또는|wherein|and|comprising)|\n') AND length(text) > 10")
+def _(spark, d):
+    b = read(spark, d, "benchmark").filter(~F.col("text").rlike(r"(?i);|；|,\s*(그리고|및|또는|wherein|and|comprising)|\n") & (F.length("text") > 10))
+    parts = F.transform(claims.elements(F.col("text")), lambda e: e["text"])
+    return b.select("item_id", candidates.query_text(F.col("text"), parts).alias("q"))
+
+
+@query("stored_records", "SELECT o_orderkey AS oOrderkey, o_orderkey % 2 = 1 AS oFlag, 'x' || (o_orderkey % 3)::VARCHAR AS oTag FROM orders")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    rows = read(spark, d, "orders").select("o_orderkey", (k % 2).alias("o_flag"), F.to_json(F.struct(F.concat(F.lit("x"), k % 3).alias("t"))).alias("o_tag"))
+    return workspace.camel(rows, ("o_flag",), {"o_tag": "t string"}).withColumn("oTag", F.col("oTag.t"))
