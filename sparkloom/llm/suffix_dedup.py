@@ -36,7 +36,7 @@ WINDOW, GRAM, BLOCK = 50, 16, 8
 SPAN = WINDOW - GRAM + 1
 RUN = (WINDOW - BLOCK + 1) // BLOCK
 PLACE_BITS = 26
-MAP_BITS = 28
+MAP_BITS = 29
 PIECE_WORDS = 1 << 14
 #: Symbols of a suffix array, about; keys are never split between arrays.
 SYMBOLS = 200_000
@@ -234,7 +234,8 @@ def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             raw = (r["text"] or "").encode()
             for p in r["wanted"]:
-                out.append((p["key"], p["digest"], r["doc_id"], p["lead"], raw[p["start"] : p["start"] + p["n"] + WINDOW - 1]))
+                start, n, lead = p["at"] >> 12, p["at"] >> 6 & 63, p["at"] & 63
+                out.append((p["key"], p["digest"], r["doc_id"], lead, raw[start : start + n + WINDOW - 1]))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "digest", "lo", "lead", "bytes"])
@@ -393,17 +394,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "digest")
     found = found.select("*", F.min("doc_id").over(by_key).alias("a"), F.max("doc_id").over(by_key).alias("b"), (F.min("digest").over(by_key) < F.max("digest").over(by_key)).alias("mixed")).filter("a < b")
     found = found.select("doc_id", "at", "key", "digest", "mixed", F.min("doc_id").over(by_class).alias("lo"), F.row_number().over(by_class.orderBy("doc_id", "at")).alias("k"))
-    at = F.col("at")
-    place = F.shiftright(at, 12).cast("int").alias("start"), F.shiftright(at, 6).bitwiseAND(63).cast("int").alias("n"), at.bitwiseAND(63).cast("int").alias("lead")
-    found = common.stage(found.select("*", *place).drop("at"), "pieces")
-    places = found.filter("mixed and k = 1").groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "start", "n", "lead")).alias("wanted"))
+    start, count = F.shiftright("at", 12).cast("int").alias("start"), F.shiftright("at", 6).bitwiseAND(63).cast("int").alias("n")
+    found = common.stage(found, "pieces")
+    places = found.filter("mixed and k = 1").groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "at")).alias("wanted"))
     raw = table.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(contents, CONTENT)
     solved = common.stage(
         raw.repartition(n, "key").sortWithinPartitions("key").mapInArrow(resolve, "key long, digest long, flags binary"), "solved"
     )
-    later = found.filter("doc_id > lo").select("doc_id", "start", "n")
+    later = found.filter("doc_id > lo").select("doc_id", start, count)
     own = found.filter("mixed and doc_id = lo").join(solved, ["key", "digest"])
-    one = own.select("doc_id", "start", F.posexplode(F.split(F.hex("flags"), "(?<=\\G..)")).alias("j", "f")).filter("f = '01'")
+    one = own.select("doc_id", start, F.posexplode(F.split(F.hex("flags"), "(?<=\\G..)")).alias("j", "f")).filter("f = '01'")
     hits = later.unionByName(one.select("doc_id", (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("n")))
     per_doc = common.stage(hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("hits")), "hits")
     out = table.join(per_doc, "doc_id", "left").select("doc_id", "text", "hits")
