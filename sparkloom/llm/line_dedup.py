@@ -3,7 +3,7 @@
 A line is the set of its words. Words are ordered by rarity; two sets with Jaccard similarity t or more share a word among
 their first ``n - ceil(t n) + 1``, their second common word lies within one place more, and so on. So lines meet
 under their rare prefix words; a frequent word does not make a bucket by itself but only together
-with the next common word, or the next two, as long as the expected bucket is large. Length, order and parity filters cut
+with the next common word, or the next two, as long as the expected bucket is large. Length, positional and parity filters cut
 candidates; intersections of the full sets decide. Of two similar lines the later one (by doc_id, then line number) is
 removed; what counts is the input, not what other removals leave.
 
@@ -118,8 +118,9 @@ def word_counts(source: DataFrame) -> tuple[np.ndarray, int]:
     return table, lines
 
 
-def hot_keys(h: np.ndarray, count: np.ndarray, need: int, lines: int) -> list[int]:
-    """One line's keys that begin with a frequent word. ``need``: least overlap."""
+def hot_keys(h: np.ndarray, count: np.ndarray, need: int, lines: int) -> list[tuple[int, int]]:
+    """(key, room) of one line's keys that begin with a frequent word. ``need``: least overlap. ``room``: the most common words of lines
+    whose first ones are those of the key."""
     n, out = len(h), []
     odd = np.uint64(0x9FB21C651E98DF25)
     c = count.astype(np.float64)
@@ -129,13 +130,15 @@ def hot_keys(h: np.ndarray, count: np.ndarray, need: int, lines: int) -> list[in
         for j in range(i + 1, n - need + 2):
             two = textvec.mix(h[i : i + 1] * odd + h[j])
             if c[i] * c[j] / lines <= HOT:
-                out.append(int(two.view(np.int64)[0]))
+                out.append((int(two.view(np.int64)[0]), n - j + 1))
             else:
-                out += textvec.mix(two * odd + h[j + 1 : n - need + 3]).view(np.int64).tolist()
+                last = range(j + 1, n - need + 3)
+                three = textvec.mix(two * odd + h[j + 1 : n - need + 3]).view(np.int64).tolist()
+                out += [(k, n - m + 2) for k, m in zip(three, last, strict=True)]
     return out
 
 
-LINES = "doc_id long, line int, n int, d long, x long, y long, m array<long>, keys array<long>"
+LINES = "doc_id long, line int, n int, d long, x long, y long, m array<long>, keys array<long>, room array<int>"
 #: Min-hashes by which lines find a first partner, and how many lines before are looked at.
 FIRST = 2
 NEAR = 8
@@ -162,13 +165,14 @@ def keyed(batches: Iterator[pa.RecordBatch], table: np.ndarray, lines: int, pct:
             place = np.arange(len(w.h)) - w.begin[w.line] if len(w.h) else np.zeros(0, np.int64)
             able = (w.n >= 3)[w.line] & (place <= (w.n - need)[w.line])
             cold = np.flatnonzero(able & (w.count > 1) & (w.count <= HOT))
-            line, key = [w.line[cold]], [w.h[cold].view(np.int64)]
+            line, key, room = [w.line[cold]], [w.h[cold].view(np.int64)], [w.n[w.line[cold]] - place[cold]]
             for k in np.unique(w.line[able & (w.count > HOT)]).tolist():
                 a, n = int(w.begin[k]), int(w.n[k])
                 more = hot_keys(w.h[a : a + n], w.count[a : a + n], int(need[k]), lines)
                 line.append(np.full(len(more), k, np.int64))
-                key.append(np.array(more, np.int64))
-            line_, key_ = np.concatenate(line), np.concatenate(key)
+                key.append(np.array([x for x, _ in more], np.int64))
+                room.append(np.array([x for _, x in more], np.int64))
+            line_, key_, room_ = np.concatenate(line), np.concatenate(key), np.concatenate(room).astype(np.int32)
             order = np.argsort(line_, kind="stable")
             ends = pa.array(np.searchsorted(line_[order], np.append(full, len(w.n))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -180,8 +184,9 @@ def keyed(batches: Iterator[pa.RecordBatch], table: np.ndarray, lines: int, pct:
                     *(pa.array(k.view(np.int64)) for k in odd),
                     pa.array(list(least.view(np.int64)), pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(ends, pa.array(key_[order])),
+                    pa.ListArray.from_arrays(ends, pa.array(room_[order])),
                 ],
-                names=["doc_id", "line", "n", "d", "x", "y", "m", "keys"],
+                names=["doc_id", "line", "n", "d", "x", "y", "m", "keys", "room"],
             )
 
 
@@ -270,9 +275,13 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
     # The others meet every earlier line with which they share a key. Both sides of the join are one exchange: that is why the
     # flag of the settled is asked for by an expression of both sides, which can't be pushed below it.
     open_ = classes.join(common.small(settled.withColumn("done", F.lit(1))), ["doc_id", "line"], "left")
-    flagged = posted("keys", "a", open_.drop("m"), F.coalesce("done", F.lit(0)).alias("a_done"))
-    other = flagged.select(*(F.col(f"a_{k}").alias(f"b_{k}") for k in [*fields.values(), "done"]), "key")
-    met = flagged.join(other, "key").filter((F.col("a_done") * 0 + F.col("b_done") == 0) & alike(side("a"), side("b")))
+    names = [*fields.values(), "done"]
+    flagged = open_.select(*(F.col(c).alias(f"a_{k}") for c, k in fields.items()), F.coalesce("done", F.lit(0)).alias("a_done"), F.explode(F.arrays_zip("keys", "room")).alias("p"))
+    flagged = flagged.select(*(f"a_{k}" for k in names), F.col("p.room").alias("a_room"), F.col("p.keys").alias("key"))
+    other = flagged.select(*(F.col(f"a_{k}").alias(f"b_{k}") for k in [*names, "room"]), "key")
+    # positions: if the key holds the first common words, so many can be common at most
+    fits = F.least("a_room", "b_room") * (100 + pct) >= pct * (F.col("a_n") + F.col("b_n"))
+    met = flagged.join(other, "key").filter((F.col("a_done") * 0 + F.col("b_done") == 0) & fits & alike(side("a"), side("b")))
     far = differing(side("a"), side("b")).alias("far")
     met = common.stage(met.select("b_doc", "b_line", far, "a_doc", "a_line").distinct(), "pairs")
     nearest = met.groupBy("b_doc", "b_line").agg(F.min(F.struct("far", "a_doc", "a_line")).alias("p")).select("b_doc", "b_line", "p.*")
