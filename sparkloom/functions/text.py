@@ -30,6 +30,15 @@ PUNCTUATION = r"[.,;:!?()\[\]{}\"'`]"
 HANGUL = "[가-힯]"
 
 
+#: What stands between terms: runs of punctuation and white space.
+BETWEEN = PUNCTUATION[:-1] + WS[1:] + "+"
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once (an expression that is named twice is computed twice)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def trim(c) -> Column:
     """Without white space at both ends (Spark's own trim takes the space character only)."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -40,14 +49,14 @@ def tokenize(c) -> Column:
 
     Others need two characters. A Hangul word of one character gives nothing, one of two counts twice.
     """
-    clean = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), PUNCTUATION, " "), f"{WS}+", " ")
-    words = F.filter(F.split(F.trim(clean), " ", -1), lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
+    text = F.coalesce(c, F.lit(""))
+    words = F.filter(F.split(F.lower(text), BETWEEN, -1), lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
 
     def terms(w: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
         return F.when(w.rlike(HANGUL), F.concat(pairs, F.array(w))).otherwise(F.array(w))
 
-    return F.when(clean.rlike(HANGUL), F.flatten(F.transform(words, terms))).otherwise(words)
+    return F.when(text.rlike(HANGUL), F.flatten(F.transform(words, terms))).otherwise(words)
 
 
 def tokenize_literal(text: str | None) -> list[str]:
@@ -83,9 +92,13 @@ def sentences(c, least: int = 10) -> Column:
     character; the character after the end is skipped.
     """
     text = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\n(?!\n)", " "), f"{WS}{{2,}}", " ")
-    parts = F.split(text, "(?<=[.?!]) |(?<=。)(?s:.)", -1)
-    good = F.filter(F.transform(parts, trim), lambda s: F.length(s) >= least)
-    return F.when(F.size(good) > 0, good).otherwise(F.array(trim(text)))
+
+    def cut(x: Column) -> Column:
+        parts = F.split(x, "(?<=[.?!]) |(?<=。)(?s:.)", -1)
+        good = F.filter(F.transform(parts, trim), lambda s: F.length(s) >= least)
+        return let(good, lambda g: F.when(F.size(g) > 0, g).otherwise(F.array(trim(x))))
+
+    return let(text, cut)
 
 
 def first_match(c, pattern: str, group: int = 0) -> Column:

@@ -38,16 +38,16 @@ def chunk_array(text: Column, offset: Column) -> Column:
 
 def overlaps(chunks: Column) -> Column:
     """The chunks with the end of the one before and the beginning of the one after."""
-    return F.transform(
-        chunks,
-        lambda c, i: F.struct(
+    def one(all_: Column, c: Column, i: Column) -> Column:
+        return F.struct(
             c["text"].alias("text"),
             c["charStart"].alias("charStart"),
             c["charEnd"].alias("charEnd"),
-            F.coalesce(F.right(F.get(chunks, i - 1)["text"], F.lit(OVERLAP)), F.lit("")).alias("overlapBefore"),
-            F.coalesce(F.left(F.get(chunks, i + 1)["text"], F.lit(OVERLAP)), F.lit("")).alias("overlapAfter"),
-        ),
-    )
+            F.coalesce(F.right(F.get(all_, i - 1)["text"], F.lit(OVERLAP)), F.lit("")).alias("overlapBefore"),
+            F.coalesce(F.left(F.get(all_, i + 1)["text"], F.lit(OVERLAP)), F.lit("")).alias("overlapAfter"),
+        )
+
+    return T.let(chunks, lambda all_: F.transform(all_, lambda c, i: one(all_, c, i)))
 
 
 def chunks(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -75,21 +75,24 @@ def relevant_passages(text: Column, claim: Column, most: int = 6000) -> Column:
     A paragraph that no longer fits is passed over; paragraphs without a keyword never count. Without keywords, or without a
     paragraph taken, the beginning of the text.
     """
-    words, paras = T.keywords(claim), T.paragraphs(text)
-    scored = F.transform(
-        paras,
-        lambda p, i: F.struct((-F.size(F.filter(words, lambda w: F.contains(F.lower(p), w)))).alias("score"), i.alias("pos"), p.alias("p")),
-    )
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
 
-    def step(a: Column, s: Column) -> Column:
-        fits = (s["score"] < 0) & (a["used"] + F.length(s["p"]) <= most)
-        return F.struct(
-            F.when(fits, a["used"] + F.length(s["p"]) + 2).otherwise(a["used"]).alias("used"),
-            F.when(fits, F.array_append(a["taken"], s["pos"])).otherwise(a["taken"]).alias("taken"),
+    def choose(words: Column, paras: Column) -> Column:
+        scored = F.transform(
+            paras,
+            lambda p, i: F.struct((-F.size(F.filter(words, lambda w: F.contains(F.lower(p), w)))).alias("score"), i.alias("pos"), p.alias("p")),
         )
+        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
+
+        def step(a: Column, s: Column) -> Column:
+            fits = (s["score"] < 0) & (a["used"] + F.length(s["p"]) <= most)
+            return F.struct(
+                F.when(fits, a["used"] + F.length(s["p"]) + 2).otherwise(a["used"]).alias("used"),
+                F.when(fits, F.array_append(a["taken"], s["pos"])).otherwise(a["taken"]).alias("taken"),
+            )
+
+        taken = F.aggregate(F.array_sort(scored), start, step, lambda a: F.array_sort(a["taken"]))
+        return F.array_join(F.transform(taken, lambda i: F.get(paras, i)), "\n\n")
 
-    taken = F.aggregate(F.array_sort(scored), start, step, lambda a: F.array_sort(a["taken"]))
-    joined = F.array_join(F.transform(taken, lambda i: F.get(paras, i)), "\n\n")
-    beginning = T.trim(F.substring(text, 1, most))
-    return F.when((F.size(words) == 0) | (joined == ""), beginning).otherwise(joined)
+    joined = T.let(T.keywords(claim), lambda words: T.let(T.paragraphs(text), lambda paras: choose(words, paras)))
+    # without keywords no paragraph has a score, so nothing is taken
+    return T.let(joined, lambda j: F.when(j == "", T.trim(F.substring(text, 1, most))).otherwise(j))

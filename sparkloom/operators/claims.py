@@ -45,8 +45,6 @@ def letter(place: Column) -> Column:
 
 def elements(text: Column) -> Column:
     """array<struct<id, text, importance, isEssential>> of a claim: listed parts, else parts between semicolons and connecting words."""
-    clean = T.trim(text)
-    parts = F.filter(F.split(clean, ELEMENT_CUT, -1), lambda p: T.trim(p) != "")
 
     def element(i: Column, name: Column, body: Column, importance: Column, essential: Column) -> Column:
         return F.struct(name.alias("id"), body.alias("text"), importance.cast("int").alias("importance"), essential.alias("isEssential"))
@@ -60,11 +58,16 @@ def elements(text: Column) -> Column:
         name = F.when(i < 26, letter(i)).otherwise((i + 1).cast("string"))
         return element(i, name, T.trim(p), F.when(i == 0, 3).otherwise(2), i <= 2)
 
-    by_list = F.filter(F.transform(parts, listed), lambda e: e["text"] != "")
-    by_word = F.transform(F.filter(F.split(clean, PLAIN_CUT, -1), lambda p: F.length(T.trim(p)) > 10), plain)
-    found = F.when(F.size(parts) > 1, by_list).otherwise(by_word)
-    whole = F.array(element(F.lit(0), F.lit("A"), clean, F.lit(3), F.lit(True)))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+    def of_parts(clean: Column, parts: Column) -> Column:
+        by_list = F.filter(F.transform(parts, listed), lambda e: e["text"] != "")
+        by_word = F.transform(F.filter(F.split(clean, PLAIN_CUT, -1), lambda p: F.length(T.trim(p)) > 10), plain)
+        whole = F.array(element(F.lit(0), F.lit("A"), clean, F.lit(3), F.lit(True)))
+        return T.let(F.when(F.size(parts) > 1, by_list).otherwise(by_word), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
+
+    def of_clean(clean: Column) -> Column:
+        return T.let(F.filter(F.split(clean, ELEMENT_CUT, -1), lambda p: T.trim(p) != ""), lambda parts: of_parts(clean, parts))
+
+    return T.let(T.trim(text), of_clean)
 
 
 def broad_terms(text: Column) -> Column:
