@@ -393,7 +393,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # one exchange by key serves all of these: what a key's documents, its classes and each class's documents are
     by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "digest")
     found = found.select("*", F.min("doc_id").over(by_key).alias("a"), F.max("doc_id").over(by_key).alias("b"), (F.min("digest").over(by_key) < F.max("digest").over(by_key)).alias("mixed")).filter("a < b")
-    found = found.select("doc_id", "at", "key", "digest", "mixed", F.min("doc_id").over(by_class).alias("lo"), F.row_number().over(by_class.orderBy("doc_id", "at")).alias("k"))
+    # only mixed keys are looked at again: elsewhere the two hashes would be stored for nothing
+    wanted_only = (F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("key", "digest"))
+    found = found.select("doc_id", "at", *wanted_only, "mixed", F.min("doc_id").over(by_class).alias("lo"), F.row_number().over(by_class.orderBy("doc_id", "at")).alias("k"))
     start, count = F.shiftright("at", 12).cast("int").alias("start"), F.shiftright("at", 6).bitwiseAND(63).cast("int").alias("n")
     found = common.stage(found, "pieces")
     places = found.filter("mixed and k = 1").groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "at")).alias("wanted"))
