@@ -266,7 +266,16 @@ e AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN l ELSE [t] END AS l FROM p)
 SELECT doc_id, len(l)::BIGINT AS n, md5(array_to_string(l, '|')) AS h, CASE WHEN len(l) > 26 THEN len(l)::VARCHAR ELSE chr(64 + len(l)::INT) END AS last_id FROM e""",
 )
 def _(spark, d):
-    docs = read(spark, d, "documents").filter(~F.col("text").rlike(rf"(\n|[;；])\s*({claims.LIST_MARK})"))
+    return _elements(read(spark, d, "documents").filter(~F.col("text").rlike(rf"(\n|[;；])\s*({claims.LIST_MARK})")))
+
+
+@query("claim_elements_all")
+def _(spark, d):
+    """Of every document, listed parts too, which need a look-ahead that DuckDB has not."""
+    return _elements(read(spark, d, "documents"))
+
+
+def _elements(docs: DataFrame) -> DataFrame:
     e = docs.select("doc_id", claims.elements(F.col("text")).alias("e"))
     return e.select("doc_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join(F.transform("e", lambda x: x["text"]), "|")).alias("h"), F.element_at("e", -1)["id"].alias("last_id"))
 
@@ -609,6 +618,16 @@ def _(spark, d):
 @query("query_elements", "SELECT item_id, text || ' ' || text AS q FROM benchmark WHERE NOT regexp_matches(text, '(?i);|；|,\\s*(그리고|및|또는|wherein|and|comprising)|\n') AND length(text) > 10")
 def _(spark, d):
     b = read(spark, d, "benchmark").filter(~F.col("text").rlike(r"(?i);|；|,\s*(그리고|및|또는|wherein|and|comprising)|\n") & (F.length("text") > 10))
+    return _query_elements(b)
+
+
+@query("query_elements_all")
+def _(spark, d):
+    """Of every benchmark item, those of several elements too."""
+    return _query_elements(read(spark, d, "benchmark"))
+
+
+def _query_elements(b: DataFrame) -> DataFrame:
     parts = F.transform(claims.elements(F.col("text")), lambda e: e["text"])
     return b.select("item_id", candidates.query_text(F.col("text"), parts).alias("q"))
 
