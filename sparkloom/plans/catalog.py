@@ -398,6 +398,59 @@ def _(spark, d):
     return structure.link_figures(chunks, refs).select("number", "description", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
+# ---- the same operators over all documents ---------------------------------------------------------------------------
+
+
+@query("document_claims")
+def _(spark, d):
+    c = read(spark, d, "documents").select("doc_id", structure.split_claims(F.coalesce("text", F.lit(""))).alias("c"))
+    return c.select("doc_id", F.size("c").cast("long").alias("n"), F.md5(F.array_join("c", "|")).alias("h"))
+
+
+@query("document_claim_parents")
+def _(spark, d):
+    """The parent of each claim of a document by both wordings, ``-`` for an independent one."""
+    c = read(spark, d, "documents").select("doc_id", structure.split_claims(F.coalesce("text", F.lit(""))).alias("c"))
+
+    def parents(variant: str):
+        return F.array_join(F.transform("c", lambda x: F.coalesce(claims.parent(x, variant).cast("string"), F.lit("-"))), ",")
+
+    return c.select("doc_id", parents("enrich").alias("parents"), parents("graph").alias("graph_parents"))
+
+
+_DATED = "CASE WHEN regexp_matches({0}, '{1}') AND try_cast(regexp_extract({0}, '{1}', 1) AS INT) BETWEEN 1981 AND 2027 THEN regexp_extract({0}, '{1}', 1) || '-' || lpad(regexp_extract({0}, '{1}', 2), 2, '0') || '-' || lpad(regexp_extract({0}, '{1}', 3), 2, '0') END"
+_NEAR = ", ".join("CASE WHEN contains(t, '{0}') THEN {1} END".format(m, _DATED.format(f"substr(t, strpos(t, '{m}'), 120)", structure.DATE)) for m in structure.DATE_MARKS)
+
+
+@query("document_bib_dates", f"SELECT doc_id, coalesce({_NEAR}, {_DATED.format('t', structure.DATE)}) AS date FROM (SELECT doc_id, substr(text, 1, 6000) AS t FROM documents)")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", structure.document_date(F.col("text"), 2026).alias("date"))
+
+
+@query(
+    "document_headings",
+    f"""SELECT doc_id, pos, CASE WHEN length(n) BETWEEN 2 AND 60 AND NOT regexp_matches(t, '(?i)^\\s*(청구항|claim)\\s*[0-9]') THEN {_HEAD_SQL} END AS kind FROM (
+SELECT doc_id, pos, t, lower(regexp_replace(regexp_replace(t, '[【】\\[\\]「」『』〔〕()（）]', '', 'g'), '\\s+', '', 'g')) AS n FROM (
+SELECT doc_id, unnest(l) AS t, unnest(range(len(l)))::INT AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))""",
+)
+def _(spark, d):
+    """Every line of every document with the section that it heads, or null."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
+    return lines.select("doc_id", "pos", structure.section_type(F.col("line")).alias("kind"))
+
+
+@query("document_figures")
+def _(spark, d):
+    """The figures of every document, in the order of their numbers, with the chunks that name them."""
+    docs = read(spark, d, "documents")
+    refs = docs.select("doc_id", F.explode(structure.figures(F.col("text"))).alias("f")).select("doc_id", "f.*")
+    linked = structure.link_figures(chunking.chunks(structure.sections(docs)), refs)
+    row = F.struct(structure.figure_order(F.col("number")).alias("n"), "number", "description", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+    by_doc = linked.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("f"))
+    text = F.array_join(F.transform("f", lambda x: F.concat_ws("|", x["number"], x["description"], x["chunk_ids"])), ";")
+    return docs.select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", F.coalesce(F.size("f"), F.lit(0)).cast("long").alias("n"), F.coalesce(text, F.lit("")).alias("figures"))
+
+
 # ---- scores ----------------------------------------------------------------------------------------------------------
 
 

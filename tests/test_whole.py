@@ -61,3 +61,52 @@ def test_elements_of_the_driver_tables(spark):
     assert got == {k: (len(e), md5("|".join(x for _, x in e))) for k, e in docs.items()}
     assert len(got) == QUERIES["claim_elements"](spark, d).count() + 10
     assert QUERIES["query_elements_all"](spark, d).count() == spark.read.parquet(f"{d}/benchmark.parquet").count()
+
+
+MANY = "\n".join(f"Claim {k}. The frame of claim {k - 1}, wherein part {k} is red." for k in range(2, 400))
+TEXTS = {
+    1: "(22) 2019.3.7 and 공개일 2020-01-02\n[Abstract]\nIt works as FIG.2a and 도1 tell, and there is more of it at some length here.\nClaims\nClaim 1. A frame.\nClaim 2. The frame of claim 1, wherein it is red.\n"
+    "Brief Description of Drawings\nFIG. 2a shows a view\nFIG. 9 is unused",
+    2: "1. one\n2) two",
+    3: " no marks ",
+    4: "",
+    5: None,
+    6: "Claim 1. A frame.\n" + MANY,
+    7: "(30) 1970.01.01 (22) 2001-2-3",
+    8: "x" * 7000 + " 1999-09-09",
+}
+
+
+def test_text_operators_over_all_documents(spark, tmp_path):
+    write(spark, tmp_path, "documents", list(TEXTS.items()), "doc_id long, text string")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    got = {r.doc_id: (r.n, r.h) for r in run("document_claims")}
+    tail = "\nBrief Description of Drawings\nFIG. 2a shows a view\nFIG. 9 is unused"
+    many = ["A frame."] + [f"The frame of claim {k - 1}, wherein part {k} is red." for k in range(2, 400)]
+    parts = {1: ["A frame.", "The frame of claim 1, wherein it is red." + tail], 2: ["one", "two"], 3: ["no marks"], 4: [], 5: [], 6: many, 7: [TEXTS[7]], 8: [TEXTS[8]]}
+    assert got == {k: (len(v), md5("|".join(v))) for k, v in parts.items()}
+    got = {r.doc_id: (r.parents, r.graph_parents) for r in run("document_claim_parents")}
+    chain = ",".join(["-", *(str(k - 1) for k in range(2, 400))])
+    # the graph's English wording needs the comma right after the number
+    assert got == {1: ("-,1", "-,1"), 2: ("-,-", "-,-"), 3: ("-", "-"), 4: ("", ""), 5: ("", ""), 6: (chain, chain), 7: ("-", "-"), 8: ("-", "-")}
+    got = {r.doc_id: r.date for r in run("document_bib_dates")}
+    assert got == {1: "2019-03-07", 2: None, 3: None, 4: None, 5: None, 6: None, 7: "2001-02-03", 8: None}
+    rows = run("document_headings")
+    assert len(rows) == sum(len((t or "").split("\n")) for t in TEXTS.values())
+    assert {(r.doc_id, r.pos, r.kind) for r in rows if r.kind} == {(1, 1, "abstract"), (1, 3, "claims"), (1, 6, "figures_description")}
+    got = {r.doc_id: (r.n, r.figures) for r in run("document_figures")}
+    assert got.pop(1) == (3, "도 1||chunk-1-abstract;FIG. 2a|a view|chunk-1-abstract;FIG. 9|unused|")
+    assert got == {k: (0, "") for k in TEXTS if k > 1}
+
+
+def test_literal_rows(spark):
+    """The rows of the queries that read no table."""
+    rows = lambda name, *cols: sorted(tuple(r[c] for c in cols) for r in QUERIES[name](spark, "none").collect())
+    assert rows("claim_dependency", "num", "parent")[4:] == [(5, 3), (6, 12), (7, 2)]
+    assert [k for _, k in rows("section_headings", "k", "kind")] == ["abstract", "abstract", None, "technical_field", "background", None, "solution", None]
+    assert rows("kr_dates", "k", "date") == [(1, "2024-01-05"), (2, "2024-01-05"), (3, "2024"), (4, None)]
+    assert rows("inverted_text", "k", "text") == [(1, "a b a")]
+    assert [x for _, x in rows("document_dates", "k", "date")] == ["2019-03-07", "2011-12-31", "2001-02-03", None, "1999-09-09"]
+    assert rows("split_claims", "k", "num", "text") == [(1, 1, "A frame."), (1, 2, "The frame of claim 1, wherein it is red."), (2, 1, "one"), (2, 2, "two"), (3, 1, "no marks")]
+    assert rows("figure_links", "number", "chunk_ids") == [("FIG. 2", "c2"), ("FIG. 2a", "c1"), ("FIG. 9", ""), ("도 1", "c1")]
+    assert rows("rerank_replies", "id", "weighted_score") == [("d1", 70), ("d2", 0), ("d3", 100)]
