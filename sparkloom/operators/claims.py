@@ -19,6 +19,8 @@ BROAD = [
     ("수단으로서|하도록 구성된|위한 수단", "기능적 한정"),
 ]
 ENGLISH_BROAD = 5
+#: The border after ASCII words; "etc. x" has it before its full stop, not after it.
+BORDER = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 #: Technical fields in the order in which they are tried (fixed values).
 FIELDS = [
@@ -74,7 +76,7 @@ def broad_terms(text: Column) -> Column:
     """The first match of each kind of broad wording, with what is said of it."""
     out = []
     for k, (words, label) in enumerate(BROAD):
-        pattern = f"(?i)(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])" if k < ENGLISH_BROAD else words
+        pattern = f"(?i)(?<![A-Za-z0-9_])(?:{words}){BORDER}" if k < ENGLISH_BROAD else words
         out.append(F.when(text.rlike(pattern), F.concat(F.lit('"'), F.regexp_extract(text, pattern, 0), F.lit(f'" — {label}'))))
     return F.array_compact(F.array(*out))
 

