@@ -129,3 +129,23 @@ def test_all_broad_terms(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(con.execute(ORACLE["broad_wordings"]).fetchall())
+
+
+def test_whole_benchmark_and_all_customers(spark, tmp_path):
+    write(spark, tmp_path, "documents", [(k, f"word{k} stands here") for k in range(60)], "doc_id long, text string")
+    items = [(k, "nothing alike") for k in range(49)] + [(50, "word50 stands"), (77, "word59 word59")]
+    write(spark, tmp_path, "benchmark", items, "item_id long, text string")
+    got = {r.doc_id: r.outcome for r in QUERIES["evidence_validation"](spark, str(tmp_path)).collect()}
+    # 51 items: document 49 has no item, 50 meets its own
+    assert got == {k: "kept" if k in (49, 50) else "replaced" for k in range(60)}
+    write(spark, tmp_path, "orders", [(k, k % 30) for k in range(90)], "o_orderkey long, o_custkey long")
+    write(spark, tmp_path, "customer", [(k, f"c{k}") for k in range(30)], "c_custkey long, c_name string")
+    got = {(r.o_orderkey, r.c_name) for r in QUERIES["project_searches_all"](spark, str(tmp_path)).collect()}
+    assert got == {(k, f"c{k % 30}") for k in range(90)}
+
+
+def test_every_item_is_a_query(spark, tmp_path):
+    write(spark, tmp_path, "documents", [(k, f"word{k} stands here") for k in range(60)], "doc_id long, text string")
+    write(spark, tmp_path, "benchmark", [(7, "word37")], "item_id long, text string")
+    got = {r.rank: r.chunk_id for r in QUERIES["multi_query_chunks"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([37, *range(7)], 1))
