@@ -103,14 +103,14 @@ class Patterns:
         return (np.concatenate(found_at), np.concatenate(found)) if found else (none, none)
 
 
-def compile_patterns(items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
+def compile_patterns(items: list[tuple[str | None, str | None]], window: int) -> list[Patterns]:
     by_length: dict[int, dict] = defaultdict(lambda: defaultdict(list))
     for item, text in items:
         w = words_of(text)
         m = min(window, len(w))
         for k in range(len(w) - m + 1) if m else []:
             owners = by_length[m][tuple(w[k : k + m])]
-            if item not in owners:
+            if item is not None and item not in owners:
                 owners.append(item)
     return [Patterns(m, p) for m, p in sorted(by_length.items())]
 
@@ -178,22 +178,23 @@ def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pattern_words: int = PATTERN_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null and wordless texts have no words and are clean; null or wordless items give no window. Repeated item_ids count once, windows
+    Null and wordless texts have no words and are clean; items with a null or wordless text give no window. Items with a null item_id
+    count in n_hit and contaminated, but not in n_items and items_sha256. Repeated item_ids count once, windows
     that several items share count for each. An empty benchmark leaves all documents clean. With several blocks
     of patterns doc_ids must be unique.
     """
     source = common.texts(docs, F.col("doc_id").cast("long"), "text")
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.count("*").alias("k")).first()
     n_blocks = max(1, -(-int(size.n) // (2 * pattern_words)))
-    cut = bench.withColumn("b", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)))
+    cut = bench.withColumn("b", F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(n_blocks)))
     found = None
     for b in range(n_blocks):
         patterns = compile_patterns([(r.item_id, r.text) for r in cut.filter(F.col("b") == b).select("item_id", "text").collect()], window)
         part = source.mapInArrow(lambda it, p=patterns: scan(it, p), HITS)
         if n_blocks == 1:
             return part.mapInArrow(report, RESULT)
-        part = part.select("*") if b == 0 else part.filter("size(items) > 0")
+        part = part.select("*") if b == 0 else part.filter("length(hits) > 0")
         part = common.stage(part, "hits")
         found = part if found is None else found.unionByName(part)
     spans = found.groupBy("doc_id").agg(
