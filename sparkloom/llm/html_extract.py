@@ -167,7 +167,10 @@ class Page:
             self.text, self.links = [], 0
 
     def scores(self) -> dict[str, float]:
-        """Score of every path: the share of text below it, less links, and a little for depth; its best container counts."""
+        """Score of every path: the share of text below it, less links, and a little for depth; its best container counts.
+
+        On a page without an article element, depth counts only for containers that leave out no text but links.
+        """
         mass, linked = [0.0] * len(self.paths), [0.0] * len(self.paths)
         for c, text, links in self.blocks:
             mass[c] += len(text)
@@ -176,11 +179,14 @@ class Page:
             mass[self.parents[c]] += mass[c]
             linked[self.parents[c]] += linked[c]
         out: dict[str, float] = {}
+        found = any(">article" in path for path in self.paths)
+        own = max(0.0, mass[0] - linked[0])
         if mass[0]:
             for c, path in enumerate(self.paths):
                 if mass[c]:
                     free = max(0.0, 1 - linked[c] / mass[c])
-                    out[path] = max(out.get(path, 0.0), mass[c] / mass[0] * free + LEVEL * self.levels[c])
+                    deep = found or mass[c] == mass[0] or mass[c] - linked[c] >= own > 0
+                    out[path] = max(out.get(path, 0.0), mass[c] / mass[0] * free + LEVEL * self.levels[c] * deep)
         return out
 
     def under(self, path: str) -> list[str]:

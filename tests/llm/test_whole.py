@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkloom.llm import html_extract, language_id
+from sparkloom.llm import html_extract
 from sparkloom.llm.wu_manber import contamination
 
 from .test_wu_manber import brute
@@ -19,3 +19,11 @@ def test_items_without_an_id_are_patterns(spark, pattern_words):
     named = brute(docs, [x for x in items if x[0] is not None])
     assert got[1] == (4, 2, 0, named[1][3], True)
     assert {k: got[k] for k in (2, 3, 4)} == {k: named[k] for k in (2, 3, 4)} and len(got) == 4
+
+
+def test_split_bodies_without_an_article_element():
+    lead, body = "lead " * 20, "text " * 180
+    page = f'<body><div class="content"><div class="lead"><p>{lead}</p></div><div class="text"><p>{body}</p></div></div><ul><li><a href="/">more</a></ul></body>'
+    assert html_extract.article(page, None) == f"{lead.strip()}\n\n{body.strip()}"
+    wrapped = f'<body><div class="a"><div class="b"><div class="c"><p>{body}</p></div></div></div><div class="d"><p>{"rest " * 60}</p></div></body>'
+    assert "rest" in html_extract.article(wrapped, None)
