@@ -22,8 +22,6 @@ from . import common, textvec
 
 #: Labelled rows of each language that the classifier is fitted on, about; the bound of the sample.
 SAMPLE = 1200
-#: Languages learned, at most (the most frequent).
-LANGUAGES = 200
 BUCKET_BITS = 16
 DIM = 16
 EPOCHS = 5
@@ -159,14 +157,16 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model:
 
 
 def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on rows with a language whose ``crc32(doc_id) mod 5`` is not 0, about ``sample`` of each language."""
+    """Train on rows with a language whose ``crc32(doc_id) mod 5`` is not 0, about ``sample`` of each language, every language."""
     usable = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return train([])
-    share = F.lit(0.0)
+    share = F.when(F.lit(False), 1.0)
     for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))).otherwise(share)
+        if r["count"] > sample:
+            share = share.when(F.col("lang") == r["lang"], sample / r["count"])
+    share = share.otherwise(1.0)
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = usable.filter(draw < share).select("text", "lang", draw.alias("u"))
     rows = drawn.orderBy("u", "lang", F.xxhash64("text")).limit(2 * sample * len(counts)).collect()

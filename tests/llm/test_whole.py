@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkloom.llm import html_extract
+from sparkloom.llm import html_extract, language_id
 from sparkloom.llm.wu_manber import contamination
 
 from .test_wu_manber import brute
@@ -27,3 +27,11 @@ def test_split_bodies_without_an_article_element():
     assert html_extract.article(page, None) == f"{lead.strip()}\n\n{body.strip()}"
     wrapped = f'<body><div class="a"><div class="b"><div class="c"><p>{body}</p></div></div></div><div class="d"><p>{"rest " * 60}</p></div></body>'
     assert "rest" in html_extract.article(wrapped, None)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"{chr(97 + lang % 26) * 3} {chr(97 + lang // 26) * 4} word", f"l{lang:03}") for lang in range(205) for k in range(lang * 6, lang * 6 + 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit_on(docs).languages == [f"l{lang:03}" for lang in range(205)]
+    # the bound on rows holds for each language that has more
+    assert language_id.fit_on(docs.filter("doc_id < 12"), 2).languages
