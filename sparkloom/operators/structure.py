@@ -35,20 +35,23 @@ def section_type(line: Column, rule: str = "compat") -> Column:
     of the headings that equal or begin the line, which files headings that begin alike under their own section.
     """
     norm = F.lower(F.regexp_replace(F.regexp_replace(line, BRACKETS, ""), f"{T.WS}+", ""))
-    able = (F.length(norm) >= 2) & (F.length(norm) <= 60) & ~T.trim(line).rlike(CLAIM_LINE)
-    if rule == "longest":
-        pairs = sorted(((key, kind) for kind, keys in HEADINGS.items() for key in keys.split()), key=lambda x: -len(x[0]))
+
+    def heads(norm: Column) -> Column:
+        able = (F.length(norm) >= 2) & (F.length(norm) <= 60) & ~T.trim(line).rlike(CLAIM_LINE)
         found = F.lit(None).cast("string")
-        for key, kind in reversed(pairs):
-            found = F.when(norm.startswith(key), kind).otherwise(found)
+        if rule == "longest":
+            pairs = sorted(((key, kind) for kind, keys in HEADINGS.items() for key in keys.split()), key=lambda x: -len(x[0]))
+            for key, kind in reversed(pairs):
+                found = F.when(norm.startswith(key), kind).otherwise(found)
+            return F.when(able, found)
+        for kind, keys in reversed(HEADINGS.items()):
+            fits = F.lit(False)
+            for key in keys.split():
+                fits = fits | norm.startswith(key) | F.startswith(F.lit(key), norm)
+            found = F.when(fits, kind).otherwise(found)
         return F.when(able, found)
-    found = F.lit(None).cast("string")
-    for kind, keys in reversed(HEADINGS.items()):
-        fits = F.lit(False)
-        for key in keys.split():
-            fits = fits | norm.startswith(key) | F.startswith(F.lit(key), norm)
-        found = F.when(fits, kind).otherwise(found)
-    return F.when(able, found)
+
+    return T.let(norm, heads)
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: str = "compat") -> DataFrame:
