@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +18,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -43,16 +50,81 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{fresh(spark)}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
 
 
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a staged frame that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stage_path).getParent()
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Stages:
+    """Staged frames of one computation: their files go when it ends, well or not."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for df in self.frames:
+            drop_stage(df)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df)
+        return df
+
+    def stage(self, df: DataFrame, tag: str) -> DataFrame:
+        return self.keep(stage(df, tag))
+
+    def drop(self, df: DataFrame) -> None:
+        self.frames.remove(df)
+        drop_stage(df)
+
+
+def trim() -> None:
+    """Give a worker's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(function: Callable) -> Callable:
+    """A function of batches after whose end its worker's memory is trimmed: workers are used again."""
+
+    def run(batches):
+        yield from function(batches)
+        trim()
+
+    return run
+
+
+def tidy_group(function: Callable) -> Callable:
+    """As ``tidy``, for a function of a key and batches."""
+
+    @functools.wraps(function)
+    def run(key, batches):
+        yield from function(key, batches)
+        trim()
+
+    return run
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names of columns that ``df`` does not have, made of ``names``."""
+    taken = {c.lower() for c in df.columns}
+    tail = "_"
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -39,8 +39,8 @@ def bands_for(pct: int) -> int:
 def shingle_sets(column, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingles of each text of an Arrow column."""
     data, offsets = textvec.buffers(column)
-    data = textvec.LOWER[data]
-    starts, ends, first = textvec.spans(data, offsets, textvec.SPACED)
+    data = textvec.lower(data)
+    starts, ends, first = textvec.spans(textvec.spaced(data), offsets)
     words = textvec.word_hashes(data, starts, ends)
     n = len(words)
     odd = np.uint64(0xD6E8FEB86659FD93)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +18,25 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: list[np.ndarray] = []
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+#: Words of more bytes are hashed one by one.
+LONG = 64
+#: The first bytes of eight.
+_FRONT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
-#: True at bytes of words: all but space and 0x09-0x0D.
-SPACED = np.ones(256, bool)
-SPACED[[0x20, 9, 10, 11, 12, 13]] = False
 
-#: True at bytes of words, after lower-casing A-Z: digits, a-z and all from 0x80.
-ALNUM = np.zeros(256, bool)
-ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return data | (((data - np.uint8(65)) < 26).view(np.uint8) << 5)
+
+
+def spaced(data: np.ndarray) -> np.ndarray:
+    """True at bytes of words: all but space and 0x09-0x0D."""
+    return ~((data == 32) | ((data - np.uint8(9)) < 5))
+
+
+def alnum(data: np.ndarray) -> np.ndarray:
+    """True at bytes of words, after lower-casing A-Z: digits, a-z and all from 0x80."""
+    return ((data - np.uint8(48)) < 10) | ((data - np.uint8(97)) < 26) | (data >= 128)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,24 +83,47 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa
         at = to
 
 
-def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and the first word's number of each row (and their count at the end)."""
-    word = table[data]
-    before = np.zeros(len(word), bool)
-    before[1:] = word[:-1]
-    after = np.zeros(len(word), bool)
-    after[:-1] = word[1:]
+def spans(word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of runs of True within rows, and the first run's number of each row (and their count at the end)."""
+    start, end = word.copy(), word.copy()
+    start[1:] &= ~word[:-1]
+    end[:-1] &= ~word[1:]
     edge = offsets[(offsets > 0) & (offsets < len(word))]
-    before[edge] = False
-    after[edge - 1] = False
-    starts = np.flatnonzero(word & ~before)
-    ends = np.flatnonzero(word & ~after) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    start[edge] = word[edge]
+    end[edge - 1] = word[edge - 1]
+    starts = np.flatnonzero(start)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on (0 beyond its end), and at its end, as numbers."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def front(eight: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first ``left`` (8 at most) bytes at ``starts``."""
+    return eight[starts] & _FRONT[np.minimum(left, 8)]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges; equal ranges have equal hashes wherever they lie."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte ranges; equal ranges have equal hashes wherever they lie.
+
+    Ranges of one length up to 8 bytes never collide; longer ones are mixed eight bytes at a time, and beyond ``LONG`` bytes
+    hashed by BLAKE2.
+    """
+    size = ends - starts
+    eight = eights(data)
+    h = mix(front(eight, starts, size) ^ (size.astype(np.uint64) * _P))
+    k = 8
+    more = np.flatnonzero(size > k)
+    huge = more[size[more] > LONG]
+    more = more[size[more] <= LONG]
+    while len(more):
+        h[more] = mix(h[more] * _P + front(eight, starts[more] + k, size[more] - k))
+        k += 8
+        more = more[size[more] > k]
+    for w in huge.tolist():
+        h[w] = int.from_bytes(hashlib.blake2b(data[starts[w] : ends[w]], digest_size=8).digest(), "little")
+    return h

@@ -35,8 +35,8 @@ TABLE_BITS = 20
 
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of letters, digits and non-ASCII bytes."""
-    data = textvec.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    starts, ends, _ = textvec.spans(data, np.array([0, len(data)]), textvec.ALNUM)
+    data = textvec.lower(np.frombuffer((text or "").encode(), np.uint8))
+    starts, ends, _ = textvec.spans(textvec.alnum(data), np.array([0, len(data)]))
     raw = data.tobytes()
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
@@ -123,8 +123,8 @@ def scan(batches: Iterator[pa.RecordBatch], patterns: list[Patterns]) -> Iterato
     for batch in batches:
         for part in textvec.slices(batch, "text"):
             data, offsets = textvec.buffers(part.column("text"))
-            data = textvec.LOWER[data]
-            starts, ends, first = textvec.spans(data, offsets, textvec.ALNUM)
+            data = textvec.lower(data)
+            starts, ends, first = textvec.spans(textvec.alnum(data), offsets)
             h = textvec.word_hashes(data, starts, ends)
             spans: dict[int, list] = defaultdict(list)
             items: dict[int, set] = defaultdict(set)

@@ -42,15 +42,23 @@ def test_against_all_pairs(spark, hot, pct, monkeypatch):
         docs.append((k, "\n".join(lines)))
     rng.shuffle(docs)
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, line int").repartition(3)
-    table, n = line_dedup.word_counts(df)
-    assert n > 100
-    real = line_dedup.keyed
+    real_posted, real_wide = line_dedup.posted, line_dedup.count_wide
 
-    def keyed(batches, table, lines, pct_):  # runs in the worker, where the constant is set anew
-        line_dedup.HOT = hot
-        yield from real(batches, table, lines, pct_)
+    def small():  # runs in the worker, where the constants are set anew
+        line_dedup.HOT, line_dedup.LONG, line_dedup.HELD = hot, 20, 50
 
-    monkeypatch.setattr(line_dedup, "keyed", keyed)
+    def posted(*args):
+        small()
+        yield from real_posted(*args)
+
+    def count_wide(*args):
+        small()
+        yield from real_wide(*args)
+
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "posted", posted)
+    monkeypatch.setattr(line_dedup, "count_wide", count_wide)
+    monkeypatch.setattr(line_dedup, "BUCKET", 200)
     got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(df, pct).collect()}
     assert got == brute(docs, pct)
 
