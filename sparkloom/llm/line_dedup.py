@@ -238,39 +238,41 @@ def count_wide(batches: Iterator[pa.RecordBatch], counts: np.ndarray, pct: int)
 
 
 #: Columns of packed postings; ``y`` follows for lines of ``WIDE`` words or more, where ``x`` alone tells little.
-COLUMNS = ("key", "doc", "line", "n", "room", "side", "x")
+COLUMNS = ("key", "doc", "line", "n", "place", "side", "x")
 WIDE = 64
 
 
 def packed(cols: dict[str, np.ndarray]) -> bytes:
-    """Columns of postings as bytes: each in the fewest bytes a number that hold its range."""
-    out = [np.array([len(cols["key"])], "<i8").tobytes()]
+    """Columns of postings, sorted by doc, as bytes: numbers (of documents, their differences) in the fewest bytes that hold their range."""
+    out = [np.array([len(cols["key"]), cols["doc"][0]], "<i8").tobytes()]
     for name in COLUMNS:
         x = cols[name]
         if name in ("key", "x"):
             out.append(x.tobytes())
             continue
+        x = np.diff(x, prepend=x[:1]) if name == "doc" else x.astype(np.int64)
         low = int(x.min())
         top = int(x.max()) - low
-        size = next(s for s in (1, 2, 4, 8) if top < 1 << (8 * s))
-        out += [np.array([low, size], "<i8").tobytes(), (x.astype(np.int64) - low).astype(f"<u{size}").tobytes()]
+        size = 0 if not top else next(s for s in (1, 2, 4, 8) if top < 1 << (8 * s))
+        out += [np.array([low, size], "<i8").tobytes(), (x - low).astype(f"<u{size}").tobytes() if size else b""]
     out.append(cols["y"][cols["n"] >= WIDE].tobytes())
     return b"".join(out)
 
 
 def unpacked(raw: bytes) -> dict[str, np.ndarray]:
-    m = int(np.frombuffer(raw, "<i8", 1)[0])
-    at, out = 8, {}
+    m, doc = np.frombuffer(raw, "<i8", 2).tolist()
+    at, out = 16, {}
     for name in COLUMNS:
         kind = {"key": "<u4", "x": "<u8"}.get(name)
-        if kind is None:
-            low, size = np.frombuffer(raw, "<i8", 2, at).tolist()
-            at += 16
-            out[name] = (np.frombuffer(raw, f"<u{size}", m, at).astype(np.int64) + low).astype(np.int64 if name == "doc" else np.int32)
-            at += size * m
-        else:
+        if kind is not None:
             out[name] = np.frombuffer(raw, kind, m, at)
             at += out[name].nbytes
+            continue
+        low, size = np.frombuffer(raw, "<i8", 2, at).tolist()
+        at += 16
+        x = (np.frombuffer(raw, f"<u{size}", m, at).astype(np.int64) if size else np.zeros(m, np.int64)) + low
+        at += size * m
+        out[name] = doc + np.cumsum(x) if name == "doc" else x.astype(np.int32)
     out["y"] = np.zeros(m, np.uint64)
     out["y"][out["n"] >= WIDE] = np.frombuffer(raw, "<u8", -1, at)
     return out
@@ -289,7 +291,7 @@ def posted(batches: Iterator[pa.RecordBatch], counts: np.ndarray, wide: np.ndarr
     def sent() -> pa.RecordBatch:
         all_ = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
         at = all_.pop("bucket")
-        order = np.argsort(at, kind="stable")
+        order = np.lexsort((all_["doc"], at))
         head = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
         rows = [packed({k: v[part] for k, v in all_.items()}) for part in np.split(order, head[1:])]
         return pa.RecordBatch.from_arrays([pa.array(at[order][head], pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "rows"])
@@ -324,7 +326,7 @@ def posted(batches: Iterator[pa.RecordBatch], counts: np.ndarray, wide: np.ndarr
                         "doc": doc[owner],
                         "line": line[owner],
                         "n": p.n[owner],
-                        "room": room.astype(np.int32),
+                        "place": (p.n[owner] - room).astype(np.int32),
                         "side": side,
                         "x": x[owner].view(np.uint64),
                         "y": y[owner].view(np.uint64),
@@ -343,7 +345,8 @@ FOUND = "b_doc long, b_line int, far int, a_doc long, a_line int, more boolean"
 
 def candidates(c: dict[str, np.ndarray], pct: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(earlier, later, differing bits) of postings, sorted by (key, n), that may be of similar lines."""
-    n, doc, line, room, side = (c[k] for k in ("n", "doc", "line", "room", "side"))
+    n, doc, line, side = (c[k] for k in ("n", "doc", "line", "side"))
+    room = n - c["place"]
     i, step = np.arange(len(n)), 0
     while len(i):
         step += 1

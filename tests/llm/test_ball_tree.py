@@ -19,7 +19,7 @@ def brute(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize("shard,block", [(20_000, 20_000), (90, 7)])
+@pytest.mark.parametrize("shard,block", [(None, 20_000), (90, 7)])
 def test_against_brute_force(spark, shard, block, monkeypatch):
     monkeypatch.setattr(ball_tree, "LEAF", 16)
     rng = random.Random(4)
@@ -30,3 +30,13 @@ def test_against_brute_force(spark, shard, block, monkeypatch):
     got = ball_tree.top_k(df, "vec_id", "embedding", 5, 20, shard, block).collect()
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == brute(rows, 5, 20)
     assert ball_tree.top_k(df.limit(0), "vec_id", "embedding").count() == 0
+
+
+def test_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(ball_tree, "BOUNDS", 150)
+    rng = random.Random(9)
+    rows = [(i, [float(rng.gauss(0, 1)) for _ in range(4)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = ball_tree.top_k(df, "vec_id", "embedding", 3, 40, 5)
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == brute(rows, 3, 40)
+    assert len(got._jdf.queryExecution().toString()) < 20_000
