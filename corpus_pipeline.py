@@ -2,7 +2,8 @@
 
 Every stage works on all rows its predecessor kept. All but the last return the columns of ``documents``; the last
 returns the pieces of packed sequences. doc_ids are taken as unique; further columns pass
-through. Null and wordless texts go in the first stage.
+through (not ``_lines`` and ``_removed``, which the second stage refuses). Null and wordless texts go in the first stage; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,15 +16,14 @@ from sparkloom.llm import common, hilbert_packing, language_id, line_dedup, minm
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``gone``, which is broadcast only if it is counted as small."""
-    gone = common.stage(gone.select(F.col("doc_id").cast("long").alias("doc_id")), "gone")
-    return docs.join(common.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    (key,) = common.free_names(docs, "gone")
+    gone = common.stage(gone.select(F.col("doc_id").cast("long").alias(key)), "gone")
+    return docs.join(common.small(gone), F.col("doc_id") == F.col(key), "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected: without letters, or more likely wrong than right."""
-    names = ("_lang_pred", "_score", "_rejected")
-    out = language_id.identify(docs, language_id.fit_on(docs), docs.columns, names=names)
-    return out.filter("not _rejected").select(*docs.columns)
+    return language_id.accepted(docs, language_id.fit_on(docs))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     out = line_dedup.without_repeated_lines(docs).filter("_removed <= 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,7 +152,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
         raise ValueError("length must be a power of two")
     spark = docs.sparkSession
     source = common.texts(docs, F.col("doc_id").cast("long"), "text")
-    staged = common.stage(source.mapInArrow(lambda it: keyed(it, tokenizer, end_id), "doc_id long, key long, ids binary"), "keyed")
+    staged = common.stage(source.mapInArrow(common.tidy(lambda it: keyed(it, tokenizer, end_id)), "doc_id long, key long, ids binary"), "keyed")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     curve = staged.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return curve.select("doc_id", "ids").mapInArrow(lambda it: pack(it, length, with_ids), PIECES + ", ids array<int>" * with_ids)

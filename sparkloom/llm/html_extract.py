@@ -218,7 +218,7 @@ def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def winners(pages: DataFrame) -> DataFrame:
     """(host, path): each host's path with the highest sum of scores; ties go to the smaller path."""
-    found = pages.select("host", "html").mapInArrow(votes, "host string, path string, score double")
+    found = pages.select("host", "html").mapInArrow(common.tidy(votes), "host string, path string, score double")
     total = found.groupBy("host", "path").agg(F.sum("score").alias("score"))
     # sums of doubles depend on their order: rounding keeps a rerun from choosing another path
     return total.groupBy("host").agg(F.min_by("path", F.struct(-F.round("score", 6), "path")).alias("path"))
@@ -257,7 +257,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(common.tidy(run), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op1_consensus_html(spark, sf_dir: str) -> DataFrame:

@@ -190,7 +190,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
     """
     spark = docs.sparkSession
     source = common.texts(docs, F.col("doc_id").cast("long"), "text")
-    staged = common.stage(source.mapInArrow(lambda it: tokenize(it, tokenizer, end_id), "doc_id long, ids binary"), "ids")
+    staged = common.stage(source.mapInArrow(common.tidy(lambda it: tokenize(it, tokenizer, end_id)), "doc_id long, ids binary"), "ids")
     rows = staged.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 << 16, np.int64)
     for r in rows:

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from . import common, textvec
 
-#: Labelled rows of each language that the classifier is fitted on, about; the bound of the sample.
+#: Labelled rows of each language that the classifier is fitted on, about, and characters of each: the bounds of the sample.
 SAMPLE = 1200
+SAMPLE_CHARS = 50_000
 BUCKET_BITS = 16
 DIM = 16
 EPOCHS = 5
@@ -122,23 +123,30 @@ def bags(text: str, rng: np.random.Generator, pieces: int) -> list[tuple[np.ndar
 
 
 def train(rows: list[tuple[str, str]], seed: int = 11) -> Model:
-    """Fit on (text, language) rows; a fifth of them only calibrates."""
+    """Fit on (text, language) rows, the two layers folded into one table."""
+    languages, emb, w, bias, temperature = fit(rows, seed)
+    return Model(languages, (emb @ w.T).astype(np.float32), bias, temperature)
+
+
+def fit(rows: list[tuple[str, str]], seed: int = 11) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, float]:
+    """Languages, embeddings of buckets, weights, bias and temperature; a fifth of the rows only calibrates."""
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
     if not k:
-        return Model([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0)
+        return [], np.zeros((1, DIM), np.float32), np.zeros((0, DIM), np.float32), np.zeros(0), 1.0
+    number = {lang: i for i, lang in enumerate(languages)}
     rng = np.random.default_rng(seed)
-    fit, held = [], []
+    fitted, held = [], []
     for i in rng.permutation(len(rows)):
         text, lang = rows[i]
-        (held if rng.random() < 0.2 and len(rows) > 20 else fit).extend((b, languages.index(lang)) for b in bags(text, rng, 2))
+        (held if rng.random() < 0.2 and len(rows) > 20 else fitted).extend((b, number[lang]) for b in bags(text, rng, 2))
     emb = rng.uniform(-1 / DIM, 1 / DIM, ((1 << BUCKET_BITS) + 1, DIM)).astype(np.float32)
     emb[-1] = 0
     w, bias = np.zeros((k, DIM), np.float32), np.zeros(k, np.float32)
-    steps, done = EPOCHS * len(fit), 0
+    steps, done = EPOCHS * len(fitted), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(fit)):
-            (u, c), y = fit[i]
+        for i in rng.permutation(len(fitted)):
+            (u, c), y = fitted[i]
             rate = 0.5 * (1 - done / steps)
             done += 1
             rows_ = emb[u]
@@ -149,11 +157,11 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model:
             w -= rate * np.outer(d, h)
             bias -= rate * 0.1 * d
     table = emb @ w.T
-    z = np.array([c @ table[u] + bias for (u, c), _ in held or fit])
-    y = np.array([y for _, y in held or fit])
+    z = np.array([c @ table[u] + bias for (u, c), _ in held or fitted])
+    y = np.array([y for _, y in held or fitted])
     grid = np.geomspace(0.05, 20, 60)
     loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
-    return Model(languages, table.astype(np.float32), bias, float(grid[int(np.argmin(loss))]))
+    return languages, emb, w, bias, float(grid[int(np.argmin(loss))])
 
 
 def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -168,7 +176,7 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
             share = share.when(F.col("lang") == r["lang"], sample / r["count"])
     share = share.otherwise(1.0)
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = usable.filter(draw < share).select("text", "lang", draw.alias("u"))
+    drawn = usable.filter(draw < share).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", draw.alias("u"))
     rows = drawn.orderBy("u", "lang", F.xxhash64("text")).limit(2 * sample * len(counts)).collect()
     return train([(r.text, r.lang) for r in rows])
 
@@ -176,25 +184,40 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
 NAMES = ("lang_pred", "score", "rejected")
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], min_confidence: float = MIN_CONFIDENCE, names: tuple[str, str, str] = NAMES) -> DataFrame:
-    """Columns ``keep`` of every row, with lang_pred, score and rejected (or other ``names``, where ``keep`` has these).
+def identify(docs: DataFrame, model: Model, keep: list[str], min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Columns ``keep`` of every row, with lang_pred, score and rejected (which ``keep`` must not hold).
 
     Null texts and texts without letters give ``und``, score 0, rejected. Only the text is an input. Nulls elsewhere, repeated
-    rows and further columns pass through.
+    rows and further columns pass through; an empty table gives an empty one.
     """
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    if set(NAMES) & set(keep):
+        raise ValueError(f"{NAMES} are names of results")
+    return _predicted(docs, model, keep, min_confidence, False)
+
+
+def accepted(docs: DataFrame, model: Model, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, whose language is not rejected."""
+    return _predicted(docs, model, docs.columns, min_confidence, True)
+
+
+def _predicted(docs: DataFrame, model: Model, keep: list[str], min_confidence: float, only: bool) -> DataFrame:
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    at = "text" if "text" in keep else common.free_names(docs, "text")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textvec.slices(batch, "_text", 1 << 20):
-                lang, score = model.predict(part.column("_text").to_pylist())
-                low = [x == "und" or s < min_confidence for x, s in zip(lang, score.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.bool_())],
-                    names=[*keep, *names],
-                )
-
-    return common.texts(docs, *keep, F.col("text").alias("_text")).mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+            for part in textvec.slices(batch, at):
+                lang, score = model.predict(part.column(at).to_pylist())
+                low = np.array([x == "und" for x in lang], bool) | (score < min_confidence)
+                out = pa.RecordBatch.from_arrays([part.column(c) for c in keep], names=keep)
+                if only:
+                    yield out.filter(pa.array(~low))
+                else:
+                    more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(low)]
+                    yield pa.RecordBatch.from_arrays([*out.columns, *more], names=[*keep, *NAMES])
+
+    read = common.texts(docs, *(f"`{c}`" for c in keep), *([] if at == "text" else [F.col("text").alias(at)]))
+    return read.mapInArrow(common.tidy(run), ", ".join(fields if only else [*fields, "lang_pred string", "score double", "rejected boolean"]))
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

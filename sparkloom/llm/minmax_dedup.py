@@ -167,7 +167,7 @@ def near_duplicates(
     bands = bands_for(threshold_pct)
     source = common.texts(docs, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = common.stage(
-        source.mapInArrow(lambda it: sign(it, shingle_words, bands), SIGNED_SQL), "signed"
+        source.mapInArrow(common.tidy(lambda it: sign(it, shingle_words, bands)), SIGNED_SQL), "signed"
     )
     reps = common.stage(signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "reps")
     only = signed.join(common.small(reps.select(F.col("rep").alias("id"))), "id", "left_semi")
@@ -177,7 +177,7 @@ def near_duplicates(
     ids = common.stage(members.select(F.col("rep")).distinct(), "ids")
     sets = common.stage(
         source.join(common.small(ids.select(F.col("rep").alias("id"))), "id", "left_semi").mapInArrow(
-            lambda it: gather(it, shingle_words), "id long, s array<long>"
+            common.tidy(lambda it: gather(it, shingle_words)), "id long, s array<long>"
         ),
         "sets",
     )

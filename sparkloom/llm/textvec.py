@@ -107,6 +107,23 @@ def front(eight: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray
     return eight[starts] & _FRONT[np.minimum(left, 8)]
 
 
+def equal(data: np.ndarray, eight: np.ndarray, at: np.ndarray, data2: np.ndarray, eight2: np.ndarray, at2: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes at ``at`` equal those at ``at2`` of the other data; ``eight`` and ``eight2`` are the ``eights`` of both."""
+    out = front(eight, at, size) == front(eight2, at2, size)
+    k = 8
+    more = np.flatnonzero(out & (size > k))
+    huge = more[size[more] > LONG]
+    more = more[size[more] <= LONG]
+    while len(more):
+        out[more] = front(eight, at[more] + k, size[more] - k) == front(eight2, at2[more] + k, size[more] - k)
+        k += 8
+        more = more[size[more] > k]
+    for w in huge.tolist():
+        a, b, n = at[w], at2[w], size[w]
+        out[w] = np.array_equal(data[a : a + n], data2[b : b + n])
+    return out
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges; equal ranges have equal hashes wherever they lie.
 

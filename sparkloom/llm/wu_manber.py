@@ -191,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     found = None
     for b in range(n_blocks):
         patterns = compile_patterns([(r.item_id, r.text) for r in cut.filter(F.col("b") == b).select("item_id", "text").collect()], window)
-        part = source.mapInArrow(lambda it, p=patterns: scan(it, p), HITS)
+        part = source.mapInArrow(common.tidy(lambda it, p=patterns: scan(it, p)), HITS)
         if n_blocks == 1:
             return part.mapInArrow(report, RESULT)
         part = part.select("*") if b == 0 else part.filter("length(hits) > 0")
