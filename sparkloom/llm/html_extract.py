@@ -36,9 +36,9 @@ ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I
 
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset(
-    "head script style noscript template iframe svg math canvas object audio video nav footer aside form button select textarea menu dialog fieldset".split()
-)
+DROPPED = frozenset("head script style noscript template iframe svg math canvas object audio video nav footer button select textarea menu dialog".split())
+#: Elements that are no article text unless they hold most of the page.
+DOUBTFUL = frozenset("form fieldset aside header".split())
 CONTAINER = frozenset("body div article main section td center blockquote figure".split())
 BLOCK = CONTAINER | frozenset(
     "html address dd details dl dt figcaption footer form h1 h2 h3 h4 h5 h6 header hgroup hr li nav ol p pre summary table tbody tfoot thead th tr ul aside fieldset legend caption option select".split()
@@ -54,19 +54,26 @@ SIBLINGS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Words of a class or id that mark a part as no article text.
+#: Words of a class or id that mark a part as no article text, if all other words of the same name are in ``PLAIN``.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "sidebar aside footer comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices banner popup modal overlay "
     "newsletter subscribe signup login share sharing social related recommended toolbar pagination pager skip masthead topbar widget".split()
 )
+#: Words that say nothing about what a part is.
+PLAIN = frozenset(
+    "area background bar block body bottom box btn button buttons card cards center col column container content element footer form global group header "
+    "holder home icon icons id in inner item items js layer left link links list lists main mobile module outer page panel placement posts post primary "
+    "right root row secondary section side site slot small sticky sub tertiary text thread title top ui unit view widgets wrap wrapper zone desktop "
+    "large google article articles story stories the more us on and for to bootstrap message messages media stack".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 WORD = re.compile(r"[a-z]+")
 
 
 def marked(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element is no article text, and its name in a path."""
-    name, bad = tag, tag in DROPPED or (tag == "header" and not in_article)
+    """Whether an element is likely no article text, and its name in a path."""
+    name, bad = tag, tag in DOUBTFUL and not (tag == "header" and in_article)
     if "=" in attrs:
         for key, value in ATTR.findall(attrs):
             value = value.strip("\"'").lower()
@@ -74,24 +81,33 @@ def marked(tag: str, attrs: str, in_article: bool) -> tuple[bool, str]:
             if key == "role":
                 bad |= value in ROLES and tag not in ("body", "main", "article")
                 continue
-            words = WORD.findall(value)
             if tag not in ("body", "html", "main", "article"):
-                bad |= not MARKS.isdisjoint(words) or ("header" in words and not in_article)
+                for token in value.split():
+                    words = WORD.findall(token)
+                    rest = [w for w in words if w not in MARKS]
+                    bad |= (len(rest) < len(words) or "header" in rest and not in_article) and PLAIN.issuperset(rest)
+            words = WORD.findall(value)
             if words:
                 name += ("." if key == "class" else "#") + ".".join(words[:3])
     return bad, name
 
 
 class Page:
-    """``blocks``: (container number, text, length of link text); ``paths`` and ``parents`` of containers (0 is the page)."""
+    """``blocks``: (container number, text, length of link text); ``paths`` and ``parents`` of containers (0 is the page).
+
+    Marked elements are regions. A region is left out unless it holds the page's text: at least as much text without links as lies outside all
+    regions, and (forms apart) a heading of the first rank or an article; where nothing lies outside, at least half of all text.
+    """
 
     def __init__(self, html: str):
         self.paths, self.parents, self.depths, self.levels = [""], [-1], [0], [0]
         self.blocks: list[tuple[int, str, int]] = []
+        self.outer, self.headed = [-1], [False]
+        self.regions: list[int] = []
         self.text: list[str] = []
         self.links = 0
-        # open elements: tag, dropped, container, within an article
-        stack: list[tuple[str, bool, int, bool]] = []
+        # open elements: tag, dropped, container, within an article, region
+        stack: list[tuple[str, bool, int, bool, int]] = []
         link = 0
         at = 0
         while True:
@@ -140,16 +156,26 @@ class Page:
                         k -= 1
             if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
                 continue
-            drop, container, inside = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (False, 0, False)
+            drop, container, inside, region = stack[-1][1:] if stack else (False, 0, False, 0)
+            drop |= tag in DROPPED
             bad, name = marked(tag, attrs, inside)
-            if tag in CONTAINER and not (drop or bad):
+            if tag in ("h1", "article", "main"):
+                k = region
+                while k > 0 and not self.headed[k]:
+                    self.headed[k] = True
+                    k = self.outer[k]
+            if bad and not drop:
+                self.outer.append(region)
+                self.headed.append(tag == "form")
+                region = len(self.outer) - 1
+            if tag in CONTAINER and not drop:
                 if self.depths[container] < DEPTH:
                     self.paths.append(f"{self.paths[container]}>{name}")
                     self.parents.append(container)
                     self.depths.append(self.depths[container] + 1)
                     self.levels.append(self.levels[container] + (">article" not in self.paths[container]))
                     container = len(self.paths) - 1
-            stack.append((tag, drop or bad, container, inside or tag in ("article", "main")))
+            stack.append((tag, drop, container, inside or tag in ("article", "main"), region))
             link += tag == "a"
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
@@ -158,12 +184,27 @@ class Page:
                 stop = close.start() if close else len(html)
                 at = stop
         self.flush(stack)
+        self.leave_out()
+
+    def leave_out(self) -> None:
+        own = [0] * len(self.outer)
+        for (_, text, links), region in zip(self.blocks, self.regions, strict=True):
+            own[region] += max(0, len(text) - links)
+        kept, total = [True] * len(own), sum(own)
+        for k in range(len(own) - 1, 0, -1):
+            kept[k] = own[k] >= own[0] and self.headed[k] if own[0] else 0 < total <= 2 * own[k]
+            if kept[k] and self.outer[k] > 0:
+                own[self.outer[k]] += own[k]
+        for k in range(1, len(own)):
+            kept[k] &= kept[self.outer[k]]
+        self.blocks = [b for b, region in zip(self.blocks, self.regions, strict=True) if kept[region]]
 
     def flush(self, stack: list) -> None:
         if self.text:
             words = unescape("".join(self.text)).split()
             if words:
                 self.blocks.append((stack[-1][2] if stack else 0, " ".join(words), self.links))
+                self.regions.append(stack[-1][4] if stack else 0)
             self.text, self.links = [], 0
 
     def scores(self) -> dict[str, float]:

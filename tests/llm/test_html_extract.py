@@ -52,3 +52,43 @@ def test_driver_pages(spark):
         parts = re.split(r"</?(?:p|h1)>", inner)
         want = [" ".join(unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", p))).split()) for p in parts]
         assert got[r.page_id] == "\n\n".join(w for w in want if w)
+
+
+def test_a_mark_does_not_drop_an_article():
+    art = "<h1>Title</h1><p>" + "Long words of it. " * 30 + "</p>"
+    want = "Title\n\n" + ("Long words of it. " * 30).strip()
+    side = '<div class="sidebar"><p>Side matter here</p></div>'
+    assert text(f'<div class="wrapper has-sidebar"><div class="post">{art}</div>{side}</div>') == want
+    assert text(f'<form id="aspnetForm" action="x"><input type="hidden"><div class="post">{art}</div>{side}</form>') == want
+    assert text(f'<div id="page" class="header-fixed">{art}</div><div class="foot">tiny</div>').startswith(want)
+    assert text(f'<div class="content no-sidebar">{art}</div><div>tiny</div>').startswith(want)
+    assert text(f'<div class="sidebar"><article>{art}</article></div>') == want
+    got = text(f'<article>{art}<table class="share-prices"><tr><td>One</td><td>2.5</td></tr></table></article>')
+    assert got == want + "\n\nOne\n\n2.5"
+
+
+def test_what_must_go():
+    art = "<h1>Title</h1><p>" + "Long words of it. " * 30 + "</p>"
+    want = "Title\n\n" + ("Long words of it. " * 30).strip()
+    for junk in (
+        '<div class="ad-box"><p>Buy now</p></div>', '<div id="site-footer">c 2020</div>', '<div class="cookie-notice">We use cookies</div>', '<aside>More</aside>',
+        '<ul class="comment-list"><li>Nice one</li></ul>', '<div class="share-buttons"><span>Tell all</span></div>', '<div role="search">Find</div>', "<form><label>Mail</label><input></form>",
+        '<div id="comments"><p>' + "A reader says much. " * 60 + "</p></div>", "<nav>Home</nav>", "<footer>end</footer>", "<header><h1>Site</h1></header>", '<div class="newsletter-signup">Join</div>',
+    ):
+        assert text(f'<div class="post">{art}</div>{junk}') == want, junk
+        assert text(f'{junk}<main><div class="post">{art}</div></main>') == want, junk
+
+
+def test_hosts_with_wrappers(spark):
+    body = "<p>" + "word " * 80 + "</p>"
+    rows = []
+    for host, wrap in (("a.com", '<div class="wrapper has-sidebar">{}</div>'), ("b.com", '<form id="f">{}</form>'), ("c.com", '<div class="no-sidebar">{}</div>')):
+        page = wrap.format(f'<div class="story"><h1>T</h1>{body}</div><div class="sidebar"><p>aside text</p></div>')
+        rows += [(len(rows), f"http://{host}/{k}", page) for k in range(3)]
+    got = {r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"T\n\n" + ("word " * 80).strip()}
+
+
+def test_a_long_page():
+    page = "<article>" + "<p>para &amp; more</p>" * 40_000 + "</article>"
+    assert len(h.article(page, None).split("\n\n")) == 40_000
