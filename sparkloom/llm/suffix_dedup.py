@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textvec
+from .counting import PIECE_BITS, TABLE_BITS
+from .counting import slot as counted
 
 WINDOW, GRAM, BLOCK = 50, 16, 8
 SPAN = WINDOW - GRAM + 1
@@ -38,6 +40,8 @@ RUN = (WINDOW - BLOCK + 1) // BLOCK
 PLACE_BITS = 26
 MAP_BITS = 29
 PIECE_WORDS = 1 << 14
+#: Pieces of an anchor, by hashed counts, beyond which it is dealt over salts.
+HOT = 5000
 #: Symbols of a suffix array, about; keys are never split between arrays.
 SYMBOLS = 200_000
 
@@ -175,11 +179,15 @@ def slot(key: np.ndarray) -> np.ndarray:
 
 
 def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of anchor hashes seen once, and seen twice, in compressed parts."""
+    """Bitmaps of anchor hashes seen once, and seen twice, in compressed parts; parts below 0 are of a table of their hashed counts."""
+    counts = np.zeros(1 << TABLE_BITS, np.int64)
     once, twice = np.zeros(1 << (MAP_BITS - 6), np.uint64), np.zeros(1 << (MAP_BITS - 6), np.uint64)
     for batch in batches:
         for part in textvec.slices(batch, "text"):
-            at, n = np.unique(slot(Anchors(part.column("text")).key), return_counts=True)
+            key = Anchors(part.column("text")).key
+            at, n = np.unique(counted(key), return_counts=True)
+            counts[at] += n
+            at, n = np.unique(slot(key), return_counts=True)
             for some, many in ((at, False), (at[n > 1], True)):
                 if len(some):
                     word = some >> 6
@@ -191,6 +199,9 @@ def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         twice[word[head]] |= once[word[head]] & bits
                         once[word[head]] |= bits
     names = ["part", "once", "twice"]
+    for k in range(0, len(counts), 1 << PIECE_BITS):
+        packed = zlib.compress(counts[k : k + (1 << PIECE_BITS)].tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - (k >> PIECE_BITS)], pa.int32()), pa.array([packed], pa.binary()), pa.array([b""], pa.binary())], names=names)
     for k in range(0, len(once), PIECE_WORDS):
         if once[k : k + PIECE_WORDS].any():
             a, b = (zlib.compress(x[k : k + PIECE_WORDS].tobytes(), 1) for x in (once, twice))
@@ -198,21 +209,31 @@ def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge_marks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once = twice = None
+    once = twice = total = None
     for batch in batches:
+        if key[0].as_py() < 0:
+            for a in batch.column("once"):
+                x = np.frombuffer(zlib.decompress(a.as_py()), np.int64)
+                total = x if total is None else total + x
+            continue
         for a, b in zip(batch.column("once"), batch.column("twice"), strict=True):
             x, y = (np.frombuffer(zlib.decompress(c.as_py()), np.uint64) for c in (a, b))
             twice = y.copy() if twice is None else twice | y | (once & x)
             once = x.copy() if once is None else once | x
+    if total is not None and (total > HOT).any():
+        twice = np.where(total > HOT, total, 0)
     if twice is not None and twice.any():
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["part", "twice"])
 
 
 #: ``at`` holds start, n and lead (both below 64) in one number, which keeps the rows of the large exchange small.
-PIECES = "doc_id long, at long, key long, digest long"
+#: ``deal`` is the key or, of an anchor in ``hot`` places of the table of counts, made of it and a salt; only then ``key`` is not null.
+PIECES = "doc_id long, at long, key long, digest long, deal long"
 
 
-def pieces(batches: Iterator[pa.RecordBatch], twice: np.ndarray) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], twice: np.ndarray, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    many = np.array(sorted(hot), np.int64)
+    salts = np.array([hot[k] // HOT + 1 for k in many.tolist()], np.uint64)
     for batch in batches:
         for part in textvec.slices(batch, "text"):
             a = Anchors(part.column("text"))
@@ -220,8 +241,16 @@ def pieces(batches: Iterator[pa.RecordBatch], twice: np.ndarray) -> Iterator[pa.
             keep = np.flatnonzero(((twice[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
             ids = part.column("doc_id").take(pa.array(a.row[keep]))
             at = (a.start << 12) | (a.count << 6) | a.lead
-            longs = [pa.array(x[keep].view(np.int64)) for x in (at, a.key, a.digest)]
-            yield pa.RecordBatch.from_arrays([ids, *longs], names=["doc_id", "at", "key", "digest"])
+            deal, cold = a.key[keep].copy(), np.ones(len(keep), bool)
+            if len(many):
+                place = np.searchsorted(many, counted(deal))
+                some = np.flatnonzero(many[np.minimum(place, len(many) - 1)] == counted(deal))
+                doc = textvec.mix(ids.to_numpy().view(np.uint64)[some])
+                deal[some] = textvec.mix(deal[some] + doc % salts[place[some]] + np.uint64(1))
+                cold[some] = False
+            key = pa.array(a.key[keep].view(np.int64), mask=cold)
+            at, digest, deal = (pa.array(x.view(np.int64)) for x in (at[keep], a.digest[keep], deal))
+            yield pa.RecordBatch.from_arrays([ids, at, key, digest, deal], names=["doc_id", "at", "key", "digest", "deal"])
 
 
 CONTENT = "key long, digest long, lo long, lead int, bytes binary"
@@ -382,36 +411,59 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"sparkloom_{uuid.uuid4().hex}"
     spread = source if source.rdd.getNumPartitions() * n <= 20_000 else source.repartition(n, "doc_id")
-    spread.write.option("compression", "zstd").bucketBy(n, "doc_id").saveAsTable(name)
-    table = spark.table(name)
-    marks = source.select("text").mapInArrow(mark, "part int, once binary, twice binary").groupBy("part").applyInArrow(merge_marks, "part int, twice binary")
-    twice = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    try:
+        spread.write.option("compression", "zstd").bucketBy(n, "doc_id").saveAsTable(name)
+        with common.Stages() as done:
+            hits = repeated_strings(source, spark.table(name), n, done)
+            out = spark.table(name).join(hits, "doc_id", "left").select("doc_id", "text", "hits")
+            return common.stage(out.mapInArrow(common.tidy(lambda it: cut(it, with_text)), RESULT + ", kept binary" * with_text), "cut")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def repeated_strings(source: DataFrame, table: DataFrame, n: int, done: common.Stages) -> DataFrame:
+    """(doc_id, hits): starts and numbers of the strings that an earlier document has; staged in ``done``."""
+    spark = source.sparkSession
+    marks = source.select("text").mapInArrow(common.tidy(mark), "part int, once binary, twice binary").groupBy("part").applyInArrow(merge_marks, "part int, twice binary")
+    twice, hot = np.zeros(1 << (MAP_BITS - 6), np.uint64), {}
     for r in marks.collect():
-        twice[r.part * PIECE_WORDS : (r.part + 1) * PIECE_WORDS] = np.frombuffer(zlib.decompress(bytes(r.twice)), np.uint64)
-    shared = spark.sparkContext.broadcast(twice)
-    found = source.mapInArrow(lambda it: pieces(it, shared.value), PIECES)
-    # one exchange by key serves all of these: what a key's documents, its classes and each class's documents are
-    by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "digest")
-    found = found.select("*", F.min("doc_id").over(by_key).alias("a"), F.max("doc_id").over(by_key).alias("b"), (F.min("digest").over(by_key) < F.max("digest").over(by_key)).alias("mixed")).filter("a < b")
-    # only mixed keys are looked at again: elsewhere the two hashes would be stored for nothing
-    wanted_only = (F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("key", "digest"))
-    found = found.select("doc_id", "at", *wanted_only, "mixed", F.min("doc_id").over(by_class).alias("lo"), F.row_number().over(by_class.orderBy("doc_id", "at")).alias("k"))
+        x = np.frombuffer(zlib.decompress(bytes(r.twice)), np.uint64)
+        if r.part < 0:
+            hot |= {((-1 - r.part) << PIECE_BITS) + int(k): int(x[k]) for k in np.flatnonzero(x)}
+        else:
+            twice[r.part * PIECE_WORDS : (r.part + 1) * PIECE_WORDS] = x
+    shared = spark.sparkContext.broadcast((twice, hot))
+    found = source.mapInArrow(common.tidy(lambda it: pieces(it, *shared.value)), PIECES)
+    # one exchange serves all of these: what a key's documents, its classes and each class's documents are. Of a hot key these are facts of a salt only
+    by_key, by_class = Window.partitionBy("deal"), Window.partitionBy("deal", "key", "digest")
+    facts = [F.min("doc_id").over(by_key).alias("a"), F.max("doc_id").over(by_key).alias("b"), (F.min("digest").over(by_key) < F.max("digest").over(by_key)).alias("mixed")]
+    found = found.select("*", F.col("key").isNotNull().alias("hot"), *facts).filter("hot or a < b")
+    # only mixed and hot keys are looked at again: elsewhere the two hashes would be stored for nothing
+    again = F.col("mixed") | F.col("hot")
+    wanted_only = (F.coalesce("key", F.when(again, F.col("deal"))).alias("key"), F.when(again, F.col("digest")).alias("digest"))
+    first = (F.row_number().over(by_class.orderBy("doc_id", "at")) == 1).alias("first")
+    found = found.select("doc_id", "at", *wanted_only, "mixed", F.min("doc_id").over(by_class).alias("lo"), first, "hot", F.max("doc_id").over(by_class).alias("hi"))
+    found = found.withColumn("hi", F.when(F.col("hot"), F.col("hi")))
+    found = done.stage(found, "pieces")
+    if hot:
+        # the salts' facts are few rows a key and class; those of all salts decide
+        heads = found.filter("hot and first").groupBy("key", "digest").agg(F.min(F.struct("doc_id", "at")).alias("head"), F.max("hi").alias("hi"))
+        heads = done.stage(heads, "heads")
+        keys = heads.groupBy("key").agg(F.min("head.doc_id").alias("a"), F.max("hi").alias("b"), (F.min("digest") < F.max("digest")).alias("mixed")).filter("a < b")
+        keys = done.stage(keys.select("key", "mixed"), "keys")
+        rows = found.filter("hot").select("doc_id", "at", "key", "digest").join(common.small(heads.drop("hi")), ["key", "digest"]).join(common.small(keys), "key")
+        rows = rows.select("doc_id", "at", "key", "digest", "mixed", F.col("head.doc_id").alias("lo"), (F.struct("doc_id", "at") == F.col("head")).alias("first"))
+        found = found.filter("not hot").select(*rows.columns).unionByName(done.stage(rows, "rows"))
     start, count = F.shiftright("at", 12).cast("int").alias("start"), F.shiftright("at", 6).bitwiseAND(63).cast("int").alias("n")
-    found = common.stage(found, "pieces")
-    places = found.filter("mixed and k = 1").groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "at")).alias("wanted"))
-    raw = table.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(contents, CONTENT)
-    solved = common.stage(
-        raw.repartition(n, "key").sortWithinPartitions("key").mapInArrow(resolve, "key long, digest long, flags binary"), "solved"
-    )
+    places = found.filter("mixed and first").groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "at")).alias("wanted"))
+    raw = table.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(common.tidy(contents), CONTENT)
+    solved = raw.repartition(n, "key").sortWithinPartitions("key").mapInArrow(common.tidy(resolve), "key long, digest long, flags binary")
+    solved = done.stage(solved, "solved")
     later = found.filter("doc_id > lo").select("doc_id", start, count)
     own = found.filter("mixed and doc_id = lo").join(solved, ["key", "digest"])
     one = own.select("doc_id", start, F.posexplode(F.split(F.hex("flags"), "(?<=\\G..)")).alias("j", "f")).filter("f = '01'")
     hits = later.unionByName(one.select("doc_id", (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("n")))
-    per_doc = common.stage(hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("hits")), "hits")
-    out = table.join(per_doc, "doc_id", "left").select("doc_id", "text", "hits")
-    done = common.stage(out.mapInArrow(lambda it: cut(it, with_text), RESULT + ", kept binary" * with_text), "cut")
-    spark.sql(f"DROP TABLE {name}")
-    return done
+    return done.stage(hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("hits")), "hits")
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

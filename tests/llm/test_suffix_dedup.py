@@ -1,5 +1,9 @@
 import hashlib
 import random
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pytest
 
 from sparkloom.llm import suffix_dedup
 
@@ -32,8 +36,21 @@ def brute(docs):
     return out
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [5000, 6])
+def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "SYMBOLS", 500)
+    merge, real = suffix_dedup.merge_marks, suffix_dedup.pieces
+
+    def merge_marks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suffix_dedup.HOT = hot  # runs in the worker
+        yield from merge(key, batches)
+
+    def pieces(*args):
+        suffix_dedup.HOT = hot
+        yield from real(*args)
+
+    monkeypatch.setattr(suffix_dedup, "merge_marks", merge_marks)
+    monkeypatch.setattr(suffix_dedup, "pieces", pieces)
     rng = random.Random(6)
     make = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
     lines = [make(n) for n in (30, 48, 49, 50, 51, 60, 75, 100, 140, 300)]
