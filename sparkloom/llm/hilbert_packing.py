@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common, textvec, tokens
 
 LENGTH = 2048
+#: Bytes of 16-bit ids of a range, about, unless the session's number of shuffle partitions asks for smaller ones.
+RANGE = 32 << 20
 DIMS = 4
 BITS = 12
 BUCKETS = 1 << 16
@@ -78,7 +80,8 @@ def keyed(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator
         for part in textvec.slices(batch, "text"):
             ids, sizes = enc.encode(part.column("text"), end_id)
             key = place(ids, sizes, proj)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(key), tokens.binary(ids, sizes)], names=["doc_id", "key", "ids"])
+            columns = [part.column("doc_id"), pa.array(key), pa.array(sizes, pa.int64()), tokens.binary(ids, sizes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "ids"])
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -146,14 +149,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     """Pieces of all (doc_id, text) in sequences of at most ``length`` ids; ``with_ids`` adds the ids themselves.
 
     A null or empty text is its end id alone. A document longer than a sequence goes on in the next ones. Repeated rows are packed
-    each for itself. ``length`` must be a power of two. An empty table gives no piece.
+    each for itself. ``length`` must be a power of two. An empty table gives no piece; further columns are ignored.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     spark = docs.sparkSession
     source = common.texts(docs, F.col("doc_id").cast("long"), "text")
-    staged = common.stage(source.mapInArrow(common.tidy(lambda it: keyed(it, tokenizer, end_id)), "doc_id long, key long, ids binary"), "keyed")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    staged = common.stage(source.mapInArrow(common.tidy(lambda it: keyed(it, tokenizer, end_id)), "doc_id long, key long, n long, ids binary"), "keyed")
+    size = staged.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * size // RANGE))
     curve = staged.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return curve.select("doc_id", "ids").mapInArrow(lambda it: pack(it, length, with_ids), PIECES + ", ids array<int>" * with_ids)
 

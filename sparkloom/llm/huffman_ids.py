@@ -136,6 +136,10 @@ def unpack(block: bytes, decode: np.ndarray, top: int) -> tuple[np.ndarray, np.n
     return doc_ids, sizes, out.T.reshape(-1)[:n_ids]
 
 
+#: Bytes of 16-bit ids of a range, about, unless the session's number of shuffle partitions asks for smaller ones.
+RANGE = 32 << 20
+
+
 def tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = tokens.encoder(path, "word")
     for batch in batches:
@@ -197,7 +201,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
         counts[r.id] = r.n
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()), LIMIT)], "lengths binary, code_limit int").coalesce(1).write.parquet(f"{path}/codebook")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * int(counts.sum()) // RANGE))
     ordered = staged.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(lambda it: blocks(it, lengths), "part int, seq int, n_ids long, block binary").write.option(
         "compression", "uncompressed"

@@ -88,6 +88,18 @@ def parity(s: np.ndarray) -> np.ndarray | None:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+#: Parity words (of 64 bits) that stand beside each row of a bucket; longer ones are folded.
+SHORT = 8
+
+
+def folded(bits: str) -> F.Column:
+    """Parity bits of larger sets folded to ``SHORT`` words: their words at equal places modulo that, added."""
+    size = F.size(bits)
+    place = F.sequence(F.lit(1), F.lit(SHORT))
+    one = F.transform(place, lambda k: F.aggregate(F.sequence(F.lit(0), F.floor((size - k) / SHORT).cast("int")), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.element_at(bits, (k + j * SHORT).cast("int")))))
+    return F.when(size <= SHORT, F.col(bits)).otherwise(one)
+
+
 def differing(p: str, q: str):
     """Places in which the parity bits of two sets differ: so many shingles at least are in one of the sets alone.
 
@@ -95,11 +107,11 @@ def differing(p: str, q: str):
     """
     k = F.least(F.size(p), F.size(q))
 
-    def folded(c: str):
+    def half(c: str):
         halves = F.zip_with(F.slice(c, F.lit(1), k), F.slice(c, k + 1, k), lambda x, y: x.bitwiseXOR(y))
         return F.when(F.size(c) == 2 * k, halves).otherwise(F.col(c))
 
-    return F.aggregate(F.zip_with(folded(p), folded(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    return F.aggregate(F.zip_with(half(p), half(q), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
 
 
 def sign(batches: Iterator[pa.RecordBatch], width: int, bands: int) -> Iterator[pa.RecordBatch]:
@@ -206,12 +218,17 @@ def near_duplicates(
     mixed = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("most"), F.count("*").alias("k")).filter("k > 1")
     facts = signed.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n"), "bits")
     open_ = common.stage(tagged.join(mixed.select("key", "most"), "key"), "open")
-    open_ = open_.join(common.stage(facts.join(common.small(open_.select("rep").distinct()), "rep", "left_semi"), "facts"), "rep")
+    facts = common.stage(facts.join(common.small(common.stage(open_.select("rep").distinct(), "ids")), "rep", "left_semi"), "facts")
+    open_ = open_.join(facts.select("rep", "n", folded("bits").alias("bits")), "rep")
     left = open_.filter("comp <> most").select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), "most", F.col("n").alias("na"), F.col("bits").alias("p"))
     right = open_.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("q"))
     sizes = (100 * F.col("na") >= threshold_pct * F.col("nb")) & (100 * F.col("nb") >= threshold_pct * F.col("na"))
     near = differing("p", "q") * (100 + threshold_pct) <= (100 - threshold_pct) * (F.col("na") + F.col("nb"))
-    pairs = left.join(right, "key").filter("ca <> cb and (cb = most or a > b)").filter(sizes).filter(near).select("a", "b").distinct()
+    pairs = left.join(right, "key").filter("ca <> cb and (cb = most or a > b)").filter(sizes).filter(near).select("a", "b", "na", "nb").distinct()
+    # of large sets the folded bits tell little: all bits, once a pair
+    bits = common.small(facts.select("rep", "bits"), common.BROADCAST_ROWS // 100)
+    pairs = common.stage(pairs, "pairs").join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("p")), "a").join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("q")), "b")
+    pairs = pairs.filter(near).select("a", "b")
     last = common.stage(confirmed(common.stage(pairs, "pairs"), sets, threshold_pct), "links")
     labels = relabel(labels, edges.union(last), ids)
     named = reps.join(labels, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))

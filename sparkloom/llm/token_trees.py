@@ -1,9 +1,10 @@
 """Token counts that follow edits.
 
 Each document keeps a segment tree. Leaves are stretches of pre-tokens, cut only before a single space between two
-characters that are no white space, where no token of the vocabulary crosses; inner nodes hold the sums of characters
-and ids below them. An edit finds its leaves by character sums, re-encodes only these, plus neighbours
-where the edit made a cut unsafe (the boundary context), and updates the sums on their paths to the root.
+characters that are no white space, or between a letter or digit and a sign, where no token of the vocabulary crosses; inner
+nodes hold the sums of characters and ids below them. An edit finds its leaves by character sums, re-encodes only these, plus neighbours
+where the edit made a cut unsafe (the boundary context), and updates the sums on their paths to the root. A large insertion becomes leaves of its own; only sums
+are then added up anew. A stretch without any cut is one leaf, however long.
 
 Scale: building is one pass over the texts. Trees are a table keyed by doc_id; a batch of edits joins them by
 doc_id, and untouched documents are not read again unless asked for.
@@ -11,19 +12,36 @@ doc_id, and untouched documents are not read again unless asked for.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, textvec, tokens
 
-#: Bytes of a leaf, about; a leaf that edits grow beyond 8 times that makes its document's tree be built anew.
+#: Bytes of a leaf, about; a leaf of more than 8 times that is cut again.
 LEAF = 128
-CUT = re.compile(r"(?<=\S) (?=\S)")
+#: No cut before a bar, which is in the vocabulary's marker for the end of a text.
+CUT = regex.compile(r"(?<=\S)(?= \S)|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}|])")
+
+
+def safe(left: str, right: str) -> bool:
+    """Whether the ids of ``left + right`` are those of both in turn, as far as their ends tell (false where unsure)."""
+    near = left[-1:] + right[:2]
+    return len(near) > 1 and any(m.start() == 1 for m in CUT.finditer(near))
+
+
+def stretches(text: str) -> list[str]:
+    """``text`` in leaves of about ``LEAF`` characters, as far as cuts allow."""
+    out, at = [], 0
+    for m in CUT.finditer(text):
+        if m.start() - at >= LEAF:
+            out.append(text[at : m.start()])
+            at = m.start()
+    return [*out, text[at:]]
 
 
 class TokenTree:
@@ -44,12 +62,7 @@ class TokenTree:
     @classmethod
     def build(cls, text: str, count) -> TokenTree:
         """``count`` gives the number of ids of a string."""
-        texts, at = [], 0
-        for m in CUT.finditer(text):
-            if m.start() - at >= LEAF:
-                texts.append(text[at : m.start()])
-                at = m.start()
-        texts.append(text[at:])
+        texts = stretches(text)
         return cls(texts, [count(t) for t in texts])
 
     @property
@@ -103,17 +116,19 @@ class TokenTree:
             right = b + 1
             while right < len(self.texts) and not self.texts[right]:
                 right += 1
-            if left >= 0 and not (len(region) > 1 and region[0] == " " and not region[1].isspace() and not self.texts[left][-1].isspace()):
+            if left >= 0 and not safe(self.texts[left], region):
                 region, a = self.texts[left] + region, left
-            elif right < len(self.texts) and not (region and not region[-1].isspace() and CUT.match("x" + self.texts[right][:2], 1)):
+            elif right < len(self.texts) and not safe(region, self.texts[right]):
                 region, b = region + self.texts[right], right
             else:
                 break
         self.encoded += len(region)
         if len(region) > 8 * LEAF:
-            fresh = TokenTree.build("".join(self.texts[:a]) + region + "".join(self.texts[b + 1 :]), count)
-            self.encoded += fresh.chars[1] - len(region)
-            self.texts, self.width, self.chars, self.ids = fresh.texts, fresh.width, fresh.chars, fresh.ids
+            parts = stretches(region)
+            counts = self.ids[self.width : self.width + len(self.texts)]
+            done = self.encoded
+            self.__init__([*self.texts[:a], *parts, *self.texts[b + 1 :]], [*counts[:a], *(count(t) for t in parts), *counts[b + 1 :]])
+            self.encoded = done
             return
         self.put(a, region, count(region))
         for k in range(a + 1, b + 1):
@@ -140,14 +155,22 @@ def leaves(enc: tokens.Encoder, column: pa.Array) -> Iterator[tuple[list[str], l
         else:
             a, b = of_row[k], of_row[k + 1]
             ends = (begin[a + 1 : b] + [int(offsets[k + 1])])[: b - a]
-            yield [raw[x:y].decode() for x, y in zip(begin[a:b], ends, strict=True)], total[a:b]
+            texts, counts = [raw[x:y].decode() for x, y in zip(begin[a:b], ends, strict=True)], total[a:b]
+            if any(len(t) > 8 * LEAF for t in texts):
+                cut = [(t, n) if len(t) <= 8 * LEAF else None for t, n in zip(texts, counts, strict=True)]
+                pairs = [[c] if c else [(x, len(enc.whole(x))) for x in stretches(t)] for c, t in zip(cut, texts, strict=True)]
+                texts, counts = map(list, zip(*(x for p in pairs for x in p), strict=True))
+            yield texts, counts
 
 
 TREES = "doc_id long, n_tokens long, leaves array<string>, counts array<int>"
 
 
 def build_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, n_tokens, leaves, counts) of every (doc_id, text): what a tree is made of. A null text has no leaf and no token."""
+    """(doc_id, n_tokens, leaves, counts) of every (doc_id, text): what a tree is made of. A null text has no leaf and no token.
+
+    Repeated rows each give a tree (and ``apply_edits`` edits each); an empty table gives none; further columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer, "byte")

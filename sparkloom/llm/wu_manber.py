@@ -115,7 +115,7 @@ def compile_patterns(items: list[tuple[str | None, str | None]], window: int) ->
     return [Patterns(m, p) for m, p in sorted(by_length.items())]
 
 
-HITS = "doc_id long, n_words long, hits binary, items array<string>"
+HITS = "row long, doc_id long, n_words long, hits binary, items array<string>"
 
 
 def scan(batches: Iterator[pa.RecordBatch], patterns: list[Patterns]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +145,13 @@ def scan(batches: Iterator[pa.RecordBatch], patterns: list[Patterns]) -> Iterato
             rows = range(part.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [
+                    part.column("row"),
                     part.column("doc_id"),
                     pa.array(np.diff(first).astype(np.int64)),
                     pa.array([np.array(sorted(spans[r]), "<i8").tobytes() if r in spans else b"" for r in rows], pa.binary()),
                     pa.array([sorted(items[r]) if r in items else [] for r in rows], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "n_words", "hits", "items"],
+                names=["row", "doc_id", "n_words", "hits", "items"],
             )
 
 
@@ -180,27 +181,59 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
     Null and wordless texts have no words and are clean; items with a null or wordless text give no window. Items with a null item_id
     count in n_hit and contaminated, but not in n_items and items_sha256. Repeated item_ids count once, windows
-    that several items share count for each. An empty benchmark leaves all documents clean. With several blocks
-    of patterns doc_ids must be unique.
+    that several items share count for each. An empty benchmark leaves all documents clean, an empty table gives no row. Repeated rows of documents each
+    give a row, however many blocks of patterns there are; texts of any length are searched whole; further columns are ignored.
     """
-    source = common.texts(docs, F.col("doc_id").cast("long"), "text")
+    spark = docs.sparkSession
+    source = common.texts(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n"), F.count("*").alias("k")).first()
-    n_blocks = max(1, -(-int(size.n) // (2 * pattern_words)))
-    cut = bench.withColumn("b", F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(n_blocks)))
-    found = None
-    for b in range(n_blocks):
-        patterns = compile_patterns([(r.item_id, r.text) for r in cut.filter(F.col("b") == b).select("item_id", "text").collect()], window)
-        part = source.mapInArrow(common.tidy(lambda it, p=patterns: scan(it, p)), HITS)
-        if n_blocks == 1:
-            return part.mapInArrow(report, RESULT)
-        part = part.select("*") if b == 0 else part.filter("length(hits) > 0")
-        part = common.stage(part, "hits")
-        found = part if found is None else found.unionByName(part)
-    spans = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.collect_list("hits").alias("h"), F.flatten(F.collect_list("items")).alias("items")
-    )
-    return spans.mapInArrow(join_hits, HITS).mapInArrow(report, RESULT)
+    size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()
+    few = max(1, -(-int(size.n) // (2 * pattern_words)))
+    with common.Stages() as done:
+        packed = bench.coalesce(few).mapInArrow(common.tidy(lambda it: pattern_blocks(it, window, pattern_words)), "items array<struct<item:string,text:string>>")
+        blocks = done.stage(packed.withColumn("block", F.monotonically_increasing_id()), "patterns")
+        names = sorted(r.block for r in blocks.select("block").collect())
+        if len(names) > 1:
+            # several blocks' hits of a row are put together by its number, which must be the same each time
+            source = done.stage(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+        else:
+            source = source.withColumn("row", F.lit(0).cast("long"))
+        found = None
+        for b in names or [None]:
+            block = blocks.filter(F.col("block") == b).first() if names else None
+            patterns = compile_patterns([(r.item, r.text) for r in block["items"]] if block else [], window)
+            part = source.mapInArrow(common.tidy(lambda it, p=patterns: scan(it, p)), HITS)
+            if len(names) < 2:
+                return part.mapInArrow(report, RESULT)
+            part = done.stage(part if found is None else part.filter("length(hits) > 0"), "hits")
+            found = part if found is None else found.unionByName(part)
+        spans = found.groupBy("row").agg(
+            F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("h"), F.flatten(F.collect_list("items")).alias("items")
+        )
+        return common.stage(spans.mapInArrow(join_hits, HITS).mapInArrow(report, RESULT), "contamination")
+
+
+def pattern_blocks(batches: Iterator[pa.RecordBatch], window: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Items in blocks of about ``limit`` words, twice that at most; longer items go in parts that overlap by all but one word of a window."""
+    held: list[dict] = []
+    n = 0
+
+    def block() -> pa.RecordBatch:
+        kind = pa.list_(pa.struct([("item", pa.string()), ("text", pa.string())]))
+        return pa.RecordBatch.from_arrays([pa.array([held], kind)], names=["items"])
+
+    for batch in batches:
+        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
+            words = words_of(text.as_py())
+            for k in range(0, max(1, len(words) - window + 1), limit) if words else []:
+                part = words[k : k + limit + window - 1]
+                held.append({"item": item, "text": b" ".join(part).decode()})
+                n += len(part)
+                if n >= limit:
+                    yield block()
+                    held, n = [], 0
+    if held:
+        yield block()
 
 
 def join_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +244,8 @@ def join_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = np.frombuffer(b"".join(r["h"]), "<i8").reshape(-1, 2)
             raw.append(pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_words"), pa.array(raw, pa.binary()), batch.column("items")],
-            names=["doc_id", "n_words", "hits", "items"],
+            [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(raw, pa.binary()), batch.column("items")],
+            names=["row", "doc_id", "n_words", "hits", "items"],
         )
 
 

@@ -7,7 +7,7 @@ from sparkloom.llm import token_trees, tokens
 from .test_tokens import ODD
 
 PATH = tokens.public("byte_bpe_50k.json")
-BITS = ["a", "Bcd", " ", " ", " ", "\n", "  ", "é", "don't", ".", "12", "日", "\t"]
+BITS = ["a", "Bcd", " ", " ", " ", "\n", "  ", "é", "don't", ".", "12", "日", "\t", "。", "'", "<|endoftext|>", "|", "\x1f", "ê", "\u0301"]
 
 
 def some_text(rng, n):
@@ -39,6 +39,24 @@ def test_edits_are_local():
     assert tree.encoded < 1000
 
 
+def test_large_edits_are_local():
+    enc = tokens.Encoder(PATH, "byte")
+    count = lambda t: len(enc.whole(t))
+    chinese = "".join(chr(0x4E00 + (k * 7919) % 5000) + ("，" if k % 17 == 0 else "") for k in range(60_000))
+    for text in ("some words " * 20000 + "end", chinese):
+        ((texts, counts),) = token_trees.leaves(enc, pa.array([text]))
+        tree = token_trees.TokenTree(texts, counts)
+        new = "a new sentence, " * 80
+        for start in (30_000, 10, 50_000):
+            tree.edit(start, 5, new, count)
+            text = text[:start] + new + text[start + 5 :]
+        assert tree.text == text and tree.total == count(text)
+        assert tree.encoded < 3 * (len(new) + 2000)
+    tree = token_trees.TokenTree(*(next(token_trees.leaves(enc, pa.array([""])))))
+    tree.edit(0, 0, "x y " * 3000, count)
+    assert tree.total == count("x y " * 3000)
+
+
 def test_tables(spark):
     rng = random.Random(1)
     docs = [(k, t) for k, t in enumerate([*ODD, *(some_text(rng, rng.randint(0, 900)) for _ in range(40))])]

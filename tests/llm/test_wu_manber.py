@@ -44,6 +44,7 @@ def test_against_brute_force(spark, pattern_words):
     d = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, items string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
     rows = contamination(d, b, pattern_words=pattern_words).collect()
+    assert len(rows) == len(docs)
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows} == brute(docs, items)
 
 
@@ -52,3 +53,12 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit, r.contaminated) for r in contamination(d, b).collect()] == [(2, 0, False)]
     assert contamination(d.limit(0), b).count() == 0
+
+
+@pytest.mark.parametrize("pattern_words", [200_000, 40])
+def test_repeated_rows_and_long_items(spark, pattern_words):
+    text = " ".join(f"w{k}" for k in range(400))
+    d = spark.createDataFrame([(7, text), (7, text), (7, "other words"), (None, text), (8, None)], "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame([("a", text), ("b", "lone " * 14)], "item_id string, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in contamination(d, b, pattern_words=pattern_words).collect())
+    assert got == [(0, 400, 400, 1), (7, 2, 0, 0), (7, 400, 400, 1), (7, 400, 400, 1), (8, 0, 0, 0)]
