@@ -18,7 +18,8 @@ import pyarrow as pa
 
 from . import textvec
 
-CHUNKS = 1_500_000
+#: Chunks that a worker remembers; beyond it those met in one slice only are forgotten, or all if the others are over half of these.
+CHUNKS = 400_000
 _FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -59,7 +60,26 @@ class Encoder:
         self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.pool, self.bytes = Column(np.uint16), Column(np.uint8)
         self.at, self.size, self.bad = Column(np.int64), Column(np.int32), Column(bool)
-        self.begin, self.span, self.opened = Column(np.int64), Column(np.int64), Column(bool)
+        self.begin, self.span, self.opened, self.met = Column(np.int64), Column(np.int64), Column(bool), Column(np.int32)
+
+    def shrink(self) -> None:
+        """Forget chunks that were met in one slice only."""
+        old, kept = self.__dict__.copy(), np.flatnonzero(self.met.x[: self.met.n] > 1)
+        self.forget()
+        if len(kept) > CHUNKS // 2:
+            return
+        renamed = np.full(old["met"].n, -1, np.int32)
+        renamed[kept] = np.arange(len(kept), dtype=np.int32)
+        stay = renamed[old["number"]] >= 0
+        self.keys, self.number = old["keys"][stay], renamed[old["number"][stay]]
+        for at, counts, values in (("at", "size", "pool"), ("begin", "span", "bytes")):
+            first, n = old[at].x[kept], old[counts].x[kept].astype(np.int64)
+            upto = np.cumsum(n) - n
+            getattr(self, at).add(upto)
+            getattr(self, counts).add(n)
+            getattr(self, values).add(old[values].x[np.repeat(first - upto, n) + np.arange(n.sum())])
+        for name in ("bad", "opened", "met"):
+            getattr(self, name).add(old[name].x[kept])
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint16)
@@ -117,6 +137,7 @@ class Encoder:
             values.add(more)
         self.bad.add(np.arange(len(order)) >= len(order) - len(bad))
         self.opened.add(opening[order])
+        self.met.add(np.zeros(len(order), np.int32))
 
     def look_up(self, column: pa.Array):
         """Chunks of a text column: bytes, starts, each row's first chunk, each chunk's place in the pool and number of ids, and
@@ -136,7 +157,7 @@ class Encoder:
             h[opening] = textvec.mix(h[opening] ^ _FIRST)
         unique, index, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > CHUNKS:
-            self.forget()
+            self.shrink()
         where = np.searchsorted(self.keys, unique)
         new = np.ones(len(unique), bool)
         if len(self.keys):
@@ -147,6 +168,7 @@ class Encoder:
             self.learn(unique[new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], opens[at])
             where = np.searchsorted(self.keys, unique)
         chunk = self.number[where]
+        self.met.x[chunk] += 1
         # equal hashes are not enough: chunks of a hash are compared with the first of them here, and that with the known chunk
         eight = textvec.eights(data)
         known = np.ndarray(len(self.bytes.x) - 7, "<u8", self.bytes.x, strides=(1,))
