@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bm25, ranking, tfidf
+from ..functions import text as T
+from . import bm25, ranking, staging, tfidf
 
 K = 60
 
@@ -30,32 +31,34 @@ def hybrid(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
 
     Scores are rounded to ``digits`` before ranking, so that ties are the same on every engine; ties keep id order.
     """
+    index = staging.stage(bm25.index(docs, id_col, text_col))
     score = F.round("score", digits).alias("score")
-    lexical = ranking.rank_all(bm25.scores(docs, query, id_col, text_col).select(id_col, score), "score", id_col)
-    vector = ranking.rank_all(tfidf.similarities(docs, query, id_col, text_col).select(id_col, score), "score", id_col)
-    fused = fuse(docs, lexical, vector, id_col, k)
-    out = fused.join(lexical.select(id_col, F.col("score").alias("bm25_score")), id_col, "left").join(
-        vector.select(id_col, F.col("score").alias("vector_score")), id_col, "left"
-    )
-    return out.select(
-        id_col,
-        F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"),
-        F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"),
-        F.col("first_rank").alias("bm25_rank"),
-        F.col("second_rank").alias("vector_rank"),
-        F.round("rrf", 9).alias("rrf_score"),
-    )
+    lexical = bm25.scores_from(index, [query]).select("id", F.get("scores", 0).alias("score"))
+    lists = [ranking.rank_all(x.select("id", score), "score", "id") for x in (lexical, tfidf.similarities_from(index, query))]
+    one, two = (x.select("id", F.col("score").alias(f"{name}_score"), F.col("rank").alias(f"{name}_rank")) for name, x in zip(("bm25", "vector"), lists, strict=True))
+    r1, r2 = F.col("bm25_rank"), F.col("vector_rank")
+    # both lists have every document, so no rank is missing
+    rrf = F.round(1 / (F.lit(k) + r1) + 1 / (F.lit(k) + r2), 9)
+    return one.join(two, "id").select(F.col("id").alias(id_col), "bm25_score", "vector_score", r1, r2, rrf.alias("rrf_score"))
 
 
 def multi_query(docs: DataFrame, queries: list[str], original: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): sum over queries of 1 / (60 + rank); without a query that is not blank, the BM25 scores of ``original``."""
+    """(id, score): sum over queries of 1 / (60 + rank); without a query that is not blank, the BM25 scores of ``original``.
+
+    Texts are read once for any number of queries. A query without a term ranks nothing.
+    """
     queries = [q for q in queries if q.strip()]
     if not queries:
         return bm25.scores(docs, original, id_col, text_col)
+    queries = [q for q in queries if T.tokenize_literal(q)]
+    index = staging.stage(bm25.index(docs, id_col, text_col))
+    scored = staging.stage(bm25.scores_from(index, queries))
     lists = []
-    for q in queries:
-        scored = bm25.scores(docs, q, id_col, text_col).select(id_col, F.round("score", 6).alias("score"))
-        lists.append(ranking.rank_all(scored, "score", id_col).select(id_col, (1 / (F.lit(K) + F.col("rank"))).alias("part")))
+    for k in range(len(queries)):
+        ranked = ranking.rank_all(scored.select("id", F.round(F.get("scores", k), 6).alias("score")), "score", "id", staged=True)
+        lists.append(ranked.select(F.col("id").alias(id_col), (1 / (F.lit(K) + F.col("rank"))).alias("part")))
+    if not lists:
+        return bm25.scores(docs, "", id_col, text_col)
     return reduce(DataFrame.unionByName, lists).groupBy(id_col).agg(F.round(F.sum("part"), 9).alias("score"))
 
 

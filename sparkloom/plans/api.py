@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking, claims, store
+from ..operators import chunking, claims, staging, store
 from ..sources import replies as sources
 from . import providers, report, search, workspace
 
@@ -96,7 +96,7 @@ class App:
             F.lit(key).cast("long").alias("search_id"), F.col("patentNumber").alias("patent_number"), "title", "abstract", "source", "url",
             F.lit(None).cast("boolean").alias("url_valid"), "bm25_score", "vector_score", "rrf_score", F.col("rank").cast("int").alias("stage1_rank"),
         )
-        rows = rows.withColumn("doc", F.to_json(F.struct("patent_number", "title", "abstract"))).persist()
+        rows = staging.stage(rows.withColumn("doc", F.to_json(F.struct("patent_number", "title", "abstract"))))
         if rows.head():
             self.store.insert("search_candidates", rows.dropDuplicates(["patent_number"]), ["stage1_rank"])
         done = {"status": F.lit("done"), "results_count": F.lit(rows.count()), "execution_ms": F.lit(execution_ms).cast("long")}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import bm25, candidates, chunking, claims, diff, fusion, ranking, replies, store, structure, tfidf
+from ..operators import bm25, candidates, chunking, claims, diff, fusion, ranking, replies, staging, store, structure, tfidf
 from ..sources import replies as sources
 from ..streaming import deltas
 from . import workspace
@@ -37,7 +37,8 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return staging.spread(df) if table == "documents" else df
 
 
 def item(spark: SparkSession, sf_dir: str, k: int) -> str:

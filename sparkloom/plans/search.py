@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import bm25, candidates, chunking, claims, fusion, replies, structure
+from ..operators import bm25, candidates, chunking, claims, fusion, replies, staging, structure
 
 RERANKED, CHARTED, STORED, BATCH = 100, 5, 50, 10
 
@@ -39,7 +39,7 @@ def retrieve(docs: DataFrame, query: Query, settings: Settings = Settings(), num
     """Candidates without repeats and up to the cut-off, ranked by fused BM25 and TF-IDF ranks: the columns of ``docs`` with scores and ``rank``."""
     kept = candidates.before_cutoff(candidates.dedup(docs, number), query.cutoff)
     text = candidates.document_text(F.col("title"), F.col("abstract"), F.coalesce("claims", F.lit("")))
-    corpus = kept.select("doc_ord", text.alias("text")).persist()
+    corpus = staging.stage(kept.select("doc_ord", text.alias("text")))
     ranked = fusion.hybrid(corpus, query.text, "doc_ord", "text", settings.rrf_k)
     order = Window.orderBy(F.desc("rrf_score"), "doc_ord")
     best = ranked.orderBy(F.desc("rrf_score"), "doc_ord").limit(max(RERANKED, STORED)).withColumn("rank", F.row_number().over(order))
@@ -75,7 +75,7 @@ def shown_score(weighted, rrf):
 
 def analyse(docs: DataFrame, year_now: int, id_col: str = "doc_id", text_col: str = "text", rule: str = "compat"):
     """Sections, chunks, claims, figures and dates of documents: a dict of DataFrames."""
-    sections = structure.sections(docs, id_col, text_col, rule).persist()
+    sections = staging.stage(structure.sections(docs, id_col, text_col, rule))
     chunk = chunking.chunks(sections, id_col)
     body = structure.claims_text(sections, id_col)
     split = body.select(id_col, F.posexplode(structure.split_claims(F.col("text"))).alias("pos", "text"))
