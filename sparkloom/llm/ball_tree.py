@@ -274,7 +274,7 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, k: int = 20, every:
             for r in part.collect():
                 bounds.setdefault(r.dim, []).append((r.shard, r.centre, r.radius))
             bounds = {d: (np.array([x[0] for x in b]), np.array([x[1] for x in b], np.float64), np.array([x[2] for x in b])) for d, b in bounds.items()}
-            shared = spark.sparkContext.broadcast(bounds)
+            shared = done.share(spark, bounds)
             sent = queries.mapInArrow(common.tidy(lambda it, shared=shared: asked(it, shared.value)), ASKED)
             packets = sent if packets is None else packets.unionByName(sent)
         if packets is None:  # an empty table

@@ -62,11 +62,22 @@ def drop_stage(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Give this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Stages:
-    """Staged frames of one computation: their files go when it ends, well or not."""
+    """Staged frames and broadcast values of one computation: they go when it ends, well or not."""
 
     def __init__(self):
         self.frames: list[DataFrame] = []
+        self.values: list = []
 
     def __enter__(self) -> Stages:
         return self
@@ -74,6 +85,14 @@ class Stages:
     def __exit__(self, *_) -> None:
         for df in self.frames:
             drop_stage(df)
+        for value in self.values:
+            value.destroy()
+        self.frames, self.values = [], []
+        trim()
+
+    def share(self, spark: SparkSession, value):
+        self.values.append(spark.sparkContext.broadcast(value))
+        return self.values[-1]
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.frames.append(df)
@@ -87,16 +106,6 @@ class Stages:
         drop_stage(df)
 
 
-def trim() -> None:
-    """Give a worker's free memory back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def tidy(function: Callable) -> Callable:
     """A function of batches after whose end its worker's memory is trimmed: workers are used again."""
 

@@ -178,7 +178,10 @@ def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = usable.filter(draw < share).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", draw.alias("u"))
     rows = drawn.orderBy("u", "lang", F.xxhash64("text")).limit(2 * sample * len(counts)).collect()
-    return train([(r.text, r.lang) for r in rows])
+    model = train([(r.text, r.lang) for r in rows])
+    del rows
+    common.trim()
+    return model
 
 
 NAMES = ("lang_pred", "score", "rejected")

@@ -426,13 +426,16 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
     if not 75 <= pct <= 100:
         raise ValueError("pct must be 75 to 100")
     spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
     source = common.texts(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    table, _ = gathered(source.select("text").mapInArrow(common.tidy(count_words), PIECES))
-    rank = share(rarity(table))
     with common.Stages() as done:
+
+        def share(value):
+            return done.share(spark, value)
+
+        rank = share(rarity(gathered(source.select("text").mapInArrow(common.tidy(count_words), PIECES))[0]))
         lines = done.stage(source.mapInArrow(common.tidy(lambda it: described(it, rank.value, pct)), LINES), "lines")
-        rank.unpersist()
+        rank.destroy()
+        done.values.remove(rank)
         # Sets that occur more than once, with their first lines: all other lines are the only ones of their classes.
         same = ["d", "x", "y", "n"]
         groups = lines.groupBy(*same).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("k")).filter("k > 1")
@@ -443,8 +446,9 @@ def repeated_lines(docs: DataFrame, pct: int = 80) -> DataFrame:
         classes = judged.filter(F.col("first").isNull() | (F.col("first") == place)).select("doc_id", "line", "n", "x", "y", "p").filter("size(p) > 0")
         counts, total = gathered(lines.select("n", "p").mapInArrow(common.tidy(count_prefixes), PIECES))
         wide, n_wide = None, 0
-        shared = share(counts)
-        if (counts > HOT).any():
+        shared, hot = share(counts), (counts > HOT).any()
+        del counts
+        if hot:
             wide, n_wide = gathered(lines.select("n", "p").mapInArrow(common.tidy(lambda it: count_wide(it, shared.value, pct)), PIECES))
         salts = share(wide)
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total + n_wide) // BUCKET))

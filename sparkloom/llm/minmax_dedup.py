@@ -231,6 +231,7 @@ def near_duplicates(
     pairs = pairs.filter(near).select("a", "b")
     last = common.stage(confirmed(common.stage(pairs, "pairs"), sets, threshold_pct), "links")
     labels = relabel(labels, edges.union(last), ids)
+    common.trim()
     named = reps.join(labels, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("comp"))
     return signed.join(named, "digest", "left").select(
         F.col("id").alias(id_col),

@@ -432,7 +432,9 @@ def repeated_strings(source: DataFrame, table: DataFrame, n: int, done: common.S
             hot |= {((-1 - r.part) << PIECE_BITS) + int(k): int(x[k]) for k in np.flatnonzero(x)}
         else:
             twice[r.part * PIECE_WORDS : (r.part + 1) * PIECE_WORDS] = x
-    shared = spark.sparkContext.broadcast((twice, hot))
+    shared = done.share(spark, (twice, hot))
+    hot = bool(hot)
+    del twice
     found = source.mapInArrow(common.tidy(lambda it: pieces(it, *shared.value)), PIECES)
     # one exchange serves all of these: what a key's documents, its classes and each class's documents are. Of a hot key these are facts of a salt only
     by_key, by_class = Window.partitionBy("deal"), Window.partitionBy("deal", "key", "digest")
