@@ -202,9 +202,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         for b in names or [None]:
             block = blocks.filter(F.col("block") == b).first() if names else None
             patterns = compile_patterns([(r.item, r.text) for r in block["items"]] if block else [], window)
+            if len(names) < 2:  # one worker a task does both
+                return source.mapInArrow(common.tidy(lambda it, p=patterns: report(scan(it, p))), RESULT)
             part = source.mapInArrow(common.tidy(lambda it, p=patterns: scan(it, p)), HITS)
-            if len(names) < 2:
-                return part.mapInArrow(report, RESULT)
             part = done.stage(part if found is None else part.filter("length(hits) > 0"), "hits")
             found = part if found is None else found.unionByName(part)
         spans = found.groupBy("row").agg(
