@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,10 @@ CASCADES = {
 }
 
 
+class Conflict(RuntimeError):
+    """Another writer committed this version first: read again and repeat the write."""
+
+
 def with_ids(rows: DataFrame, order: list[str], highest: int = 0, name: str = "id") -> DataFrame:
     """Rows numbered on from ``highest`` in an order: for the batches that a store appends, not for a corpus."""
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") + F.lit(highest))
@@ -65,7 +70,7 @@ def patch(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 def activate(df: DataFrame, group: str, key: str, chosen: DataFrame) -> DataFrame:
     """is_active for the chosen (group, key) alone within its group; other groups stay."""
-    pick = F.broadcast(chosen.select(F.col(group).alias("_g"), F.col(key).alias("_k")))
+    pick = chosen.select(F.col(group).alias("_g"), F.col(key).alias("_k"))
     joined = df.join(pick, F.col(group) == F.col("_g"), "left")
     return joined.withColumn("is_active", F.when(F.col("_g").isNull(), F.col("is_active")).otherwise(F.col(key) == F.col("_k"))).drop("_g", "_k")
 
@@ -91,12 +96,21 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> dict[str, str]:
-        logs = f"{self.path}/_log"
-        if not self.fs.exists(self._p(logs)) or not list(self.fs.listStatus(self._p(logs))):
+    def _version(self) -> int:
+        """The last version named, -1 before the first."""
+        logs = self._p(f"{self.path}/_log")
+        if not self.fs.exists(logs):
+            return -1
+        names = [s.getPath().getName() for s in self.fs.listStatus(logs)]
+        return max((int(n[:-2]) for n in names if n.endswith(".v")), default=-1)
+
+    def _folders(self, version: int) -> dict[str, str]:
+        if version < 0:
             return {}
-        last = max(str(s.getPath()) for s in self.fs.listStatus(self._p(logs)) if str(s.getPath()).endswith(".v"))
-        return {r.name: r.folder for r in self.spark.read.schema("name string, folder string").json(last).collect()}
+        return {r.name: r.folder for r in self.spark.read.schema("name string, folder string").json(f"{self.path}/_log/{version:09d}.v").collect()}
+
+    def _current(self) -> dict[str, str]:
+        return self._folders(self._version())
 
     def _p(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -107,7 +121,8 @@ class Store:
         return self.spark.read.schema(schema).parquet(folder) if folder else self.spark.createDataFrame([], schema)
 
     def commit(self, **tables: DataFrame) -> None:
-        names = self._current()
+        version = self._version()
+        names = self._folders(version)
         for name, df in tables.items():
             schema, keys = TABLES[name]
             want = self.spark.createDataFrame([], schema)
@@ -116,11 +131,24 @@ class Store:
             rows.write.parquet(names[name])
             if self.spark.read.parquet(names[name]).groupBy(*keys).count().filter("count > 1").head():
                 raise ValueError(f"{name}: repeated {keys}")
-        old = len(list(self.fs.listStatus(self._p(f"{self.path}/_log")))) if self.fs.exists(self._p(f"{self.path}/_log")) else 0
         temp = f"{self.path}/_temp/{uuid.uuid4().hex}"
         self.spark.createDataFrame(list(names.items()), "name string, folder string").coalesce(1).write.json(temp)
         self.fs.mkdirs(self._p(f"{self.path}/_log"))
-        self.fs.rename(self._p(temp), self._p(f"{self.path}/_log/{old:09d}.v"))
+        self._claim(temp, f"{self.path}/_log/{version + 1:09d}.v")
+
+    def _claim(self, source: str, target: str) -> None:
+        """Rename without overwriting: of two writers of a version one gets a Conflict."""
+        jvm = self.spark._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._p(source), self._p(target), options)
+        except Py4JJavaError as e:
+            if self.fs.exists(self._p(target)):
+                raise Conflict(target) from e
+            raise
 
     def insert(self, name: str, rows: DataFrame, order: list[str]) -> list[int]:
         """Append rows under new ids, and give these back."""
