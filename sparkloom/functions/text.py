@@ -133,3 +133,11 @@ def bump_version(c: Column) -> Column:
     parts = F.split(c, r"\.", -1)
     last = F.coalesce(F.element_at(parts, -1).try_cast("int"), F.lit(0)) + 1
     return F.array_join(F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(last.cast("string"))), ".")
+
+
+def uri_component(c: Column) -> Column:
+    """Percent-encoded UTF-8 but for letters, digits and ``-_.!~*'()``."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import bm25, candidates, chunking, claims, diff, fusion, ranking, replies, staging, store, structure, tfidf
 from ..sources import replies as sources
 from ..streaming import deltas
-from . import workspace
+from . import providers, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -713,3 +713,120 @@ def _(spark, d):
     k = F.col("o_orderkey")
     rows = read(spark, d, "orders").select("o_orderkey", (k % 2).alias("o_flag"), F.to_json(F.struct(F.concat(F.lit("x"), k % 3).alias("t"))).alias("o_tag"))
     return workspace.camel(rows, ("o_flag",), {"o_tag": "t string"}).withColumn("oTag", F.col("oTag.t"))
+
+
+# ---- smaller operations over whole tables ----------------------------------------------------------------------------
+
+
+@query("score_colours", "SELECT o_orderkey, CASE WHEN o_orderkey % 101 >= 70 THEN 'red' WHEN o_orderkey % 101 >= 40 THEN 'yellow' ELSE 'green' END AS colour FROM orders")
+def _(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", S.score_colour(F.col("o_orderkey") % 101).alias("colour"))
+
+
+@query(
+    "cost_texts",
+    """SELECT event_id, dollars, CASE WHEN dollars < 0.001 THEN '< $0.001' ELSE '$' || printf('%.3f', dollars) END AS shown FROM (
+SELECT event_id, round((event_id % 1000 * 1000) / 1e6 * 3 + (event_id % 77 * 1000) / 1e6 * 15, 4) AS dollars FROM events)""",
+)
+def _(spark, d):
+    dollars = S.cost(F.col("event_id") % 1000 * 1000, F.col("event_id") % 77 * 1000)
+    return read(spark, d, "events").select("event_id", dollars.alias("dollars")).withColumn("shown", S.cost_text(F.col("dollars")))
+
+
+@query(
+    "retries",
+    """SELECT o_orderkey, least(1000 * 2 ** (o_orderkey % 9), 30000)::BIGINT AS delay_ms,
+o_orderkey % 600 = 429 OR o_orderkey % 600 >= 500 OR regexp_matches('code ' || (o_orderkey % 1000), 'rate limit|timeout|econnreset|503|529|overloaded') AS again FROM orders""",
+)
+def _(spark, d):
+    k = F.col("o_orderkey")
+    message = F.concat(F.lit("Code "), (k % 1000).cast("string"))
+    return read(spark, d, "orders").select("o_orderkey", S.retry_delay(k % 9 + 1).alias("delay_ms"), S.retryable(k % 600, message).alias("again"))
+
+
+@query(
+    "weighted_scores",
+    """SELECT l_orderkey, floor(sum(l_partkey % 101 * w) / sum(w) + 0.5)::INT AS score FROM (
+SELECT l_orderkey, l_partkey, (CASE l_linenumber WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END)::DOUBLE AS w FROM lineitem) GROUP BY l_orderkey""",
+)
+def _(spark, d):
+    one = F.struct(F.col("l_linenumber").cast("string").alias("id"), (F.col("l_partkey") % 101).cast("int").alias("score"))
+    weights = F.create_map(F.lit("1"), F.lit(3.0), F.lit("2"), F.lit(2.0))
+    scores = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("s"))
+    return scores.select("l_orderkey", S.weighted_score(F.col("s"), weights).alias("score"))
+
+
+@query(
+    "element_lines",
+    """SELECT l_orderkey, string_agg('[' || chr(64 + l_linenumber::INT) || '] ' || repeat('*', (l_partkey % 3 + 1)::INT) || ' ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey % 3, l_partkey::VARCHAR) AS lines
+FROM lineitem GROUP BY l_orderkey""",
+)
+def _(spark, d):
+    n, k = F.col("l_linenumber"), F.col("l_partkey")
+    one = F.struct(n.alias("n"), F.char(n + 64).alias("id"), (k % 3).cast("int").alias("importance"), k.cast("string").alias("text"))
+    elements = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("e"))
+    return elements.select("l_orderkey", workspace.element_lines(F.col("e")).alias("lines"))
+
+
+@query("target_claims", "SELECT l_orderkey, l_linenumber AS num FROM lineitem WHERE l_linenumber IN (1, 3)")
+def _(spark, d):
+    return workspace.target_claims(read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("num")), [1, 3])
+
+
+@query(
+    "enriched_claims",
+    "SELECT o_orderkey AS num, part FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS part FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey",
+)
+def _(spark, d):
+    enriched = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("num"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("part"))
+    return workspace.with_enriched(read(spark, d, "orders").select(F.col("o_orderkey").alias("num")), enriched)
+
+
+@query(
+    "claim_summary",
+    """WITH r AS (SELECT l_orderkey AS node, l_partkey AS top, l_quantity AS weighted_score FROM lineitem WHERE l_linenumber = 1),
+c AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS top, CASE l_partkey % 3 WHEN 0 THEN 'HIGH' ELSE 'LOW' END AS novelty_risk, CASE l_partkey % 2 WHEN 0 THEN 'HIGH' ELSE 'LOW' END AS inventiveness_risk FROM lineitem)
+SELECT o_orderkey AS node, top, weighted_score, novelty_risk, inventiveness_risk FROM orders LEFT JOIN r ON r.node = o_orderkey LEFT JOIN c USING (node, top)""",
+)
+def _(spark, d):
+    li = read(spark, d, "lineitem").withColumnsRenamed({"l_orderkey": "node", "l_partkey": "patent_number"})
+    risk = lambda m: F.when(F.col("patent_number") % m == 0, "HIGH").otherwise("LOW")
+    charts = li.select("node", "patent_number", risk(3).alias("novelty_risk"), risk(2).alias("inventiveness_risk"))
+    reranked = li.select("node", "patent_number", F.col("l_quantity").alias("weighted_score"), F.col("l_linenumber").alias("stage2_rank"))
+    return workspace.claim_summary(read(spark, d, "orders").select(F.col("o_orderkey").alias("node")), reranked, charts)
+
+
+@query("active_items", "SELECT count(*) FILTER (o_orderkey % 3 = 0)::BIGINT AS active FROM orders")
+def _(spark, d):
+    return workspace.active_items(read(spark, d, "orders").select((F.col("o_orderkey") % 3 == 0).alias("active")))
+
+
+@query(
+    "templates_merged",
+    """WITH a AS (SELECT r_regionkey AS id, r_name AS name, 0 AS s FROM region WHERE r_regionkey NOT IN (SELECT n_nationkey + 3 FROM nation) UNION ALL SELECT n_nationkey + 3, n_name, 1 FROM nation)
+SELECT id, name, row_number() OVER (ORDER BY s, id)::INT AS ord FROM a""",
+)
+def _(spark, d):
+    stored = read(spark, d, "nation").select((F.col("n_nationkey") + 3).alias("id"), F.col("n_name").alias("name"))
+    return workspace.with_builtins_first(stored, read(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")))
+
+
+@query("prompt_variables", "SELECT doc_id, md5(coalesce(text, '')) AS claims, md5(coalesce(text, '')) AS claim_text, coalesce(lang, '') AS prior_art, coalesce(source, '') AS query FROM documents")
+def _(spark, d):
+    df = read(spark, d, "documents").select("doc_id", F.col("text").alias("claims"), F.col("lang").alias("prior_art"), F.col("source").alias("query"))
+    v = providers.prompt_variables(df)
+    return v.select("doc_id", F.md5("v_claims").alias("claims"), F.md5("v_claim_text").alias("claim_text"), F.col("v_prior_art").alias("prior_art"), F.col("v_query").alias("query"))
+
+
+@query("prompt_context", "SELECT string_agg(n_name || ': ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS text FROM nation WHERE n_nationkey < 3")
+def _(spark, d):
+    hits = read(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("rank"), F.col("n_name").alias("patentNumber"), F.col("n_regionkey").cast("string").alias("title"))
+    return workspace.prompt_context(hits)
+
+
+@query(
+    "uri_components",
+    """SELECT doc_id, md5(replace(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')) AS h FROM documents""",
+)
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(T.uri_component(F.col("text"))).alias("h"))

@@ -103,6 +103,15 @@ PROMPTS = [
 SEARCH_TEMPLATES = [("quick", 25, False), ("standard", 25, True), ("broad", 50, True), ("claims", 25, True), ("local", 100, False)]
 
 
+def search_template(key: str) -> tuple | None:
+    """The way to search of this id, or None."""
+    return next((t for t in SEARCH_TEMPLATES if t[0] == key), None)
+
+
+def prompt_count(prompts: DataFrame) -> DataFrame:
+    return prompts.agg(F.count("*").alias("count"))
+
+
 def default_prompts(spark) -> DataFrame:
     return spark.createDataFrame([(n, s, "", t, "1.0.0", True) for n, s, t in PROMPTS], "name string, strategy string, system_prompt string, user_template string, version string, is_active boolean")
 

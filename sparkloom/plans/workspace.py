@@ -92,6 +92,29 @@ def toggled(items: DataFrame, key: str, flag: str = "active") -> DataFrame:
     return items.withColumn(flag, F.when(F.col("id") == key, ~F.col(flag)).otherwise(F.col(flag)))
 
 
+def added(items: DataFrame, item: dict) -> DataFrame:
+    """The items and one more, under the next number as its id."""
+    high = items.agg(F.coalesce(F.max(F.col("id").cast("long")), F.lit(0)).alias("high"))
+    new = high.select((F.col("high") + 1).cast(items.schema["id"].dataType).alias("id"), *(F.lit(v).alias(k) for k, v in item.items()))
+    return items.unionByName(new)
+
+
+def without(items: DataFrame, key) -> DataFrame:
+    return items.filter(F.col("id") != key)
+
+
+def active_items(items: DataFrame, flag: str = "active") -> DataFrame:
+    """How many items are active."""
+    return items.agg(F.count_if(F.col(flag)).alias("active"))
+
+
+def with_enriched(nodes: DataFrame, enriched: DataFrame, num: str = "num", order: str = "ord") -> DataFrame:
+    """Nodes with the first enriched claim (by ``order``, then its other columns) of their number; nulls where there is none."""
+    rest = [c for c in enriched.columns if c not in (num, order)]
+    first = enriched.groupBy(num).agg(F.min_by(F.struct(*rest), F.struct(order, *rest)).alias("_e"))
+    return nodes.join(first, num, "left").select(*nodes.columns, *(F.col(f"_e.{c}") for c in rest))
+
+
 def usage(df: DataFrame, by: list[str], order: list[str], tokens_in: str = "input_tokens", tokens_out: str = "output_tokens") -> DataFrame:
     """Running totals of tokens and their cost."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

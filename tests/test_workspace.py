@@ -62,3 +62,60 @@ def test_app(spark, tmp_path):
     assert app.needed_migrations([1, 2]) == [1, 2]
     app.delete_project(p)
     assert app.list_projects().count() == 0 and app.store.table("project_searches").count() == 0
+
+
+def test_context_items(spark):
+    from sparkloom.plans import providers, workspace
+
+    items = spark.createDataFrame([(1, "url", "u", True, True, True)], "id long, kind string, content string, for_search boolean, for_rerank boolean, active boolean")
+    two = workspace.added(items, workspace.context_item("note", "n"))
+    assert [(r.id, r.kind, r.for_search, r.active) for r in two.orderBy("id").collect()] == [(1, "url", True, True), (2, "note", False, True)]
+    assert workspace.active_items(workspace.toggled(two, 2)).first().active == 1
+    assert [r.id for r in workspace.without(two, 1).collect()] == [2]
+    empty = workspace.added(items.limit(0), workspace.context_item("note", "n"))
+    assert [r.id for r in empty.collect()] == [1]
+    assert providers.search_template("broad")[1] == 50 and providers.search_template("none") is None
+    assert providers.prompt_count(providers.default_prompts(spark)).first()["count"] == len(providers.PROMPTS)
+
+
+def test_enriched_first(spark):
+    from sparkloom.plans import workspace
+
+    nodes = spark.createDataFrame([(1,), (2,)], "num int")
+    enriched = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (3, 1, "c")], "num int, ord int, t string")
+    assert sorted(map(tuple, workspace.with_enriched(nodes, enriched).collect())) == [(1, "a"), (2, None)]
+
+
+def test_two_writers(spark, tmp_path):
+    import pytest
+
+    from sparkloom.operators import store
+
+    s = store.Store(spark, str(tmp_path))
+    s.insert("projects", spark.createDataFrame([("a", "")], "name string, description string"), ["name"])
+    other = store.Store(spark, str(tmp_path))
+    stale = other._version() - 1
+    other._version = lambda: stale
+    with pytest.raises(store.Conflict):
+        other.commit(projects=s.table("projects"))
+    assert [r.name for r in s.table("projects").collect()] == ["a"]
+
+
+def test_long_word_diff():
+    import random
+
+    from sparkloom.operators import diff
+
+    def slow(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if x == y else max(best[i - 1][j], best[i][j - 1])
+        return best[-1][-1]
+
+    rng = random.Random(3)
+    for n, m in [(0, 0), (0, 5), (7, 0), (8, 8), (9, 17), (40, 33)]:
+        a, b = [rng.choice("abcd") for _ in range(n)], [rng.choice("abcd") for _ in range(m)]
+        got = diff.diff(" ".join(a), " ".join(b))
+        assert [w for w, k in got if k != "inserted"] == a and [w for w, k in got if k != "deleted"] == b
+        assert sum(k == "equal" for _, k in got) == slow(a, b)
