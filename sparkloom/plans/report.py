@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHOWN, RERANKED, TITLE = 10, 5, 60
+#: Analyses of a search in a report: the latest.
+ANALYSES = 20
 
 
 def cell(c, length: int):
@@ -41,7 +43,8 @@ def markdown(project: DataFrame, searches: DataFrame, candidates: DataFrame, rer
     cht = table(
         charts, "search_id", "ord", ["number", "element", "prior art", "verdict"], bar(F.col("patent_number"), cell(F.col("element"), 50), cell(F.col("prior_art"), 60), F.col("verdict"))
     ).withColumnRenamed("body", "cht")
-    ana = analyses.groupBy("search_id").agg(
+    latest = analyses.withColumn("_n", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("id")))).filter(F.col("_n") <= ANALYSES)
+    ana = latest.groupBy("search_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.concat_ws("\n\n", F.concat(F.lit("##### "), F.col("strategy")), F.substring("result", 1, 500)).alias("t")))), lambda x: x["t"]), "\n\n").alias("ana")
     )
     s = searches.select("project_id", F.col("id").alias("search_id"), "query", "strategy", "results_count")
