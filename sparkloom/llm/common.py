@@ -106,12 +106,32 @@ class Stages:
         drop_stage(df)
 
 
+#: The one costly value that a worker keeps between tasks, and whether the present task asked for it.
+_kept: dict = {"key": None, "value": None, "used": False}
+
+
+def kept(key: tuple, make: Callable):
+    """``make()``, kept in this worker until a task ends that didn't ask for ``key``, or asks for another one."""
+    if _kept["key"] != key:
+        _kept["value"] = None
+        _kept.update(key=key, value=make())
+    _kept["used"] = True
+    return _kept["value"]
+
+
+def _end_task() -> None:
+    if not _kept["used"]:
+        _kept.update(key=None, value=None)
+    trim()
+
+
 def tidy(function: Callable) -> Callable:
     """A function of batches after whose end its worker's memory is trimmed: workers are used again."""
 
     def run(batches):
+        _kept["used"] = False
         yield from function(batches)
-        trim()
+        _end_task()
 
     return run
 
@@ -121,8 +141,9 @@ def tidy_group(function: Callable) -> Callable:
 
     @functools.wraps(function)
     def run(key, batches):
+        _kept["used"] = False
         yield from function(key, batches)
-        trim()
+        _end_task()
 
     return run
 

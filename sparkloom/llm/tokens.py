@@ -10,13 +10,12 @@ speed, never results.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from . import textvec
+from . import common, textvec
 
 #: Chunks that a worker remembers; beyond it those met in one slice only are forgotten, or all if the others are over half of these.
 CHUNKS = 400_000
@@ -212,10 +211,9 @@ def binary(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
 
 
-@lru_cache(2)
 def encoder(path: str, kind: str) -> Encoder:
-    """One per worker process and vocabulary."""
-    return Encoder(path, kind)
+    """One per worker process, while its tasks use it."""
+    return common.kept((path, kind), lambda: Encoder(path, kind))
 
 
 def public(name: str) -> str:
