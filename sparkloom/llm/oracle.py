@@ -32,8 +32,71 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
+COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, range(1, 4) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS c FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g AS phrase, string_split(g, ' ') AS w, c AS a FROM f WHERE k > 1 AND c >= 10),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT cuts.lang, cuts.k, phrase, a, cut, x.c AS l, y.c AS r, (1000000::HUGEINT * a * a) // (x.c::HUGEINT * y.c) AS score FROM cuts
+  JOIN f x ON x.lang = cuts.lang AND x.g = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = cuts.lang AND y.g = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+e AS (SELECT lang, a, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:], ' ')]) AS inside FROM c WHERE k > 2),
+left_over AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.lang = b.lang AND e.inside = b.phrase AND 100 * e.a >= 50 * b.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT o.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000"""
+
+
+def _rounds(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assigning and averaging, one after another; vectors are told apart by ``u``, components are rows."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.c[i]) * (v.v[i] - c.c[i])))::BIGINT"
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS k, v AS c FROM v QUALIFY k < %d)""" % k
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT u, min(struct_pack(d := d, k := k)) AS x FROM (SELECT u, k, {far} AS d FROM v, c{r} c) GROUP BY u)")
+        if r < rounds:
+            mean = "(s - ((s % n) + n) % n) // n"
+            steps.append(
+                f"s{r} AS (SELECT x.k AS k, i, sum(v.v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r} JOIN v USING (u), range(1, 65) t(i) GROUP BY ALL)"
+            )
+            steps.append(f"m{r} AS (SELECT k, list({mean} ORDER BY i)::BIGINT[] AS m FROM s{r} GROUP BY k)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.k = c.k)")
+    return "WITH " + ",\n".join(steps) + (
+        f"""
+SELECT vec_id, x.k::INT AS cluster, x.d AS distance, (sum(x.d) OVER (PARTITION BY x.k))::BIGINT AS cluster_inertia, (sum(x.d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (u) JOIN c{rounds} c ON c.k = x.k"""
+    )
+
+
+def _urls() -> str:
+    from . import url_rules as u
+
+    fits = lambda host, path: f"((host = '{host}' OR suffix(host, '.{host}')) AND starts_with(path, '{path}'))"
+    order = sorted((u.site_rule(v, t) for v, t in u.SITES), key=lambda r: r.rank)
+    parts = [(r, r.text.partition("/")) for r in order]
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(h, s + p)} THEN '{what(r)}'" for r, (h, s, p) in parts)
+    rules = [u.pattern_rule(t) for t in u.PATTERNS]
+    expression = lambda r: r.expression.replace("\\Z", "\\z").replace("'", "''")
+    searched = lambda r: f"regexp_matches(low, '{expression(r)}', 's')"
+    named = lambda verdict: "CASE " + " ".join(f"WHEN {searched(r)} THEN '{r.text}'" for r in rules if r.verdict == verdict) + " END"
+    return f"""WITH u AS (SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS p FROM pages),
+r AS (SELECT *, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS rest, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM u),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS h FROM r),
+s AS (SELECT *, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM h),
+d AS (SELECT *, {case(lambda r: r.text)} END AS rule, {named("block")} AS blocks, {named("allow")} AS allows FROM s)
+SELECT page_id, host, path, rule, {case(lambda r: r.verdict)} WHEN blocks IS NOT NULL AND allows IS NULL THEN 'block' ELSE 'allow' END AS verdict,
+CASE WHEN rule IS NULL AND blocks IS NOT NULL THEN coalesce(allows, blocks) END AS pattern FROM d"""
+
+
 ORACLE = {
     "op5_minmax_near_dedup": NEAR_DEDUP,
     "op7_wu_manber_decontaminate": DECONTAMINATE,
     "op9_ball_tree_top_k": TOP_K,
+    "op11_collocations": COLLOCATIONS,
+    "op12_centroid_clusters": _rounds(),
+    "op13_url_rules": _urls(),
 }

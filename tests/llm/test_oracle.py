@@ -17,7 +17,7 @@ def test_query(spark, name):
     if name not in ORACLE:
         return
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     result = con.execute(ORACLE[name])
     names = [c[0] for c in result.description]
