@@ -92,3 +92,76 @@ def test_hosts_with_wrappers(spark):
 def test_a_long_page():
     page = "<article>" + "<p>para &amp; more</p>" * 40_000 + "</article>"
     assert len(h.article(page, None).split("\n\n")) == 40_000
+
+
+STORY = "".join(f"<p>Paragraph {{0}} number {k} tells about {{0}} things at some length, as stories do.</p>" for k in range(5))
+WANT = "\n\n".join(f"Paragraph {{0}} number {k} tells about {{0}} things at some length, as stories do." for k in range(5))
+
+
+def of_host(spark, template, n=20, want=WANT):
+    """Texts of n pages of a host made from a template, and what they should be."""
+    rows = [(k, f"http://h.org/{k}", template.replace("STORY", STORY.format(f"w{k}"))) for k in range(n)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[k] for k in range(n)], [want.replace("STORY", WANT).format(f"w{k}") for k in range(n)]
+
+
+PARTS = "reader-comments user-comments discussion cookie-policy legal-notice promo-strip advertorial most-read share-tools trending feedback copyright user-reviews subscribe-cta".split()
+
+
+def test_recurring_parts_go_whatever_their_class(spark):
+    for body in (
+        '<div class="top"><p>The Daily Site of news</p></div><div class="story">STORY</div><div class="bottom"><p>All rights with the owner 2020</p></div>',
+        '<div class="x1">The Daily Site of news</div><article>STORY<div class="x2"><p>Read us every day, on paper too</p></div></article>',
+        '<div><p>The Daily Site</p>STORY<p>All rights with the owner</p></div>',
+        '<p>The Daily Site</p>STORY<p>All rights with the owner</p>',
+    ):
+        got, want = of_host(spark, f"<body>{body}</body>")
+        assert got == want, body
+
+
+def test_copies_and_near_copies_lose_nothing(spark):
+    near = [(k, "http://c.org/", f'<body><div class="a">Site</div><div class="story">{STORY.format("same")}<p>Only line {k}</p></div></body>') for k in range(12)]
+    same = [(k, "http://d.org/", f'<body><div class="story">{STORY.format("same")}</div></body>') for k in range(12, 24)]
+    adverts = [(k, "http://e.org/", f'<body><div class="box">Offer {k}</div><div class="story">{STORY.format("same")}</div></body>') for k in range(24, 34)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(near + same + adverts, "page_id long, url string, html string")).collect()}
+    text = WANT.format("same")
+    assert all(got[k] == f"{text}\n\nOnly line {k}" for k in range(12))
+    assert all(got[k] == text for k in range(12, 24)) and all(got[k].endswith(text) for k in range(24, 34))
+
+
+def test_marked_parts_beside_and_inside():
+    story, want = STORY.format("w"), WANT.format("w")
+    for name in PARTS:
+        junk = f'<div class="{name}"><p>Something that is said here by others</p></div>'
+        assert text(f'<div class="story">{story}</div>{junk}') == want, name
+        assert text(f"<article>{story}{junk}</article>") == want, name
+
+
+def test_comments_do_not_rescue_themselves():
+    story, want = STORY.format("w"), WANT.format("w")
+    many = "".join(f'<article class="comment"><p>Reader {k} says quite a lot about this and that, again and again.</p></article>' for k in range(60))
+    plain = many.replace(' class="comment"', "")
+    assert text(f'<div class="story">{story}</div><section id="comments">{many}</section>') == want
+    assert text(f'<div class="story">{story}</div><section id="comments">{plain}</section>') == want
+    assert text(f'<main>{story}</main><section class="responses">{plain}</section>') == want
+    assert text(f'<main><div class="story">{story}</div></main><section class="voices">{plain.replace("article", "div")}</section>') == want
+    listed = "".join(f'<li class="comment"><article><p>Reader {k} says a lot.</p></article></li>' for k in range(60))
+    assert text(f'<div class="story">{story}</div><ol>{listed}</ol>') == want
+
+
+def test_headline_beside_the_text():
+    story, want = STORY.format("w"), WANT.format("w")
+    head = '<header class="entry-header"><h1>Big title</h1></header>'
+    assert text(f'<div class="page">{head}<div class="entry">{story}</div></div>') == f"Big title\n\n{want}"
+    assert text(f'<div class="page">{head}<article>{story}</article></div>') == f"Big title\n\n{want}"
+    assert text(f'<div class="page">{head}<main>{story}</main></div>') == f"Big title\n\n{want}"
+    assert text(f'<header><h1>Site</h1></header><article><h1>Big title</h1>{story}</article>') == f"Big title\n\n{want}"
+    got = h.article(f'<body><div class="page"><h1>Big title</h1><div class="entry">{story}</div></div></body>', ">body>div.page>div.entry")
+    assert got == f"Big title\n\n{want}"
+
+
+def test_link_lists_go():
+    story, want = STORY.format("w"), WANT.format("w")
+    links = '<div class="z"><a href="/a">One page</a> <a href="/b">Other page</a></div>'
+    assert text(f'{links}<div class="story">{story}</div>{links}') == want
+    assert text(links) == "One page Other page"
