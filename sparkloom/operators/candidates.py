@@ -85,6 +85,12 @@ def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def first_of_each(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order`` of each key."""
+    w = Window.partitionBy(key).orderBy(order)
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
 def dedup(df: DataFrame, number: str = "patentNumber", order: str = "doc_ord") -> DataFrame:
     """The first candidate of each number, which is compared in upper case and without white space."""
     return first_per_key(df, F.upper(F.regexp_replace(F.coalesce(number, F.lit("")), T.WS, "")), order)
@@ -110,8 +116,10 @@ def url_valid(url: Column, status: Column | None = None, enabled: bool = True) -
 
 
 def with_url_validity(df: DataFrame, checked: DataFrame, url: str = "url") -> DataFrame:
-    """``df`` with urlValid from (url, valid); urls that were not checked are not valid."""
-    return df.drop("urlValid").join(checked.select(url, F.col("valid").alias("urlValid")).distinct(), url, "left").withColumn("urlValid", F.coalesce("urlValid", F.lit(False)))
+    """``df`` with urlValid from (url, valid): the last verdict on a url (by ``checked_ord``, if there is one, else a good one over a bad one); urls that were not checked are not valid."""
+    last = F.max_by("valid", F.struct("checked_ord", "valid")) if "checked_ord" in checked.columns else F.max("valid")
+    verdicts = checked.groupBy(url).agg(last.alias("urlValid"))
+    return df.drop("urlValid").join(verdicts, url, "left").withColumn("urlValid", F.coalesce("urlValid", F.lit(False)))
 
 
 def in_source_order(frames: list[DataFrame], order: str = "doc_ord") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -50,25 +50,41 @@ def overlaps(chunks: Column) -> Column:
     return T.let(chunks, lambda all_: F.transform(all_, lambda c, i: one(all_, c, i)))
 
 
-def chunks(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Chunks of a document's (id, ord, type, title, text) sections; claims give none but move the places on.
+def section_chunks(sections: Column) -> Column:
+    """array of a document's chunks from its array of (ord, type, title, text) sections; claims give none but move the places on.
 
-    chunk_id is chunk-<number in the document>-<section type>.
+    (chunk_id, sectionType, sectionTitle, text, charStart, charEnd, overlapBefore, overlapAfter); chunk_id is chunk-<number in the
+    document>-<section type>. All within the row.
     """
-    w = Window.partitionBy(id_col).orderBy("ord")
-    before = F.coalesce(F.sum(F.length("text") + F.length("title") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    made = sections.withColumn("at", before).filter("type <> 'claims'").withColumn("c", chunk_array(F.col("text"), F.col("at")))
-    flat = made.select(id_col, "ord", "type", "title", F.posexplode(overlaps(F.col("c"))).alias("k", "c"))
-    number = F.row_number().over(Window.partitionBy(id_col).orderBy("ord", "k"))
-    return flat.select(
-        id_col,
-        F.concat_ws("-", F.lit("chunk"), number, "type").alias("chunk_id"),
-        F.col("type").alias("sectionType"),
-        F.col("title").alias("sectionTitle"),
-        "c.*",
+
+    def placed(secs: Column) -> Column:
+        sizes = F.transform(secs, lambda s: F.length(s["text"]) + F.length(s["title"]) + 2)
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        ats = F.aggregate(sizes, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+        return F.zip_with(secs, ats, lambda s, at: F.struct(s["type"].alias("type"), s["title"].alias("title"), s["text"].alias("text"), at.alias("at")))
+
+    def of_section(s: Column) -> Column:
+        return F.transform(overlaps(chunk_array(s["text"], s["at"])), lambda c: F.struct(s["type"].alias("type"), s["title"].alias("title"), c.alias("c")))
+
+    made = F.flatten(F.transform(F.filter(T.let(sections, placed), lambda s: s["type"] != "claims"), of_section))
+    fields = ("text", "charStart", "charEnd", "overlapBefore", "overlapAfter")
+    return F.transform(
+        made,
+        lambda x, k: F.struct(
+            F.concat_ws("-", F.lit("chunk"), (k + 1).cast("string"), x["type"]).alias("chunk_id"),
+            x["type"].alias("sectionType"),
+            x["title"].alias("sectionTitle"),
+            *(x["c"][f].alias(f) for f in fields),
+        ),
     )
 
 
+def chunks(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Chunks of a table of (id, ord, type, title, text) sections: sections of a document meet in its row first."""
+    secs = F.array_sort(F.collect_list(F.struct("ord", "type", "title", "text")))
+    return sections.groupBy(id_col).agg(secs.alias("s")).select(id_col, F.inline(section_chunks(F.col("s"))))
+
+
 def relevant_passages(text: Column, claim: Column, most: int = 6000) -> Column:
     """The paragraphs of a text that hold most keywords of a claim, up to ``most`` characters, in the order of the text.
 

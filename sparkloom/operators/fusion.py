@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import bm25, ranking, staging, tfidf
+from . import bm25, inverted, ranking, staging, tfidf
 
 K = 60
 
@@ -51,15 +49,15 @@ def multi_query(docs: DataFrame, queries: list[str], original: str, id_col: str
     if not queries:
         return bm25.scores(docs, original, id_col, text_col)
     queries = [q for q in queries if T.tokenize_literal(q)]
-    index = staging.stage(bm25.index(docs, id_col, text_col))
-    scored = staging.stage(bm25.scores_from(index, queries))
-    lists = []
-    for k in range(len(queries)):
-        ranked = ranking.rank_all(scored.select("id", F.round(F.get("scores", k), 6).alias("score")), "score", "id", staged=True)
-        lists.append(ranked.select(F.col("id").alias(id_col), (1 / (F.lit(K) + F.col("rank"))).alias("part")))
-    if not lists:
+    if not queries:
         return bm25.scores(docs, "", id_col, text_col)
-    return reduce(DataFrame.unionByName, lists).groupBy(id_col).agg(F.round(F.sum("part"), 9).alias("score"))
+    scored = bm25.scores_from(staging.stage(bm25.index(docs, id_col, text_col)), queries)
+    lists = scored.select(F.col("id").alias(id_col), F.posexplode("scores").alias("_list", "score")).withColumn("score", F.round("score", 6))
+    ranked = ranking.rank_lists(staging.stage(lists), "_list", "score", id_col)
+    # parts are added in the order of the lists, so that sums are the same each time
+    part = F.struct("_list", (1 / (F.lit(K) + F.col("rank"))).alias("part"))
+    parts = F.transform(F.array_sort(F.collect_list(part)), lambda x: x["part"])
+    return ranked.groupBy(id_col).agg(F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 9).alias("score"))
 
 
 def multi_query_chunks(chunks: DataFrame, queries: DataFrame, top_k: int = 8, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -67,12 +65,11 @@ def multi_query_chunks(chunks: DataFrame, queries: DataFrame, top_k: int = 8, id
 
     Ties keep the order in which chunks are first seen, by query and rank.
     """
-    scored = bm25.scores_of_queries(chunks, queries, id_col, text_col).select("query_id", "id", F.round("score", 6).alias("score"))
     most = min(2 * top_k, 20)
+    scored = staging.stage(inverted.top_k(inverted.build(chunks, id_col, text_col), queries, most).drop("rank"))
     # every chunk has a score, so a query with few hits goes on with the first chunks without one: a bounded list of ids has enough
     some = chunks.select(F.col(id_col).alias("id")).orderBy("id").limit(2 * most)
     blank = queries.select("query_id").distinct().crossJoin(F.broadcast(some)).join(scored, ["query_id", "id"], "left_anti")
-    scored = bm25.ranked(scored, "id", ["query_id"]).filter(F.col("rank") <= most).drop("rank")
     ranked = bm25.ranked(scored.unionByName(blank.withColumn("score", F.lit(0.0))), "id", ["query_id"]).filter(F.col("rank") <= most)
     fused = ranked.groupBy("id").agg(F.round(F.sum(1 / (F.lit(K) + F.col("rank"))), 9).alias("score"), F.min(F.struct("query_id", "rank")).alias("seen"))
     best = fused.orderBy(F.desc("score"), "seen").limit(top_k)

@@ -1,11 +1,18 @@
-"""A small relational store on Parquet: one folder of versions for each table, written aside and then named current.
+"""A small relational store on Parquet: a table is a list of folders, and a log names the lists of each version.
 
-Constraints are kept by the write helpers: ids, unique keys, cascades. No statement overwrites files that it reads.
+A change writes its rows aside and then names the next version, all its tables in one step; an insert adds a folder, and many small ones are merged
+with the next insert. Constraints are kept by the write helpers: ids, unique keys, cascades. No statement overwrites files that it reads.
+
+Naming a version is a rename that must not overwrite: of two writers one gets a ``Conflict`` and ``change`` starts anew from the other's
+version. File systems whose rename is not atomic (object stores without conditional writes) allow one writer at a time only.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,6 +96,17 @@ def token_totals(df: DataFrame, tokens_in: str = "input_tokens", tokens_out: str
     )
 
 
+#: Folders of a table; one more is merged with the others.
+FOLDERS = 16
+
+
+@dataclass
+class Append:
+    """Rows that a commit adds to a table."""
+
+    rows: DataFrame
+
+
 class Store:
     """Tables under ``path``. ``commit`` writes new versions of several tables and then names them in one step; a failure before leaves the old."""
 
@@ -96,45 +114,88 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _version(self) -> int:
-        """The last version named, -1 before the first."""
+    def _versions(self) -> list[int]:
         logs = self._p(f"{self.path}/_log")
         if not self.fs.exists(logs):
-            return -1
+            return []
         names = [s.getPath().getName() for s in self.fs.listStatus(logs)]
-        return max((int(n[:-2]) for n in names if n.endswith(".v")), default=-1)
+        return sorted(int(n[:-2]) for n in names if n.endswith(".v"))
 
-    def _folders(self, version: int) -> dict[str, str]:
+    def _version(self) -> int:
+        """The last version named, -1 before the first."""
+        return max(self._versions(), default=-1)
+
+    def _folders(self, version: int) -> dict[str, list[str]]:
+        """The folders of each table, in the order in which they were added."""
         if version < 0:
             return {}
-        return {r.name: r.folder for r in self.spark.read.schema("name string, folder string").json(f"{self.path}/_log/{version:09d}.v").collect()}
-
-    def _current(self) -> dict[str, str]:
-        return self._folders(self._version())
+        out: dict[str, list[str]] = {}
+        for r in self.spark.read.schema("name string, folder string, place int").json(f"{self.path}/_log/{version:09d}.v").orderBy("name", "place").collect():
+            out.setdefault(r.name, []).append(r.folder)
+        return out
 
     def _p(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, version: int | None = None) -> DataFrame:
         schema, _ = TABLES[name]
-        folder = self._current().get(name)
-        return self.spark.read.schema(schema).parquet(folder) if folder else self.spark.createDataFrame([], schema)
-
-    def commit(self, **tables: DataFrame) -> None:
-        version = self._version()
+        folders = self._folders(self._version() if version is None else version).get(name)
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _aligned(self, name: str, df: DataFrame) -> DataFrame:
+        want = self.spark.createDataFrame([], TABLES[name][0])
+        return df.select(*(F.col(f.name).cast(f.dataType) for f in want.schema.fields))
+
+    def appended(self, name: str, rows: DataFrame) -> Append:
+        """Rows to be added to a table: missing times are now, other missing columns null."""
+        for f in self.spark.createDataFrame([], TABLES[name][0]).schema.fields:
+            if f.name not in rows.columns:
+                rows = rows.withColumn(f.name, F.current_timestamp() if f.name.endswith("_at") else F.lit(None).cast(f.dataType))
+        return Append(rows)
+
+    def _repeated(self, name: str, folder: str, others: list[str]) -> bool:
+        """Whether rows of a new folder repeat a key, among themselves or of the table's other folders (whose key columns alone are read)."""
+        _, keys = TABLES[name]
+        new = self.spark.read.schema(TABLES[name][0]).parquet(folder).select(*keys)
+        if new.groupBy(*keys).count().filter("count > 1").head():
+            return True
+        return bool(others) and bool(self.spark.read.schema(TABLES[name][0]).parquet(*others).select(*keys).join(new, keys, "left_semi").head())
+
+    def commit(self, base: int | None = None, **tables: DataFrame | Append) -> dict[str, str]:
+        """Name the next version after ``base`` (the last one): whole tables, or ``Append``s to them. Gives the folders written."""
+        version = self._version() if base is None else base
         names = self._folders(version)
-        for name, df in tables.items():
-            schema, keys = TABLES[name]
-            want = self.spark.createDataFrame([], schema)
-            rows = df.select(*(F.col(f.name).cast(f.dataType) for f in want.schema.fields))
-            names[name] = f"{self.path}/{name}/{uuid.uuid4().hex}"
-            rows.write.parquet(names[name])
-            if self.spark.read.parquet(names[name]).groupBy(*keys).count().filter("count > 1").head():
-                raise ValueError(f"{name}: repeated {keys}")
+        written = {}
+        for name, value in tables.items():
+            written[name] = folder = f"{self.path}/{name}/{uuid.uuid4().hex}"
+            old = names.get(name, []) if isinstance(value, Append) else []
+            self._aligned(name, value.rows if isinstance(value, Append) else value).write.parquet(folder)
+            if self._repeated(name, folder, old):
+                raise ValueError(f"{name}: repeated {TABLES[name][1]}")
+            if len(old) >= FOLDERS:
+                whole = f"{self.path}/{name}/{uuid.uuid4().hex}"
+                self.spark.read.schema(TABLES[name][0]).parquet(*old, folder).coalesce(1 + len(old) // FOLDERS).write.parquet(whole)
+                names[name] = [whole]
+            else:
+                names[name] = [*old, folder]
         temp = f"{self.path}/_temp/{uuid.uuid4().hex}"
-        self.spark.createDataFrame(list(names.items()), "name string, folder string").coalesce(1).write.json(temp)
+        rows = [(name, folder, k) for name, folders in names.items() for k, folder in enumerate(folders)]
+        self.spark.createDataFrame(rows, "name string, folder string, place int").coalesce(1).write.json(temp)
         self.fs.mkdirs(self._p(f"{self.path}/_log"))
         self._claim(temp, f"{self.path}/_log/{version + 1:09d}.v")
+        return written
+
+    def change(self, make: Callable[[], dict[str, DataFrame | Append]], attempts: int = 5) -> dict[str, str]:
+        """Commit what ``make`` builds from the tables; after a conflict it builds anew from the version that was first."""
+        for n in range(1, attempts + 1):
+            base = self._version()
+            try:
+                return self.commit(base, **make())
+            except Conflict:
+                if n == attempts:
+                    raise
+                time.sleep(0.05 * n)
+        raise AssertionError("attempts must be positive")
 
     def _claim(self, source: str, target: str) -> None:
         """Rename without overwriting: of two writers of a version one gets a Conflict."""
@@ -152,26 +213,44 @@ class Store:
 
     def insert(self, name: str, rows: DataFrame, order: list[str]) -> list[int]:
         """Append rows under new ids, and give these back."""
-        old = self.table(name)
-        high = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        fresh = with_ids(rows, order, high)
-        for f in old.schema.fields:
-            if f.name not in fresh.columns:
-                fresh = fresh.withColumn(f.name, F.current_timestamp() if f.name.endswith("_at") else F.lit(None).cast(f.dataType))
-        self.commit(**{name: old.unionByName(fresh.select(*old.columns))})
-        return [r.id for r in self.table(name).filter(F.col("id") > high).select("id").orderBy("id").collect()]
+
+        def made() -> dict[str, Append]:
+            high = self.table(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+            return {name: self.appended(name, with_ids(rows, order, high))}
+
+        folder = self.change(made)[name]
+        return [r.id for r in self.spark.read.parquet(folder).select("id").orderBy("id").collect()]
 
     def delete(self, name: str, key: int) -> None:
         """Delete a row and, down all levels, the rows that belong to it."""
-        gone = self.table(name).filter(F.col("id") == key).select("id")
-        changed: dict[str, DataFrame] = {name: self.table(name).filter(F.col("id") != key)}
-        level = [(name, gone)]
-        while level:
-            deeper = []
-            for parent, ids in level:
-                for child, column in CASCADES.get(parent, []):
-                    now = changed.get(child, self.table(child))
-                    changed[child] = delete(now, ids, column)
-                    deeper.append((child, now.join(ids.select(F.col("id").alias(column)), column, "left_semi").select("id")))
-            level = deeper
-        self.commit(**changed)
+
+        def made() -> dict[str, DataFrame]:
+            gone = self.table(name).filter(F.col("id") == key).select("id")
+            changed: dict[str, DataFrame] = {name: self.table(name).filter(F.col("id") != key)}
+            level = [(name, gone)]
+            while level:
+                deeper = []
+                for parent, ids in level:
+                    for child, column in CASCADES.get(parent, []):
+                        now = changed.get(child, self.table(child))
+                        changed[child] = delete(now, ids, column)
+                        deeper.append((child, now.join(ids.select(F.col("id").alias(column)), column, "left_semi").select("id")))
+                level = deeper
+            return changed
+
+        self.change(made)
+
+    def vacuum(self, versions: int = 2, seconds: float = 3600) -> int:
+        """Delete logs but the last ``versions``, and folders older than ``seconds`` that these do not name; how many folders went."""
+        logs = self._versions()
+        keep = {folder.rsplit("/", 1)[1] for v in logs[-versions:] for folders in self._folders(v).values() for folder in folders}
+        for v in logs[:-versions]:
+            self.fs.delete(self._p(f"{self.path}/_log/{v:09d}.v"), True)
+        gone, before = 0, (time.time() - seconds) * 1000
+        for name in [*TABLES, "_temp"]:
+            at = self._p(f"{self.path}/{name}")
+            for s in self.fs.listStatus(at) if self.fs.exists(at) else []:
+                if s.getPath().getName() not in keep and s.getModificationTime() <= before:
+                    self.fs.delete(s.getPath(), True)
+                    gone += 1
+        return gone

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -54,21 +54,37 @@ def section_type(line: Column, rule: str = "compat") -> Column:
     return T.let(norm, heads)
 
 
-def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: str = "compat") -> DataFrame:
-    """(id, ord, type, title, text): lines under each heading, without empty sections; what stands before the first is ``unknown``.
+def section_array(text: Column, rule: str = "compat") -> Column:
+    """array<struct<ord, type, title, text>>: the lines under each heading, without empty sections; what stands before the first is ``unknown``.
 
-    A section is a run of lines between headings, found by a running count of headings within the document.
+    One fold within the row: headings cut the array of lines, so neither lines nor sections are shuffled.
     """
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    typed = lines.withColumn("kind", section_type(F.col("line"), rule))
-    run = F.count("kind").over(Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    body = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("pos", "line", "kind"))), lambda x: x["kind"].isNull()), lambda x: x["line"])
-    grouped = typed.withColumn("ord", run).groupBy(id_col, "ord").agg(
-        F.coalesce(F.max("kind"), F.lit("unknown")).alias("type"),
-        F.coalesce(T.trim(F.max(F.when(F.col("kind").isNotNull(), F.col("line")))), F.lit("")).alias("title"),
-        T.trim(F.array_join(body, "\n")).alias("text"),
-    )
-    return grouped.filter(F.col("text") != "")
+
+    def cut(lines: Column, kinds: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(kinds, i).isNotNull())
+
+        def made(heads: Column) -> Column:
+            runs = F.zip_with(F.concat(F.array(F.lit(-1)), heads), F.concat(heads, F.array(F.size(lines))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            all_ = F.transform(
+                runs,
+                lambda r, k: F.struct(
+                    k.cast("long").alias("ord"),
+                    F.coalesce(F.get(kinds, r["a"]), F.lit("unknown")).alias("type"),
+                    F.coalesce(T.trim(F.get(lines, r["a"])), F.lit("")).alias("title"),
+                    T.trim(F.array_join(F.slice(lines, r["a"] + 2, r["b"] - r["a"] - 1), "\n")).alias("text"),
+                ),
+            )
+            return F.filter(all_, lambda x: x["text"] != "")
+
+        return T.let(heads, made)
+
+    lines = F.split(text, "\n", -1)
+    return T.let(lines, lambda x: T.let(F.transform(x, lambda line: section_type(line, rule)), lambda kinds: cut(x, kinds)))
+
+
+def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: str = "compat") -> DataFrame:
+    """(id, ord, type, title, text) of every section of every document."""
+    return docs.select(id_col, F.inline(section_array(F.col(text_col), rule)))
 
 
 def title(text: Column) -> Column:
@@ -118,21 +134,47 @@ def figures(text: Column) -> Column:
         lambda x: x.isNotNull(),
     )
     named = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FIGURE), F.lit(0)), lambda x: F.struct(figure_key(x).alias("number"), F.lit("").alias("description")))
-    start = F.slice(F.concat(described, named), 1, 0)
-    return F.aggregate(
-        F.concat(described, named),
-        start,
-        lambda a, x: F.when(F.exists(a, lambda y: y["number"] == x["number"]), a).otherwise(F.array_append(a, x)),
-    )
 
+    def firsts(all_: Column) -> Column:
+        numbers = F.transform(all_, lambda x: x["number"])
+        return T.let(numbers, lambda n: F.filter(all_, lambda x, k: F.array_position(n, x["number"]) == k + 1))
+
+    return T.let(F.concat(described, named), firsts)
 
-def link_figures(chunks: DataFrame, refs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, number, description, chunk_ids): figures of a document with the chunks that name them, described or not.
 
-    ``chunks`` has (id, chunk_id, text), ``refs`` (id, number, description). In the order of figure numbers.
+MENTION = rf"(?i)(?:\(?{T.WS}*도{T.WS}*면?{T.WS}*[0-9]+[a-zA-Z]?)|(?:\(?{T.WS}*FIG\.?{T.WS}*[0-9]+[a-zA-Z]?)"
+
+
+def mentioned(text: Column) -> Column:
+    """The different figures that a text names."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)), figure_key))
+
+
+def figure_links(chunks: Column, refs: Column) -> Column:
+    """array<struct<number, description, chunk_ids>> in the order of figure numbers: figures with the chunks that name them, described or not.
+
+    ``chunks`` is an array of (chunk_id, text), ``refs`` of (number, description), both of one document.
     """
-    mention = rf"(?i)(?:\(?{T.WS}*도{T.WS}*면?{T.WS}*[0-9]+[a-zA-Z]?)|(?:\(?{T.WS}*FIG\.?{T.WS}*[0-9]+[a-zA-Z]?)"
-    found = chunks.select(id_col, "chunk_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(mention), F.lit(0)), figure_key))).alias("number"))
+    found = F.flatten(F.transform(chunks, lambda c: F.transform(mentioned(c["text"]), lambda n: F.struct(n.alias("number"), c["chunk_id"].alias("chunk_id")))))
+    named = F.transform(refs, lambda r: F.struct(figure_key(r["number"]).alias("number"), r["description"].alias("description")))
+
+    def linked(found: Column, named: Column) -> Column:
+        numbers = F.array_distinct(F.concat(F.transform(named, lambda r: r["number"]), F.transform(found, lambda x: x["number"])))
+
+        def one(n: Column) -> Column:
+            ids = F.transform(F.filter(found, lambda x: x["number"] == n), lambda x: x["chunk_id"])
+            said = F.get(F.filter(named, lambda r: r["number"] == n), 0)["description"]
+            return F.struct(figure_order(n).alias("place"), n.alias("number"), F.coalesce(said, F.lit("")).alias("description"), F.array_sort(F.array_distinct(ids)).alias("chunk_ids"))
+
+        rows = F.array_sort(F.transform(numbers, one))
+        return F.transform(rows, lambda r: F.struct(r["number"].alias("number"), r["description"].alias("description"), r["chunk_ids"].alias("chunk_ids")))
+
+    return T.let(found, lambda x: T.let(named, lambda y: linked(x, y)))
+
+
+def link_figures(chunks: DataFrame, refs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, number, description, chunk_ids) from tables of chunks (id, chunk_id, text) and figures (id, number, description), which need not lie in one row."""
+    found = chunks.select(id_col, "chunk_id", F.explode(mentioned(F.col("text"))).alias("number"))
     linked = found.groupBy(id_col, "number").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
     return (
         refs.withColumn("number", figure_key(F.col("number")))

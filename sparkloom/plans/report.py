@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHOWN, RERANKED, TITLE = 10, 5, 60
-#: Analyses of a search in a report: the latest.
-ANALYSES = 20
+#: Rows of a search that are exported: the first candidates, reranked ones and charts, and the latest analyses.
+EXPORTED = {"candidates": 20, "reranked": 10, "charts": 5, "analyses": 20}
 
 
 def cell(c, length: int):
@@ -22,11 +22,24 @@ def table(df: DataFrame, group: str, order: str, head: list[str], row) -> DataFr
     return df.groupBy(group).agg(F.concat(F.lit(top), F.array_join(F.transform(rows, lambda x: x["r"]), "\n")).alias("body"))
 
 
+def exported(kind: str, rows: DataFrame) -> DataFrame:
+    """The rows of each search that are exported; of charts, which have a row for each element, those of the first documents."""
+    if kind == "charts":
+        first = exported_rows(rows.groupBy("search_id", "patent_number").agg(F.min("ord").alias("ord")), "ord", EXPORTED[kind])
+        return rows.join(first.select("search_id", "patent_number"), ["search_id", "patent_number"], "left_semi")
+    order = {"candidates": "stage1_rank", "reranked": "stage2_rank"}.get(kind)
+    return exported_rows(rows, order or F.desc("id"), EXPORTED[kind])
+
+
+def exported_rows(rows: DataFrame, order, n: int) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("search_id").orderBy(order))).filter(F.col("_n") <= n).drop("_n")
+
+
 def markdown(project: DataFrame, searches: DataFrame, candidates: DataFrame, reranked: DataFrame, charts: DataFrame, analyses: DataFrame) -> DataFrame:
     """(project_id, text): the report of each project. ``searches`` has project_id; charts hold a row for each element with its verdict."""
     bar = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
     cand = table(
-        candidates.filter(F.col("stage1_rank") <= SHOWN),
+        exported("candidates", candidates).filter(F.col("stage1_rank") <= SHOWN),
         "search_id",
         "stage1_rank",
         ["rank", "number", "title", "source", "RRF"],
@@ -34,17 +47,17 @@ def markdown(project: DataFrame, searches: DataFrame, candidates: DataFrame, rer
     ).withColumnRenamed("body", "cand")
     threat = lambda c: F.when(F.col(c), "HIGH").otherwise("LOW")
     rer = table(
-        reranked.filter(F.col("stage2_rank") <= RERANKED),
+        exported("reranked", reranked).filter(F.col("stage2_rank") <= RERANKED),
         "search_id",
         "stage2_rank",
         ["rank", "number", "score", "novelty", "inventiveness"],
         bar(F.col("stage2_rank").cast("string"), F.col("patent_number"), F.format_string("%.3f", F.col("weighted_score").cast("double")), threat("novelty_threat"), threat("inventive_threat")),
     ).withColumnRenamed("body", "rer")
     cht = table(
-        charts, "search_id", "ord", ["number", "element", "prior art", "verdict"], bar(F.col("patent_number"), cell(F.col("element"), 50), cell(F.col("prior_art"), 60), F.col("verdict"))
+        exported("charts", charts), "search_id", "ord", ["number", "element", "prior art", "verdict"], bar(F.col("patent_number"), cell(F.col("element"), 50), cell(F.col("prior_art"), 60), F.col("verdict"))
     ).withColumnRenamed("body", "cht")
-    latest = analyses.withColumn("_n", F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("id")))).filter(F.col("_n") <= ANALYSES)
-    ana = latest.groupBy("search_id").agg(
+    recent = exported("analyses", analyses)
+    ana = recent.groupBy("search_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.concat_ws("\n\n", F.concat(F.lit("##### "), F.col("strategy")), F.substring("result", 1, 500)).alias("t")))), lambda x: x["t"]), "\n\n").alias("ana")
     )
     s = searches.select("project_id", F.col("id").alias("search_id"), "query", "strategy", "results_count")
@@ -67,7 +80,7 @@ def markdown(project: DataFrame, searches: DataFrame, candidates: DataFrame, rer
 
 def bundle(project: DataFrame, workspace: DataFrame, searches: DataFrame, analyses: DataFrame) -> DataFrame:
     """(project_id, json): project, workspace, searches and their analyses."""
-    a = analyses.groupBy("search_id").agg(F.array_sort(F.collect_list(F.struct("id", "strategy", "result"))).alias("analyses"))
+    a = exported("analyses", analyses).groupBy("search_id").agg(F.array_sort(F.collect_list(F.struct("id", "strategy", "result"))).alias("analyses"))
     s = searches.join(a, searches.id == a.search_id, "left").groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("id", "query", "strategy", "analyses"))).alias("searches"))
     w = workspace.select("project_id", F.struct("claim_text", "structure", "nodes", "edges").alias("workspace"))
     p = project.select(F.col("id").alias("project_id"), F.struct("id", "name", "description").alias("project"))

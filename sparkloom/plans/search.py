@@ -75,14 +75,15 @@ def shown_score(weighted, rrf):
 
 def analyse(docs: DataFrame, year_now: int, id_col: str = "doc_id", text_col: str = "text", rule: str = "compat"):
     """Sections, chunks, claims, figures and dates of documents: a dict of DataFrames."""
-    sections = staging.stage(structure.sections(docs, id_col, text_col, rule))
-    chunk = chunking.chunks(sections, id_col)
-    body = structure.claims_text(sections, id_col)
-    split = body.select(id_col, F.posexplode(structure.split_claims(F.col("text"))).alias("pos", "text"))
+    cut = docs.select(id_col, structure.section_array(F.col(text_col), rule).alias("s"))
+    parsed = staging.stage(cut.withColumn("c", chunking.section_chunks(F.col("s"))))
+    claims_of = F.array_join(F.transform(F.filter("s", lambda x: x["type"] == "claims"), lambda x: x["text"]), "\n")
+    split = parsed.filter(claims_of != "").select(id_col, F.posexplode(structure.split_claims(claims_of)).alias("pos", "text"))
     split = split.select(id_col, (F.col("pos") + 1).alias("num"), "text", claims.parent(F.col("text")).alias("parent"))
-    described = sections.filter("type = 'figures_description'").select(id_col, F.explode(structure.figures(F.col("text"))).alias("f")).select(id_col, "f.*")
+    described = F.array_join(F.transform(F.filter("s", lambda x: x["type"] == "figures_description"), lambda x: x["text"]), "\n")
+    figures = parsed.select(id_col, F.inline(structure.figure_links(F.col("c"), structure.figures(described))))
     heads = docs.select(id_col, structure.title(F.col(text_col)).alias("title"), structure.document_date(F.col(text_col), year_now).alias("date"))
-    return {"sections": sections, "chunks": chunk, "claims": split, "figures": structure.link_figures(chunk, described, id_col), "heads": heads}
+    return {"sections": parsed.select(id_col, F.inline("s")), "chunks": parsed.select(id_col, F.inline("c")), "claims": split, "figures": figures, "heads": heads}
 
 
 def evidence(chunk_table: DataFrame, claim_table: DataFrame, top_k: int = 8) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions import scoring as S
-from ..operators import claims
+from ..operators import claims, ranking
 
 #: Phases of a search in their order.
 PHASES = ("parse", "fetch", "score", "rerank", "chart", "done")
@@ -71,9 +71,11 @@ def claim_counts(table: DataFrame, parent: str = "parent", domain: str = "techni
 
 
 def claim_summary(nodes: DataFrame, reranked: DataFrame, charts: DataFrame) -> DataFrame:
-    """Of each node: its best reranked document and the risks of that document's chart."""
+    """Of each node: its best reranked document and the risks of that document's first chart (by ``chart_ord``, if there is one, else by its risks)."""
     best = reranked.filter("stage2_rank = 1").select("node", F.col("patent_number").alias("top"), "weighted_score")
-    risks = charts.select("node", F.col("patent_number").alias("top"), "novelty_risk", "inventiveness_risk").dropDuplicates(["node", "top"])
+    risks = F.struct("novelty_risk", "inventiveness_risk")
+    order = F.struct("chart_ord", risks) if "chart_ord" in charts.columns else risks
+    risks = charts.groupBy("node", F.col("patent_number").alias("top")).agg(F.min_by(risks, order).alias("r")).select("node", "top", "r.*")
     return nodes.join(best, "node", "left").join(risks, ["node", "top"], "left")
 
 
@@ -116,10 +118,9 @@ def with_enriched(nodes: DataFrame, enriched: DataFrame, num: str = "num", order
 
 
 def usage(df: DataFrame, by: list[str], order: list[str], tokens_in: str = "input_tokens", tokens_out: str = "output_tokens") -> DataFrame:
-    """Running totals of tokens and their cost."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    a, b = F.sum(tokens_in).over(w), F.sum(tokens_out).over(w)
-    return df.select("*", a.alias("total_in"), b.alias("total_out"), F.round(a * S.PRICE_IN + b * S.PRICE_OUT, 6).alias("dollars"))
+    """Running totals of tokens and their cost, whatever share of the rows one key has."""
+    totals = ranking.running_sums(df, by, order, {"total_in": tokens_in, "total_out": tokens_out})
+    return totals.withColumn("dollars", F.round(F.col("total_in") * S.PRICE_IN + F.col("total_out") * S.PRICE_OUT, 6))
 
 
 def progress_percent(phase: str, done: int = 0, total: int = 0) -> int:

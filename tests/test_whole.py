@@ -3,7 +3,11 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
+from sparkloom.operators import chunking, claims, structure
 from sparkloom.plans.catalog import QUERIES
+from sparkloom.sources import replies as sources
 
 MARK = r"[（(][가-힣a-zA-Z0-9][)）]|[0-9]+\.\s|[A-Z]\.\s|[-•·]\s"
 CLAIMS = [
@@ -46,21 +50,21 @@ def write(spark, folder, table, rows, schema):
 def test_elements_of_all_rows(spark, tmp_path):
     write(spark, tmp_path, "documents", [*enumerate(CLAIMS), (99, None)], "doc_id long, text string")
     write(spark, tmp_path, "benchmark", list(enumerate(CLAIMS)), "item_id long, text string")
-    got = {r.doc_id: (r.n, r.h, r.last_id) for r in QUERIES["claim_elements_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n, r.h, r.last_id) for r in QUERIES["claim_elements"](spark, str(tmp_path)).collect()}
     want = {k: plain_elements(t) for k, t in enumerate(CLAIMS)}
     assert got.pop(99) == (1, md5(""), "A")
     assert got == {k: (len(e), md5("|".join(x for _, x in e)), e[-1][0]) for k, e in want.items()}
-    got = {r.item_id: r.q for r in QUERIES["query_elements_all"](spark, str(tmp_path)).collect()}
+    got = {r.item_id: r.q for r in QUERIES["query_elements"](spark, str(tmp_path)).collect()}
     assert got == {k: " ".join([t, *(x for _, x in want[k])]) for k, t in enumerate(CLAIMS)}
 
 
 def test_elements_of_the_driver_tables(spark):
     d = "/root/testdata/sf0.01"
-    got = {r.doc_id: (r.n, r.h) for r in QUERIES["claim_elements_all"](spark, d).collect()}
+    got = {r.doc_id: (r.n, r.h) for r in QUERIES["claim_elements"](spark, d).collect()}
     docs = {r.doc_id: plain_elements(r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     assert got == {k: (len(e), md5("|".join(x for _, x in e))) for k, e in docs.items()}
-    assert len(got) == QUERIES["claim_elements"](spark, d).count() + 10
-    assert QUERIES["query_elements_all"](spark, d).count() == spark.read.parquet(f"{d}/benchmark.parquet").count()
+    assert len(got) == 1000
+    assert QUERIES["query_elements"](spark, d).count() == spark.read.parquet(f"{d}/benchmark.parquet").count()
 
 
 MANY = "\n".join(f"Claim {k}. The frame of claim {k - 1}, wherein part {k} is red." for k in range(2, 400))
@@ -100,16 +104,50 @@ def test_text_operators_over_all_documents(spark, tmp_path):
 
 
 def test_literal_rows(spark):
-    """The rows of the queries that read no table."""
-    rows = lambda name, *cols: sorted(tuple(r[c] for c in cols) for r in QUERIES[name](spark, "none").collect())
-    assert rows("claim_dependency", "num", "parent")[4:] == [(5, 3), (6, 12), (7, 2)]
-    assert [k for _, k in rows("section_headings", "k", "kind")] == ["abstract", "abstract", None, "technical_field", "background", None, "solution", None]
-    assert rows("kr_dates", "k", "date") == [(1, "2024-01-05"), (2, "2024-01-05"), (3, "2024"), (4, None)]
-    assert rows("inverted_text", "k", "text") == [(1, "a b a")]
-    assert [x for _, x in rows("document_dates", "k", "date")] == ["2019-03-07", "2011-12-31", "2001-02-03", None, "1999-09-09"]
-    assert rows("split_claims", "k", "num", "text") == [(1, 1, "A frame."), (1, 2, "The frame of claim 1, wherein it is red."), (2, 1, "one"), (2, 2, "two"), (3, 1, "no marks")]
-    assert rows("figure_links", "number", "chunk_ids") == [("FIG. 2", "c2"), ("FIG. 2a", "c1"), ("FIG. 9", ""), ("도 1", "c1")]
-    assert rows("rerank_replies", "id", "weighted_score") == [("d1", 70), ("d2", 0), ("d3", 100)]
+    """Single rows of operators that queries apply to whole tables."""
+
+    def rows(values, make):
+        df = spark.createDataFrame(list(enumerate(values, 1)), "k int, t string")
+        return [tuple(r)[1:] for r in df.select("k", *make(F.col("t"))).orderBy("k").collect()]
+
+    deps = ["The device of claim 1, wherein x", "according to claim 2 comprising y", "제3항에 있어서", "A device with a frame", "청구항 3에 따른 장치", "method of claim 12 of steel", "제2항 내지 제4항 중 어느 한 항에 있어서"]
+    assert [p for (p,) in rows(deps, lambda t: [claims.parent(t)])] == [1, None, 3, None, 3, 12, 2]
+    heads = ["SUMMARY OF THE INVENTION", "ABSTRACT", "Claim 1. x", "발명의", "[Background Art]", "plain sentence", "me", "x"]
+    assert [k for (k,) in rows(heads, lambda t: [structure.section_type(t)])] == ["abstract", "abstract", None, "technical_field", "background", None, "solution", None]
+    assert rows(["20240105", "2024-01-05", "2024", ""], lambda t: [sources.kr_date(t)]) == [("2024-01-05",), ("2024-01-05",), ("2024",), (None,)]
+    dates = ["(22) 2019.3.7 and 공개일 2020-01-02", "Filing Date: 2011/12/31", "(30) 1970.01.01 (22) 2001-2-3", "no date", "seen 1999-09-09"]
+    assert [x for (x,) in rows(dates, lambda t: [structure.document_date(t, 2026)])] == ["2019-03-07", "2011-12-31", "2001-02-03", None, "1999-09-09"]
+    texts = ["Claim 1. A frame.\nClaim 2. The frame of claim 1, wherein it is red.", "1. one\n2) two", " no marks "]
+    assert [x for (x,) in rows(texts, lambda t: [structure.split_claims(t)])] == [["A frame.", "The frame of claim 1, wherein it is red."], ["one", "two"], ["no marks"]]
+    index = spark.createDataFrame([({"b": [1], "a": [0, 3]},)], "m map<string,array<int>>")
+    assert index.select(sources.inverted_text(F.col("m"))).first()[0] == "a b a"
+
+
+def test_figures_within_a_row_and_between_tables(spark):
+    chunks = spark.createDataFrame([(1, "c1", "FIG.2a and 도1"), (1, "c2", "config 2 is"), (1, "c3", "Figure 1")], "doc_id int, chunk_id string, text string")
+    told = spark.createDataFrame([(1, "FIG. 2a shows a view\nFIG. 9 is unused")], "doc_id int, t string")
+    want = [("FIG. 2", "", "c2"), ("FIG. 2a", "a view", "c1"), ("FIG. 9", "unused", ""), ("도 1", "", "c1")]
+    refs = told.select("doc_id", F.inline(structure.figures(F.col("t"))))
+    between = structure.link_figures(chunks, refs).select("number", "description", F.array_join("chunk_ids", ",")).collect()
+    assert sorted(map(tuple, between)) == want
+    rows = chunks.groupBy("doc_id").agg(F.collect_list(F.struct("chunk_id", "text")).alias("c")).join(told, "doc_id")
+    within = rows.select(F.inline(structure.figure_links(F.col("c"), structure.figures(F.col("t"))))).select("number", "description", F.array_join("chunk_ids", ",")).collect()
+    assert sorted(map(tuple, within)) == want and [r.number for r in within] == ["도 1", "FIG. 2", "FIG. 2a", "FIG. 9"]
+
+
+def test_section_arrays_and_tables_agree(spark):
+    docs = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string")
+    secs = structure.sections(docs)
+    long = "One sentence of a text that goes on for a while. " * 80
+    more = spark.createDataFrame([(20, f"Abstract\n{long}\nClaims\nClaim 1. x\nBackground Art\n{long}\nplain")], "doc_id long, text string")
+    secs = secs.union(structure.sections(more))
+    within = docs.union(more).select("doc_id", F.inline(chunking.section_chunks(structure.section_array(F.col("text")))))
+    assert sorted(map(tuple, within.collect())) == sorted(map(tuple, chunking.chunks(secs).collect()))
+    got = [(r.ord, r.type, r.title) for r in secs.filter("doc_id = 20").orderBy("ord").collect()]
+    assert got == [(1, "abstract", "Abstract"), (2, "claims", "Claims"), (3, "background", "Background Art")]
+    # the claims move the places of what follows
+    starts = [r.charStart for r in within.filter("doc_id = 20").collect() if r.sectionType == "background"]
+    assert min(starts) == len(long.strip()) + len("Abstract") + 2 + len("Claim 1. x") + len("Claims") + 2
 
 
 def test_all_broad_terms(spark, tmp_path):
@@ -140,7 +178,7 @@ def test_whole_benchmark_and_all_customers(spark, tmp_path):
     assert got == {k: "kept" if k in (49, 50) else "replaced" for k in range(60)}
     write(spark, tmp_path, "orders", [(k, k % 30) for k in range(90)], "o_orderkey long, o_custkey long")
     write(spark, tmp_path, "customer", [(k, f"c{k}") for k in range(30)], "c_custkey long, c_name string")
-    got = {(r.o_orderkey, r.c_name) for r in QUERIES["project_searches_all"](spark, str(tmp_path)).collect()}
+    got = {(r.o_orderkey, r.c_name) for r in QUERIES["project_searches"](spark, str(tmp_path)).collect()}
     assert got == {(k, f"c{k % 30}") for k in range(90)}
 
 
