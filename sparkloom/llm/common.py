@@ -55,11 +55,15 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete the folder that ``fresh`` named and that holds ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the files of a staged frame that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stage_path).getParent()
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(df.sparkSession, df._stage_path)
 
 
 def trim() -> None:

@@ -4,7 +4,9 @@
    equal anchors at equal places, so strings meet under their anchor's hash. Consecutive strings with one anchor make a piece.
    A bitmap of fixed size, of hashes that occur twice or more, drops most anchors that occur once; a group-by finds those that documents share.
 2. Pieces of equal bytes are one class, whose first document is known from a group-by. In later documents all its strings are removed.
-3. Only classes under an anchor with several classes can share strings in part. Of these, a task builds suffix arrays: a piece
+3. Only classes under an anchor with several classes can share strings in part. Such a string holds the ``GRAM`` bytes after the anchor's
+   or those before it, so a class goes to two sub-keys, made of the anchor and either of these, and to no other classes of the anchor. Of a
+   sub-key with several classes a task builds a suffix array: a piece
    is the sequence of its 8-byte blocks, counted from the anchor, and suffixes of pieces with the same five blocks are
    neighbours. Among these the full strings are compared, and each class learns which of its strings an earlier document has.
 
@@ -12,8 +14,12 @@ Suffix arrays are built by grouping: suffixes with the same prefix form a group;
 each refining the groups of its members' previous smaller suffixes, until groups are those of equal Lyndon prefixes; one
 ascending pass then emits all groups in order. No renaming and no recursion.
 
-Scale: documents are written once as a bucketed table, so that joins with positions never shuffle texts again. A passage that a
-third of all documents share is a few aggregate rows a task in steps 1 and 2, and one class in step 3, where tasks work in batches of bounded size.
+Scale: documents are written once as a bucketed table in the shared folder, so that joins with positions never shuffle texts again. A passage that a
+third of all documents share is a few aggregate rows a task in steps 1 and 2, and one class in step 3. There, a stock phrase or a rule of dashes
+with many different neighbours is as many sub-keys; tasks work in batches of whole sub-keys, and the largest of these is that of the
+commonest 32 bytes among classes.
+
+An empty table gives an empty result; a very long text is worked on by itself, in memory proportional to its bytes; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -21,12 +27,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +48,7 @@ MAP_BITS = 29
 PIECE_WORDS = 1 << 14
 #: Pieces of an anchor, by hashed counts, beyond which it is dealt over salts.
 HOT = 5000
-#: Symbols of a suffix array, about; keys are never split between arrays.
+#: Symbols of a suffix array, about; sub-keys are never split between arrays.
 SYMBOLS = 200_000
 
 
@@ -253,32 +259,43 @@ def pieces(batches: Iterator[pa.RecordBatch], twice: np.ndarray, hot: dict[int,
             yield pa.RecordBatch.from_arrays([ids, at, key, digest, deal], names=["doc_id", "at", "key", "digest", "deal"])
 
 
-CONTENT = "key long, digest long, lo long, lead int, bytes binary"
+CONTENT = "sub long, key long, digest long, lo long, lead int, bytes binary"
+
+
+def sub_keys(key: int, lead: int, raw: bytes) -> list[int]:
+    """Hashes of a class's anchor with the ``GRAM`` bytes after it, and with those before it: 50 equal bytes hold one of these."""
+    out = []
+    for side, part in enumerate((raw[lead + GRAM : lead + 2 * GRAM], raw[max(0, lead - GRAM) : lead])):
+        if len(part) == GRAM:
+            x = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True) + bytes([side]) + part)
+            out.append(x - (1 << 64) if x >= 1 << 63 else x)
+    return out
 
 
 def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the listed pieces of documents."""
+    """Bytes of the listed pieces of documents, under each of their sub-keys."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
             raw = (r["text"] or "").encode()
             for p in r["wanted"]:
                 start, n, lead = p["at"] >> 12, p["at"] >> 6 & 63, p["at"] & 63
-                out.append((p["key"], p["digest"], r["doc_id"], lead, raw[start : start + n + WINDOW - 1]))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "digest", "lo", "lead", "bytes"])
+                piece = raw[start : start + n + WINDOW - 1]
+                out += [(sub, p["key"], p["digest"], r["doc_id"], lead, piece) for sub in sub_keys(p["key"], lead, piece)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["sub", "key", "digest", "lo", "lead", "bytes"])
 
 
-def earlier_strings(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """(key, digest, flags): for classes (key, digest, lo, lead, bytes) of some keys, a byte for each string: 1 if a class with a smaller lo has it."""
-    raw = b"".join(r[4] for r in rows)
+def earlier_strings(rows: list[tuple[int, int, int, bytes]]) -> list[bytes]:
+    """For classes (sub-key, lo, lead, bytes) of some sub-keys, a byte for each string: 1 if a class of its sub-key with a smaller lo has it."""
+    raw = b"".join(r[3] for r in rows)
     data = np.frombuffer(raw, np.uint8)
-    size = np.array([len(r[4]) for r in rows])
+    size = np.array([len(r[3]) for r in rows])
     begin = np.cumsum(size) - size
-    lead = np.array([r[3] for r in rows])
+    lead = np.array([r[2] for r in rows])
     keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    lo = np.array([r[2] for r in rows], np.int64)
+    lo = np.array([r[1] for r in rows], np.int64)
     up, down = textvec.powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(textvec._BYTE[data] * up[: len(data)], out=total[1:])
@@ -298,7 +315,7 @@ def earlier_strings(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[
     kept = np.flatnonzero(repeats & (np.bincount(stretch)[stretch] >= RUN)) if len(q) else np.zeros(0, np.int64)
     flags = [np.zeros(s - WINDOW + 1, np.uint8) for s in size]
     if not len(kept):
-        return [(r[0], r[1], f.tobytes()) for r, f in zip(rows, flags, strict=True)]
+        return [f.tobytes() for f in flags]
     # one text: stretches with 1 between them and 0 at the end
     gap = np.cumsum(np.append(0, stretch[kept][1:] != stretch[kept][:-1]))
     place = np.arange(len(kept)) + gap
@@ -334,37 +351,37 @@ def earlier_strings(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[
             x, y = int(a[k]), int(a[least[k]])
             if raw[x : x + WINDOW] == raw[y : y + WINDOW]:
                 flags[piece[k]][o[k]] = 1
-    return [(r[0], r[1], f.tobytes()) for r, f in zip(rows, flags, strict=True)]
-
-
-def may_share(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int, bytes]]:
-    """Classes that have the 16 bytes before or after the anchor's 16 in common with another of their key: 50 equal bytes hold one of these."""
-    sides = []
-    for key, _, _, lead, raw in rows:
-        after, before = raw[lead + GRAM : lead + 2 * GRAM], raw[max(0, lead - GRAM) : lead]
-        sides.append(((key, 0, after) if len(after) == GRAM else None, (key, 1, before) if len(before) == GRAM else None))
-    count = Counter(s for pair in sides for s in pair if s)
-    return [r for r, pair in zip(rows, sides, strict=True) if any(s and count[s] > 1 for s in pair)]
+    return [f.tobytes() for f in flags]
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes sorted by key, a batch of whole keys at a time, through suffix arrays."""
+    """Classes sorted by sub-key, a batch of whole sub-keys at a time, through suffix arrays; a sub-key of one class is passed over."""
     held: list = []
     symbols = 0
+    group: list = []
 
     def made():
-        rows = may_share(held)
-        out = [x for x in earlier_strings(rows) if any(x[2])] if rows else []
+        flags = earlier_strings([(r[0], r[3], r[4], r[5]) for r in held])
+        out = [(r[1], r[2], f) for r, f in zip(held, flags, strict=True) if any(f)]
         cols = list(zip(*out, strict=True)) if out else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["key", "digest", "flags"])
 
+    def ended():
+        nonlocal symbols
+        if len(group) > 1:
+            held.extend(group)
+            symbols += sum(len(r[5]) for r in group) // BLOCK
+        group.clear()
+
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "digest", "lo", "lead", "bytes")), strict=True):
-            if symbols >= SYMBOLS and r[0] != held[-1][0]:
-                yield made()
-                held, symbols = [], 0
-            held.append(r)
-            symbols += len(r[4]) // BLOCK
+        for r in zip(*(batch.column(c).to_pylist() for c in ("sub", "key", "digest", "lo", "lead", "bytes")), strict=True):
+            if group and r[0] != group[0][0]:
+                ended()
+                if symbols >= SYMBOLS:
+                    yield made()
+                    held, symbols = [], 0
+            group.append(r)
+    ended()
     if held:
         yield made()
 
@@ -409,16 +426,17 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     source = common.texts(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    name = f"sparkloom_{uuid.uuid4().hex}"
+    name, path = f"sparkloom_{uuid.uuid4().hex}", f"{common.fresh(spark)}/texts"
     spread = source if source.rdd.getNumPartitions() * n <= 20_000 else source.repartition(n, "doc_id")
     try:
-        spread.write.option("compression", "zstd").bucketBy(n, "doc_id").saveAsTable(name)
+        spread.write.option("compression", "zstd").option("path", path).bucketBy(n, "doc_id").saveAsTable(name)
         with common.Stages() as done:
             hits = repeated_strings(source, spark.table(name), n, done)
             out = spark.table(name).join(hits, "doc_id", "left").select("doc_id", "text", "hits")
             return common.stage(out.mapInArrow(common.tidy(lambda it: cut(it, with_text)), RESULT + ", kept binary" * with_text), "cut")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        common.drop_path(spark, path)
 
 
 def repeated_strings(source: DataFrame, table: DataFrame, n: int, done: common.Stages) -> DataFrame:
@@ -459,10 +477,11 @@ def repeated_strings(source: DataFrame, table: DataFrame, n: int, done: common.S
     start, count = F.shiftright("at", 12).cast("int").alias("start"), F.shiftright("at", 6).bitwiseAND(63).cast("int").alias("n")
     places = found.filter("mixed and first").groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "at")).alias("wanted"))
     raw = table.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(common.tidy(contents), CONTENT)
-    solved = raw.repartition(n, "key").sortWithinPartitions("key").mapInArrow(common.tidy(resolve), "key long, digest long, flags binary")
+    solved = raw.repartition(n, "sub").sortWithinPartitions("sub").mapInArrow(common.tidy(resolve), "key long, digest long, flags binary")
     solved = done.stage(solved, "solved")
     later = found.filter("doc_id > lo").select("doc_id", start, count)
     own = found.filter("mixed and doc_id = lo").join(solved, ["key", "digest"])
+    # a string that both sub-keys of its class tell of is told twice, which does not matter
     one = own.select("doc_id", start, F.posexplode(F.split(F.hex("flags"), "(?<=\\G..)")).alias("j", "f")).filter("f = '01'")
     hits = later.unionByName(one.select("doc_id", (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("n")))
     return done.stage(hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("hits")), "hits")

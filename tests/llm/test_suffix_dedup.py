@@ -72,3 +72,35 @@ def test_against_brute_force(spark, monkeypatch, hot):
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), True).count() == 0
+
+
+def test_an_anchor_with_many_different_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SYMBOLS", 300)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    phrase = "=" * 3 + "one stock phrase that all have" + "=" * 3
+    lefts, rights = [word(40) for _ in range(6)], [word(40) for _ in range(6)]
+    docs = []
+    for k in range(2500):
+        left = rng.choice(lefts) if rng.random() < 0.01 else word(40)
+        right = rng.choice(rights) if rng.random() < 0.01 else word(40)
+        docs.append((k, left[rng.randrange(20) :] + phrase + right[: 40 - rng.randrange(20)]))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+    want = brute(docs)
+    assert got == want and sum(x[1] > 0 for x in want.values()) > 20
+
+
+def test_sub_keys():
+    raw = b"b" * 20 + b"anchor-of-16-byt" + b"a" * 20
+    one, two = suffix_dedup.sub_keys(-5, 20, raw)
+    assert suffix_dedup.sub_keys(-5, 16, raw[4:]) == [one, two] and suffix_dedup.sub_keys(-5, 20, raw[:50]) == [two]
+    assert suffix_dedup.sub_keys(-5, 15, raw[5:]) == [one] and suffix_dedup.sub_keys(6, 20, raw) != [one, two]
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    df = spark.createDataFrame([(1, text), (2, "x" + text[1000:2000] + "y")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == {1: 0, 2: 1000}
