@@ -778,7 +778,7 @@ def _(spark, d):
 _CHART_SQL = """WITH e AS (SELECT l_orderkey, l_linenumber AS k, CASE WHEN l_linenumber = 1 THEN 3 WHEN l_linenumber < 4 THEN 2 ELSE 1 END AS importance, CASE l_orderkey % 3 WHEN 0 THEN (l_partkey % 100 + 0.37e0) / 100e0 WHEN 1 THEN CASE WHEN l_linenumber % 2 = 1 THEN (l_partkey % 100 + 0.37e0) / 100e0 ELSE 0e0 END ELSE 0e0 END AS sim FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL)),
 v AS (SELECT *, CASE WHEN l_orderkey % 3 = 1 AND k = 1 THEN 'PARTIAL' WHEN sim >= 0.75 THEN 'COVERED' WHEN sim >= 0.4 THEN 'PARTIAL' ELSE 'NOT_COVERED' END AS verdict FROM e),
 o AS (SELECT l_orderkey, sum(sim * importance) / sum(importance) AS s, string_agg(k || ':' || verdict, ',' ORDER BY k) AS verdicts, CASE l_orderkey % 3 WHEN 0 THEN 'why' WHEN 1 THEN CASE WHEN min(k) % 2 = 1 THEN 'told' ELSE '' END ELSE '(analysis failed)' END AS reasoning FROM v GROUP BY l_orderkey)
-SELECT l_orderkey, round(s, 6) AS similarity, verdicts, reasoning, CASE WHEN s >= 0.75 THEN 'HIGH' WHEN s >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS novelty_risk, CASE WHEN s >= 0.55 THEN 'HIGH' WHEN s >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS inventiveness_risk FROM o"""
+SELECT l_orderkey, round(s, 9) AS similarity, verdicts, reasoning, CASE WHEN s >= 0.75 THEN 'HIGH' WHEN s >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS novelty_risk, CASE WHEN s >= 0.55 THEN 'HIGH' WHEN s >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS inventiveness_risk FROM o"""
 
 
 @query("charts_of_orders", _CHART_SQL)
@@ -798,7 +798,7 @@ def _(spark, d):
     )
     made = replies.charts(inputs)
     verdicts = F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["id"], r["verdict"])), ",")
-    return made.select("l_orderkey", F.round("overall_similarity", 6).alias("similarity"), verdicts.alias("verdicts"), F.get("rows", 0)["reasoning"].alias("reasoning"), "novelty_risk", "inventiveness_risk")
+    return made.select("l_orderkey", F.round("overall_similarity", 9).alias("similarity"), verdicts.alias("verdicts"), F.get("rows", 0)["reasoning"].alias("reasoning"), "novelty_risk", "inventiveness_risk")
 
 
 # ---- store -----------------------------------------------------------------------------------------------------------
