@@ -5,8 +5,10 @@ trained together by stochastic gradient descent in numpy on a bounded sample. A
 held-back sample rows calibrates the probability, and a prediction below ``min_confidence`` is
 rejected. For prediction the two linear layers fold into one table of a few floats a bucket.
 
-Scale: training looks at most ``SAMPLE`` rows of a language (drawn by hash, so alike at every size);
-prediction is one pass over whole texts without a shuffle.
+Scale: training looks at about ``SAMPLE`` rows of a language (drawn by hash, so alike at every size), fewer where there are so many
+languages that ``ROWS`` are reached, and at a window of each text, drawn anywhere in it, so that all windows together have at
+most ``CHARS`` characters: that is what the driver holds. Prediction is one pass over whole texts without a shuffle; a very long text is
+worked on by itself.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from pyspark.sql import functions as F
 
 from . import common, textvec
 
-#: Labelled rows of each language that the classifier is fitted on, about, and characters of each: the bounds of the sample.
+#: The bounds of the sample: labelled rows of a language, about, and of all languages, and characters of all.
 SAMPLE = 1200
-SAMPLE_CHARS = 50_000
+ROWS = 100_000
+CHARS = 24_000_000
 BUCKET_BITS = 16
 DIM = 16
 EPOCHS = 5
@@ -164,21 +167,28 @@ def fit(rows: list[tuple[str, str]], seed: int = 11) -> tuple[list[str], np.ndar
     return languages, emb, w, bias, float(grid[int(np.argmin(loss))])
 
 
-def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on rows with a language whose ``crc32(doc_id) mod 5`` is not 0, about ``sample`` of each language, every language."""
+def sampled(docs: DataFrame, done: common.Stages, sample: int = SAMPLE, rows: int = ROWS, chars: int = CHARS) -> DataFrame:
+    """(text, lang, u): windows of about ``sample`` texts of each language with ``crc32(doc_id) mod 5`` not 0, in drawn order ``u``.
+
+    At most ``rows`` windows, about, and ``chars`` characters in all, whatever the number of languages and the length of texts.
+    """
     usable = docs.filter("lang is not null and text is not null and doc_id is not null").filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
-    counts = usable.groupBy("lang").count().collect()
-    if not counts:
-        return train([])
-    share = F.when(F.lit(False), 1.0)
-    for r in counts:
-        if r["count"] > sample:
-            share = share.when(F.col("lang") == r["lang"], sample / r["count"])
-    share = share.otherwise(1.0)
+    counts = done.stage(usable.select(F.col("lang").alias("of")).groupBy("of").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    each = max(1, min(sample, rows // max(1, languages)))
+    size = max(1, chars // max(1, each * languages))
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = usable.filter(draw < share).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", draw.alias("u"))
-    rows = drawn.orderBy("u", "lang", F.xxhash64("text")).limit(2 * sample * len(counts)).collect()
-    model = train([(r.text, r.lang) for r in rows])
+    # one row a language, broadcast if counted as small: texts are not shuffled by language
+    drawn = usable.select("doc_id", "text", "lang").join(common.small(counts), F.col("lang") == F.col("of")).filter(draw * F.col("n") < each)
+    start = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.greatest(F.lit(1), F.length("text") - F.lit(size) + 1)) + 1
+    return drawn.select(F.substr("text", start.cast("int"), F.lit(size)).alias("text"), "lang", draw.alias("u"))
+
+
+def fit_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Train on a bounded sample of the labelled rows whose ``crc32(doc_id) mod 5`` is not 0, of every language."""
+    with common.Stages() as done:
+        rows = [(r.text, r.lang) for r in sampled(docs, done, sample).sort("u", "lang", F.xxhash64("text")).collect()]
+    model = train(rows)
     del rows
     common.trim()
     return model

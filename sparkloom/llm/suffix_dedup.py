@@ -5,8 +5,8 @@
    A bitmap of fixed size, of hashes that occur twice or more, drops most anchors that occur once; a group-by finds those that documents share.
 2. Pieces of equal bytes are one class, whose first document is known from a group-by. In later documents all its strings are removed.
 3. Only classes under an anchor with several classes can share strings in part. Such a string holds the ``GRAM`` bytes after the anchor's
-   or those before it, so a class goes to two sub-keys, made of the anchor and either of these, and to no other classes of the anchor. Of a
-   sub-key with several classes a task builds a suffix array: a piece
+   or those before it, so only classes that have either of these in common are looked at; those of an anchor with more than ``CROWDED`` classes
+   are dealt by them, to two sub-keys each, and not by the anchor. Of these a task builds a suffix array: a piece
    is the sequence of its 8-byte blocks, counted from the anchor, and suffixes of pieces with the same five blocks are
    neighbours. Among these the full strings are compared, and each class learns which of its strings an earlier document has.
 
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,8 @@ MAP_BITS = 29
 PIECE_WORDS = 1 << 14
 #: Pieces of an anchor, by hashed counts, beyond which it is dealt over salts.
 HOT = 5000
+#: Classes of an anchor beyond which they are dealt by sub-keys.
+CROWDED = 256
 #: Symbols of a suffix array, about; sub-keys are never split between arrays.
 SYMBOLS = 200_000
 
@@ -273,7 +276,7 @@ def sub_keys(key: int, lead: int, raw: bytes) -> list[int]:
 
 
 def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the listed pieces of documents, under each of their sub-keys."""
+    """Bytes of the listed pieces of documents, under their anchor or, where it is crowded, under each of their sub-keys."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
@@ -281,7 +284,8 @@ def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p in r["wanted"]:
                 start, n, lead = p["at"] >> 12, p["at"] >> 6 & 63, p["at"] & 63
                 piece = raw[start : start + n + WINDOW - 1]
-                out += [(sub, p["key"], p["digest"], r["doc_id"], lead, piece) for sub in sub_keys(p["key"], lead, piece)]
+                subs = sub_keys(p["key"], lead, piece) if p["crowded"] else [p["key"]]
+                out += [(sub, p["key"], p["digest"], r["doc_id"], lead, piece) for sub in subs]
         cols = list(zip(*out, strict=True)) if out else [[]] * 6
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["sub", "key", "digest", "lo", "lead", "bytes"])
@@ -369,8 +373,11 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def ended():
         nonlocal symbols
         if len(group) > 1:
-            held.extend(group)
-            symbols += sum(len(r[5]) for r in group) // BLOCK
+            sides = [sub_keys(r[1], r[4], r[5]) for r in group]
+            count = Counter(s for pair in sides for s in pair)
+            kept = [r for r, pair in zip(group, sides, strict=True) if any(count[s] > 1 for s in pair)]
+            held.extend(kept)
+            symbols += sum(len(r[5]) for r in kept) // BLOCK
         group.clear()
 
     for batch in batches:
@@ -475,7 +482,10 @@ def repeated_strings(source: DataFrame, table: DataFrame, n: int, done: common.S
         rows = rows.select("doc_id", "at", "key", "digest", "mixed", F.col("head.doc_id").alias("lo"), (F.struct("doc_id", "at") == F.col("head")).alias("first"))
         found = found.filter("not hot").select(*rows.columns).unionByName(done.stage(rows, "rows"))
     start, count = F.shiftright("at", 12).cast("int").alias("start"), F.shiftright("at", 6).bitwiseAND(63).cast("int").alias("n")
-    places = found.filter("mixed and first").groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "at")).alias("wanted"))
+    classes = found.filter("mixed and first").select("doc_id", "key", "digest", "at")
+    crowded = done.stage(classes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("key", F.lit(True).alias("crowded")), "crowded")
+    classes = classes.join(common.small(crowded), "key", "left").withColumn("crowded", F.col("crowded").isNotNull())
+    places = classes.groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "at", "crowded")).alias("wanted"))
     raw = table.join(places, "doc_id").select("doc_id", "text", "wanted").mapInArrow(common.tidy(contents), CONTENT)
     solved = raw.repartition(n, "sub").sortWithinPartitions("sub").mapInArrow(common.tidy(resolve), "key long, digest long, flags binary")
     solved = done.stage(solved, "solved")

@@ -74,8 +74,10 @@ def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), True).count() == 0
 
 
-def test_an_anchor_with_many_different_neighbours(spark, monkeypatch):
+@pytest.mark.parametrize("crowded", [256, 10_000])
+def test_an_anchor_with_many_different_neighbours(spark, monkeypatch, crowded):
     monkeypatch.setattr(suffix_dedup, "SYMBOLS", 300)
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
     rng = random.Random(8)
     word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
     phrase = "=" * 3 + "one stock phrase that all have" + "=" * 3
