@@ -41,10 +41,20 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def _is_scan(plan) -> bool:
+    """Whether a physical plan is projections and filters over one scan of files."""
+    while True:
+        name = plan.getClass().getSimpleName()
+        if name in ("FileSourceScanExec", "BatchScanExec"):
+            return True
+        if name not in ("ProjectExec", "FilterExec", "ColumnarToRowExec", "InputAdapter", "WholeStageCodegenExec"):
+            return False
+        plan = plan.children().apply(0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a scan over all cores, where it has fewer partitions than these; others, and what is no plain scan, as they are."""
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    if "Scan" not in plan or any(w in plan for w in ("Exchange", "Join", "Aggregate", "Window", "Sort", "Limit", "Python", "Arrow", "Pandas")):
+    if not _is_scan(df._jdf.queryExecution().sparkPlan()):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

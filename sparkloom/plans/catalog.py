@@ -13,8 +13,8 @@ from ..functions import text as T
 from ..operators import bm25, candidates, chunking, claims, diff, fusion, inverted, ranking, replies, staging, store, structure, tfidf
 from ..sources import replies as sources
 from ..sources import services
-from ..streaming import deltas
-from . import providers, workspace
+from ..streaming import deltas, ordered
+from . import providers, search, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -411,10 +411,10 @@ def _parts_sql(table: str, key: str) -> str:
     return f"""a AS (SELECT {key}, {_trimmed("coalesce(text, '')")} AS t FROM {table}),
 c AS (SELECT {key}, t, list_filter(string_split_regex({cut}, '[\\x01\\x02]'), lambda p: {_trimmed('p')} <> '') AS listed,
 list_filter(string_split(regexp_replace(regexp_replace(t, '(?i),{_WS}*({words})', chr(1) || '\\1', 'g'), '[;；]', chr(1), 'g'), chr(1)), lambda p: length({_trimmed('p')}) > 10) AS plain FROM a),
-n AS (SELECT {key}, t, CASE WHEN len(listed) > 1 THEN list_filter(list_transform(listed, lambda p, i: struct_pack(id := coalesce(nullif(regexp_extract(p, '{name}', 1), ''), nullif(regexp_extract(p, '{name}', 2), ''), chr(64 + i::INT)),
+n AS (SELECT {key}, t, len(listed) > 1 AS is_list, CASE WHEN len(listed) > 1 THEN list_filter(list_transform(listed, lambda p, i: struct_pack(id := coalesce(nullif(regexp_extract(p, '{name}', 1), ''), nullif(regexp_extract(p, '{name}', 2), ''), chr(64 + i::INT)),
 text := {_trimmed(f"regexp_replace(p, '{name}', '')")})), lambda x: x.text <> '')
 ELSE list_transform(plain, lambda p, i: struct_pack(id := CASE WHEN i <= 26 THEN chr(64 + i::INT) ELSE i::VARCHAR END, text := {_trimmed('p')})) END AS f FROM c),
-e AS (SELECT {key}, CASE WHEN len(f) > 0 THEN list_transform(f, lambda x: x.text) ELSE [t] END AS l, CASE WHEN len(f) > 0 THEN f[-1].id ELSE 'A' END AS last_id FROM n)"""
+e AS (SELECT {key}, CASE WHEN len(f) > 0 THEN list_transform(f, lambda x: x.text) ELSE [t] END AS l, CASE WHEN len(f) > 0 THEN f[-1].id ELSE 'A' END AS last_id, is_list AND len(f) > 0 AS is_list FROM n)"""
 
 
 @query("claim_elements", f"WITH {_parts_sql('documents', 'doc_id')} SELECT doc_id, len(l)::BIGINT AS n, md5(array_to_string(l, '|')) AS h, last_id FROM e")
@@ -460,18 +460,129 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", claims.technical_field(F.col("text")).alias("field"))
 
 
-@query("relevant_passages")
+_KEYWORDS = f"""list_filter(string_split_regex(regexp_replace(lower(text), '[^A-Za-z0-9_가-힣\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2 AND x NOT IN ({_KSTOP}))"""
+
+
+@query(
+    "relevant_passages",
+    f"""WITH RECURSIVE k AS (SELECT list_distinct({_KEYWORDS}) AS k FROM benchmark WHERE item_id = 0),
+d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
+pa AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n{{2,}}'), lambda x: {_trimmed("replace(x, chr(10), ' ')")}), lambda x: length(x) >= 80) AS l FROM d),
+sc AS (SELECT doc_id, p, pos, len(list_filter(k, lambda w: contains(lower(p), w))) AS score FROM (SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) AS pos FROM pa), k),
+od AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS i FROM sc WHERE score > 0),
+gr AS (SELECT doc_id, i, pos, p, length(p) <= 1500 AS taken, CASE WHEN length(p) <= 1500 THEN length(p) + 2 ELSE 0 END AS used FROM od WHERE i = 1
+UNION ALL SELECT od.doc_id, od.i, od.pos, od.p, used + length(od.p) <= 1500, CASE WHEN used + length(od.p) <= 1500 THEN used + length(od.p) + 2 ELSE used END FROM gr JOIN od ON od.doc_id = gr.doc_id AND od.i = gr.i + 1),
+ag AS (SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY pos) AS t FROM gr WHERE taken GROUP BY doc_id)
+SELECT doc_id, md5(coalesce(t, {_trimmed('substr(text, 1, 1500)')})) AS h FROM d LEFT JOIN ag USING (doc_id)""",
+)
 def _(spark, d):
     claim = item(spark, d, 0)
     text = F.regexp_replace("text", "\n", "\n\n")
     return read(spark, d, "documents").select("doc_id", F.md5(chunking.relevant_passages(text, F.lit(claim), 1500)).alias("h"))
 
 
+@query("document_titles", f"SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_trimmed('x')}), lambda x: length(x) > 5)[1] AS title FROM documents")
+def _(spark, d):
+    return read(spark, d, "documents").select("doc_id", structure.title(F.col("text")).alias("title"))
+
+
+@query(
+    "search_queries",
+    f"""WITH {_parts_sql('benchmark', 'item_id')}, q AS (SELECT item_id, list_concat([array_to_string(CASE WHEN is_list THEN l[1:3] ELSE l END, ' ')], CASE WHEN is_list THEN l[1:2] ELSE l[1:3] END) AS q FROM e)
+SELECT item_id, array_to_string(list_transform(list_filter(list_zip(q, range(1, len(q) + 1)), lambda x: list_position(q, x[1]) = x[2]), lambda x: x[1])[1:5], '|') AS queries FROM q""",
+)
+def _(spark, d):
+    """What is searched for each item: its important elements together, then its essential ones."""
+    return read(spark, d, "benchmark").select("item_id", F.array_join(claims.search_queries(claims.elements(F.col("text"))), "|").alias("queries"))
+
+
+@query(
+    "expanded_queries",
+    """WITH l AS (SELECT l_orderkey, list('q' || l_partkey ORDER BY l_linenumber, l_partkey) AS q, list('n' || l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, concat_ws(' ', o_orderpriority, nullif(array_to_string(q[1:3], ' '), ''), nullif(array_to_string(n, ' '), '')) AS query FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""",
+)
+def _(spark, d):
+    """Queries with the first three proposed ones and all component names."""
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    li = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rows.alias("r"))
+    texts = lambda c, p: F.transform("r", lambda x: F.concat(F.lit(p), x[c].cast("string")))
+    joined = read(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(li, "o_orderkey", "left")
+    return joined.select("o_orderkey", candidates.expanded_query(F.col("o_orderpriority"), texts("l_partkey", "q"), texts("l_suppkey", "n")).alias("query"))
+
+
+@query(
+    "context_texts",
+    """WITH l AS (SELECT l_orderkey, l_linenumber AS k, l_partkey AS p, 'part ' || l_partkey AS title, repeat('x', (l_partkey % 23)::INT) || l_suppkey AS text FROM lineitem),
+u AS (SELECT *, coalesce(sum(length(text) + length(title) + 4) OVER w, 0) AS used FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY k, p, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, bool_and(used + length(text) <= 60) OVER (PARTITION BY l_orderkey ORDER BY k, p, text ROWS UNBOUNDED PRECEDING) AS fits FROM u)
+SELECT l_orderkey, coalesce(string_agg('[' || title || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k, p, text) FILTER (fits), '') AS context FROM f GROUP BY l_orderkey""",
+)
+def _(spark, d):
+    """Titled chunks of orders up to the first that no longer fits."""
+    text = F.concat(F.expr("repeat('x', cast(l_partkey % 23 as int))"), F.col("l_suppkey").cast("string"))
+    one = F.struct("l_linenumber", "l_partkey", text.alias("text"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"))
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("r"))
+    chunks = F.transform("r", lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text")))
+    return rows.select("l_orderkey", candidates.context_text(chunks, 60).alias("context"))
+
+
+@query("rendered_prompts", "SELECT p_partkey, 'Is ' || coalesce(p_name, '') || ' like ' || coalesce(p_brand, '') || '? ' || coalesce(p_name, '') || ' {{other}}' AS prompt FROM part")
+def _(spark, d):
+    values = {"name": F.col("p_name"), "brand": F.col("p_brand")}
+    return read(spark, d, "part").select("p_partkey", T.render_column(F.lit("Is {{name}} like {{brand}}? {{name}} {{other}}"), values).alias("prompt"))
+
+
+@query(
+    "bumped_versions",
+    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '1.' || p_size || '.' || (p_partkey + 1) WHEN 1 THEN (p_size + 1)::VARCHAR ELSE '2.0.1' END AS version FROM part",
+)
+def _(spark, d):
+    version = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('1.', p_size, '.', p_partkey) WHEN 1 THEN cast(p_size as string) ELSE '2.0.x' END")
+    return read(spark, d, "part").select("p_partkey", T.bump_version(version).alias("version"))
+
+
+@query(
+    "stage2_ranks",
+    "SELECT o_orderkey, floor(r * 10000 + 0.5)::INT AS weighted_score, row_number() OVER (ORDER BY floor(r * 10000 + 0.5) DESC, o_orderkey)::BIGINT AS stage2_rank FROM (SELECT o_orderkey, 1e0 / (60 + o_orderkey % 97 + 1) AS r FROM orders) ORDER BY stage2_rank LIMIT 100",
+)
+def _(spark, d):
+    """The hundred best candidates reranked by their fused scores."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", (1 / (F.lit(60.0) + F.pmod("o_orderkey", F.lit(97)) + 1)).alias("rrf_score"))
+    best = ranking.top(o, "rrf_score", "o_orderkey", search.RERANKED)
+    scored = search.reranked(best, None)
+    return scored.select(F.col("id").cast("long").alias("o_orderkey"), "weighted_score", F.col("stage2_rank").cast("long").alias("stage2_rank"))
+
+
+@query(
+    "rerank_batches",
+    "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT (rank - 1) // 10 AS batch, string_agg(o_orderkey::VARCHAR, ',' ORDER BY rank) AS ids FROM r WHERE rank <= 100 GROUP BY ALL",
+)
+def _(spark, d):
+    hits = ranking.top(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 150).withColumn("id", F.col("o_orderkey").cast("string"))
+    return search.rerank_batches(hits).select(F.col("batch").cast("long").alias("batch"), F.array_join("ids", ",").alias("ids"))
+
+
+def _neighbours(df: DataFrame, key: str) -> DataFrame:
+    """Each text and that of the next key."""
+    after = df.select((F.col(key) - 1).alias(key), F.col("text").alias("r"))
+    return df.select(key, F.col("text").alias("l")).join(after, key)
+
+
 @query("word_diff")
 def _(spark, d):
-    b = read(spark, d, "benchmark")
-    pairs = b.alias("a").join(b.alias("b"), F.col("a.item_id") + 1 == F.col("b.item_id")).select(F.col("a.item_id").alias("item_id"), F.col("a.text").alias("l"), F.col("b.text").alias("r"))
-    return diff.with_diff(pairs, "l", "r").select("item_id", "equal", "deleted", "inserted", "similarity")
+    return diff.with_diff(_neighbours(read(spark, d, "benchmark"), "item_id"), "l", "r").select("item_id", "equal", "deleted", "inserted", "similarity")
+
+
+@query("document_diff")
+def _(spark, d):
+    """The word differences of every document and the next one."""
+    return diff.with_diff(_neighbours(read(spark, d, "documents"), "doc_id"), "l", "r").select("doc_id", "equal", "deleted", "inserted", "similarity")
+
+
+@query("unified_diff")
+def _(spark, d):
+    """The words of every item and the next one in unified order."""
+    return diff.unified_rows(_neighbours(read(spark, d, "benchmark"), "item_id"), "item_id", "l", "r")
 
 
 @query(
@@ -561,6 +672,20 @@ def _(spark, d):
     return _chunk_rows(patents(spark, d))
 
 
+_SECTION_POST = _POST.replace(f"d AS (SELECT doc_id, {tok('text')} AS t FROM documents)", f"d AS (SELECT doc_id || '/' || chunk_id AS doc_id, {tok('text')} AS t FROM ch WHERE type IN ('background', 'technical_field'))")
+
+
+@query(
+    "section_topk",
+    f"""WITH RECURSIVE {_chunks_sql(_PATENT)}, {_SECTION_POST}, {_q(0)}, {_bm()} SELECT doc_id AS chunk_id, score FROM b ORDER BY score DESC, doc_id LIMIT 20""",
+)
+def _(spark, d):
+    """The chunks of two section types that answer an item best, by statistics of these sections alone."""
+    c = patents(spark, d).select("doc_id", F.inline(chunking.section_chunks(structure.section_array(F.col("text")))))
+    c = c.withColumn("chunk_id", F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id"))
+    return search.retrieve_from_sections(c, item(spark, d, 0), ["background", "technical_field"], 20).select("chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("section_headings", f"WITH {_sections_sql(_PATENT)} SELECT doc_id, ord::BIGINT AS ord, type, title, md5(text) AS h FROM sec")
 def _(spark, d):
     """Sections of structured documents: their types and titles."""
@@ -937,6 +1062,30 @@ def _(spark, d):
     return made
 
 
+_LINES = "list_filter(string_split(string_agg(coalesce(text, ''), '' ORDER BY turn, text), chr(10)), lambda x: x <> '')"
+
+
+@query("streamed_lines", f"SELECT conv_id::VARCHAR AS \"requestId\", len(l)::BIGINT AS n, md5(array_to_string(l, '|')) AS h FROM (SELECT conv_id, {_LINES} AS l FROM conversations GROUP BY conv_id)")
+def _(spark, d):
+    """Lines of conversations whose turns come in any order, over several micro-batches, some of them twice."""
+    c = read(spark, d, "conversations").filter("conv_id is not null")
+    by = Window.partitionBy("conv_id").orderBy("turn", "text")
+    last = F.count("*").over(Window.partitionBy("conv_id"))
+    seq = F.row_number().over(by) - 1
+    deltas_ = c.select(F.col("conv_id").cast("string").alias("requestId"), seq.alias("seq"), F.coalesce("text", F.lit("")).alias("delta"), (seq == last - 1).alias("done"))
+    deltas_ = deltas_.withColumns({"error": F.lit(None).cast("string"), "cancelled": F.lit(False)})
+    place = F.pmod(F.xxhash64("requestId", "seq"), F.lit(6))
+    # a part of the deltas that are not the last comes again in the next file
+    twice = deltas_.withColumn("place", place).unionByName(deltas_.filter((place % 3 == 0) & ~F.col("done") & (place < 5)).withColumn("place", place + 1))
+    folder = deltas.work_folder(spark)
+    twice.repartitionByRange(6, "place").drop("place").write.parquet(f"{folder}/in")
+    events = deltas.run_available(spark, f"{folder}/in", ordered.DELTAS, ordered.ordered_lines, f"{folder}/out", timers=True)
+    lines = events.filter("kind = 'line'").groupBy("requestId").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("l"))
+    ended = events.filter("kind = 'done'").select("requestId").join(lines, "requestId", "left")
+    text = F.array_join(F.transform(F.coalesce("l", F.array().cast("array<struct<n:int,text:string>>")), lambda x: x["text"]), "|")
+    return ended.select("requestId", F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n"), F.md5(text).alias("h"))
+
+
 # ---- workspace -------------------------------------------------------------------------------------------------------
 
 

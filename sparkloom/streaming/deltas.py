@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import staging
+
 DELTA = "requestId string, seq int, delta string, done boolean, inputTokens int, outputTokens int"
 
 
@@ -46,10 +48,11 @@ def stream_lines(stream: DataFrame) -> DataFrame:
     return stream.groupBy("requestId").applyInPandasWithState(run, "requestId string, n int, line string", "held string, n int", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, path: str, schema: str, transform, out: str, mode: str = "append", files: int = 1, fmt: str = "parquet") -> DataFrame:
+def run_available(spark: SparkSession, path: str, schema: str, transform, out: str, mode: str = "append", files: int = 1, fmt: str = "parquet", timers: bool = False) -> DataFrame:
     """Everything that lies in ``path`` through a streaming query, ``files`` a micro-batch, into Parquet under ``out``; gives its rows.
 
-    For aggregates (mode "complete") each micro-batch writes the whole result anew and the last one counts.
+    For aggregates (mode "complete") each micro-batch writes the whole result anew and the last one counts. With ``timers`` of processing
+    time no micro-batch runs without data: it would go on for ever, as the clock does; timers that are due go off with the next data.
     """
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)
 
@@ -57,7 +60,12 @@ def run_available(spark: SparkSession, path: str, schema: str, transform, out: s
         df.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
 
     made = transform(source)
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    if timers:
+        spark.conf.set(key, "false")
     query = made.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+    spark.conf.set(key, before)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
@@ -69,9 +77,5 @@ def run_available(spark: SparkSession, path: str, schema: str, transform, out: s
 
 
 def work_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder among those that all executors share."""
+    return f"{staging.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
