@@ -22,6 +22,8 @@ class App:
         self.registry = sources.SourceRegistry()
         self.factory = providers.ProviderFactory()
         self.running: dict[int, workspace.Cancel] = {}
+        #: Sources that may be asked; all registered ones if none are named.
+        self.allowed: list[str] = []
 
     def _row(self, **values) -> DataFrame:
         return self.spark.createDataFrame([tuple(values.values())], list(values))
@@ -128,7 +130,7 @@ class App:
         stop = self.running[key] = workspace.Cancel(self.spark, f"search {key}")
         folder = folder or f"{self.store.path}/_runs/{key}"
         settings = run.settings_of(template, self.get_settings())
-        allowed = self.settings.get("sources", list(self.registry.sources))
+        allowed = self.allowed or list(self.registry.sources)
         try:
             one = run.SearchRun.over_sources(self.spark, folder, query, self.registry, wanted, allowed, api_keys, make=make, settings=settings, cancel=stop, tell=tell)
             result = one.run()
