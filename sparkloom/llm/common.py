@@ -7,7 +7,8 @@ import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,20 @@ def texts(df: DataFrame, *columns) -> DataFrame:
     return df.select(*columns)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while; afterwards it is as before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def fresh(spark: SparkSession) -> str:
     """A new folder's path in the shared folder."""
     return f"{shared_dir(spark)}/sparkloom/{uuid.uuid4().hex}"

@@ -2,10 +2,11 @@ import hashlib
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparkloom.llm import suffix_dedup
+from sparkloom.llm import common, suffix_dedup
 
 
 def test_suffix_array():
@@ -106,3 +107,43 @@ def test_one_very_long_text(spark):
     df = spark.createDataFrame([(1, text), (2, "x" + text[1000:2000] + "y")], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()}
     assert got == {1: 0, 2: 1000}
+
+
+def test_a_short_phrase_in_common_is_no_anchor():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [word(60) + "of one and the other" + word(60) for _ in range(300)]
+    found = suffix_dedup.Anchors(pa.array(texts))
+    assert len(np.unique(found.key)) == len(found.key) > 600
+
+
+def test_only_first_copies_of_a_salt_are_looked_up(spark, monkeypatch):
+    merge, real, stage = suffix_dedup.merge_marks, suffix_dedup.pieces, common.Stages.stage
+    rows = {}
+
+    def merge_marks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from merge(key, batches)
+
+    def pieces(*args):
+        yield from real(*args)
+
+    def counted(self, df, tag):
+        out = stage(self, df, tag)
+        rows[tag] = out.count()
+        return out
+
+    # what a patched name hides is pickled with its globals, so that workers have this number too
+    monkeypatch.setattr(suffix_dedup, "HOT", 60)
+    monkeypatch.setattr(suffix_dedup, "merge_marks", merge_marks)
+    monkeypatch.setattr(suffix_dedup, "pieces", pieces)
+    monkeypatch.setattr(common.Stages, "stage", counted)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    text, lines = word(400), [word(n) for n in (45, 60, 90)]
+    docs = [(k, text[k % 3 :]) for k in range(0, 1200, 2)]
+    docs += [(k, "".join(word(rng.randint(0, 40)) + rng.choice([*lines, text])[rng.choice([0, 7]) :][:80] for _ in range(3))) for k in range(1, 800, 2)]
+    before = spark.conf.get(suffix_dedup.CLEANUP)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got == brute(docs) and spark.conf.get(suffix_dedup.CLEANUP) == before
+    assert 0 < rows["rows"] < rows["pieces"] / 4
